@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack_documents
+from .simhash import as_hex, near_duplicates
 from .token_files import token_files
 from .tokens import default_tokenizer
+from .url_filter import judge_urls
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +29,45 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op8_url_filter": op8_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+OP8_SQL = r"""
+WITH RECURSIVE judged AS (
+  SELECT page_id, url, html,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM judged, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+link AS (
+  SELECT DISTINCT url AS a, regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*href\s*=\s*["'']?([^"''\s>]+)', 1) AS b
+  FROM pages WHERE contains(lower(html), 'canonical')),
+alias AS (SELECT a, b FROM link WHERE b <> '' UNION SELECT b, a FROM link WHERE b <> ''),
+reach(a, b) AS (SELECT a, b FROM alias UNION SELECT reach.a, alias.b FROM reach JOIN alias ON reach.b = alias.a),
+bad AS (SELECT DISTINCT reach.a AS url FROM reach JOIN judged ON judged.url = reach.b JOIN best USING (page_id) WHERE best.verdict = 'block')
+SELECT judged.page_id, host, path, best.rule AS rule,
+  coalesce(best.verdict, CASE WHEN bad.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged LEFT JOIN best ON best.page_id = judged.page_id LEFT JOIN bad ON bad.url = judged.url
+"""
+
+ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}
