@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .html_extract import extract_main_text
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
 from .token_files import token_files
@@ -42,11 +44,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op8_url_filter": op8_url_filter,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 OP8_SQL = r"""
