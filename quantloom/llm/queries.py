@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .html_extract import extract_main_text
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
+from .storage import crc_bucket
 from .token_files import token_files
 from .tokens import default_tokenizer
+from .toxicity import score_documents
 from .url_filter import judge_urls
 
 URL_RULES = [
@@ -44,6 +46,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_documents(docs, table(spark, sf_dir, "labels"))
+    held_out = crc_bucket("doc_id", 5) == 0
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -54,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
 }
 
