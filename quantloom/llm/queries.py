@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import near_vectors
 from .html_extract import extract_main_text
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
@@ -42,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,

@@ -64,7 +64,7 @@ class Model:
         return 1 / (1 + np.exp(-z)) if z > -500 else 0.0
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], size: int, ridge: float = 1e-4, fairness: float = 1.0, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], size: int, ridge: float = 2e-5, fairness: float = 1.0, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias of least mean logistic loss + ridge * |w|^2 + fairness * mean squared difference of the
     logits of each sentence and its swapped form, by Adam."""
     lengths = np.array([len(r) for r in rows])
