@@ -3,49 +3,67 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
+#: Letters, single digits and other signs as the tokenizer file splits them, for characters that no
+#: normalisation but lower-casing touches. An apostrophe may begin a contraction and is left to the library.
+RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+PLAIN = re.compile(r"[ \n!-&(-~À-ÖØ-öø-ÿ]*")
+
+
 class PieceEncoder:
     """Ids of whole texts from a tokenizer that never joins text across a space or a line feed.
 
-    Each stretch between those two characters is encoded by the library once and its ids are remembered, so
-    that frequent words cost one lookup. ``limit`` bounds the memory: a full table is emptied. Whether a
-    tokenizer file splits at spaces is checked once, on load, against the library's own result.
+    Plain text is a row of runs of letters, digits or signs, which the tokenizer encodes each for itself; every
+    other stretch between spaces and line feeds is encoded whole. The library encodes a run or stretch once
+    and its ids are remembered, so a word costs a lookup whatever its case. ``limit`` bounds the memory: a
+    full table is emptied. Whether a tokenizer file behaves so is checked on load against the library's own
+    result for a probe; if not, whole texts go to the library.
     """
 
-    PROBE = "It's 12 o'clock, naïve  café's\nÉtude <|endoftext|> ﬁn é ́x \t  <|endoftext|>don't\n\n ΣΑΣ ǅ"
+    PROBE = "It's 12 o'clock, naïve  café's\nÉtude, (STRAßE) <|endoftext|> ﬁn é ́x \t  <|endoftext|>don't\n\n ΣΑΣ ǅ 3.14%%% a_b ~x~ WORD. Word! word?"
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}
-        self.by_piece = True
-        whole = array("I", self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids).tobytes()
-        self.by_piece = self._encode([self.PROBE])[0] == whole
+        self.by_run = True
+        self.by_run = self._encode([self.PROBE, "Plain_text: été, 3.14%%% ~x~\nSTRASSE!"]) == self._library([self.PROBE, "Plain_text: été, 3.14%%% ~x~\nSTRASSE!"])
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _runs(text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return RUN.findall(text.lower())
+        keys: list[str] = []
+        for piece in text.replace("\n", " ").split(" "):
+            if PLAIN.fullmatch(piece) and "<|" not in piece:
+                keys += RUN.findall(piece.lower())
+            else:
+                keys.append(piece)
+        return keys
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [array("I", x.ids).tobytes() for x in found]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        out = []
-        for pieces in split:
-            known = self.known
-            new = [p for p in set(pieces) if p not in known]
-            if new:
-                if len(known) + len(new) > self.limit:
-                    known.clear()
-                    new = list(set(pieces))
-                for p, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = array("I", x.ids).tobytes()
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        return out
+        if not self.by_run:
+            return self._library(texts)
+        split = [self._runs(t) for t in texts]
+        seen = set().union(*split)
+        new = list(seen.difference(self.known))
+        if new:
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = list(seen)
+            self.known.update(zip(new, self._library(new), strict=True))
+        return [b"".join(map(self.known.__getitem__, keys)) for keys in split]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
