@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
+from .hmm import score_texts
 from .html_extract import extract_main_text
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
@@ -34,6 +35,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", as_hex(found["fp"]).alias("fingerprint"), "component_id")
@@ -65,6 +70,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_hmm_scoring": op2_hmm_scoring,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op7_embedding_dedup": op7_embedding_dedup,
