@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import near_vectors
 from .hmm import score_texts
 from .html_extract import extract_main_text
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
 from .storage import crc_bucket
@@ -39,6 +40,12 @@ def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.size("removed_lines").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.char_length(kept).cast("long").alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", as_hex(found["fp"]).alias("fingerprint"), "component_id")
@@ -71,6 +78,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hmm_scoring": op2_hmm_scoring,
+    "op3_line_dedup": op3_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op7_embedding_dedup": op7_embedding_dedup,
