@@ -97,8 +97,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: f
         places = places.select("h", "item_id", "n", "q", F.when(F.col("q") > 0, F.element_at("its", F.col("q"))).alias("before"))
         few = places.count() <= SENT_SHINGLES
         hashed = texts.select("doc_id", shingle_hashes("words", k).alias("hashes"))
-        spread = hashed.select("doc_id", "hashes", F.posexplode("hashes").alias("p", "h"))
-        met = spread.join(F.broadcast(places) if few else places, "h")
+        # explode_outer: for explode, Spark adds a filter on the array's size and computes the array anew for it
+        spread = hashed.select("doc_id", "hashes", F.posexplode_outer("hashes").alias("p", "h"))
+        if few:  # the array goes along at no cost, as it is copied for matches only
+            met = spread.join(F.broadcast(places), "h")
+        else:
+            met = spread.select("doc_id", "p", "h").join(places, "h").join(hashed, "doc_id")
         first = F.col("before").isNull() | (F.col("p") == 0) | (F.get("hashes", F.col("p") - 1) != F.col("before"))
         last = F.greatest(F.lit(0), F.size("hashes") - (F.col("n") - k + 1))
         start = F.least(F.greatest(F.col("p") - F.col("q"), F.lit(0)), last)

@@ -24,8 +24,9 @@ def line_id(doc: Column, line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(sid, words text) of every line; the words' letters A-Z are lower-cased and outer white space is cut."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
+    """(sid, line) of every line with words: letters A-Z are lower-cased and outer white space is cut. The outer
+    form of explode keeps Spark from splitting each text once more for a filter on the number of lines."""
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
     words = F.btrim(F.translate("line", UPPER, LOWER), F.lit(" \t\n\x0b\f\r"))
     return lines.select(line_id(F.col("doc_id"), F.col("line_no")).alias("sid"), words.alias("line")).where("line <> ''")
 
@@ -38,7 +39,7 @@ def rarity(lines: DataFrame) -> bytes:
     """How often tokens occur, for all of the corpus, in a table of fixed size: one byte for each of 2^18
     buckets of token hashes, an eighth of a power of two a step. Any fixed order of tokens gives a right join; the
     nearer it is to rarity, the fewer candidates, and a bucket's count is never below its tokens' counts."""
-    tokens = lines.select(F.explode(F.split("line", SPACE)).alias("word")).select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"))
+    tokens = lines.select(F.explode_outer(F.split("line", SPACE)).alias("word")).select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"))
     counts = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("n") + 1))).cast("int")
     low = F.col("bucket").bitwiseAND(1023).cast("int")
