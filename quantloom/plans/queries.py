@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, factors, hedge, risk, spread
+from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, spread
 from ..operators import returns as ret
 from ..sources import panel
 
@@ -480,3 +480,56 @@ zz AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z), zv AS (SELECT *, exp
 SELECT asset, {R('sr', 'sr')}, {R('sr_sd', 'sr_sd')}, {R('CASE WHEN z >= 0 THEN 1 - u ELSE u END', 'psr')}, {R('1 + sp * (1.6448536269514715 / sr) ** 2', 'min_trl')} FROM zv""")
 def sharpe_inference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(risk.sharpe_inference(panel.returns(spark, d)))
+
+
+# Grouped numeric operators (no SQL form; tested on cases with known answers)
+
+
+@query("w_covariance")
+def w_covariance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.covariance_weights(grouped.fold_covariances(split(spark, d))))
+
+
+@query("torsion_bets")
+def torsion_bets(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.torsion_bets(grouped.fold_covariances(split(spark, d))))
+
+
+@query("nmf_convex")
+def nmf_convex(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.fold_factors(split(spark, d)))
+
+
+@query("nmf_semi")
+def nmf_semi(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.fold_factors(split(spark, d), convex=False))
+
+
+@query("spline_impute")
+def spline_impute(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.spline_filled(ret.on_calendar(panel.prices(spark, d))))
+
+
+@query("garch_proba")
+def garch_proba(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.garch_probabilities(panel.class_returns(spark, d)))
+
+
+@query("evt_tail")
+def evt_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.tail_fit(panel.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("value").alias("x"))))
+
+
+@query("reality_check")
+def reality_check(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.reality_check(panel.returns(spark, d)))
+
+
+@query("mc_study")
+def mc_study(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.monte_carlo(spark))
+
+
+@query("block_permutation")
+def block_permutation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.permuted_blocks(panel.returns(spark, d)))
