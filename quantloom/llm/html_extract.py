@@ -19,6 +19,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
 CLOSES_P = set("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+LANDMARKS = set("article aside body button dialog footer form head header main nav section select".split()) | RAW
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end when one of the named elements begins beside them.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -30,11 +31,11 @@ WORDS = re.compile(r"[a-z]+")
 
 @dataclass(slots=True)
 class Block:
-    """A leaf block: its text, its ancestors from the outside in, and how many of its letters stand in links."""
+    """A leaf block: its text, its ancestors (element, class words) from the outside in, and how many of its
+    letters stand in links."""
 
     text: str
-    path: tuple[str, ...]
-    names: tuple[str, ...]
+    path: tuple[tuple[str, tuple[str, ...]], ...]
     linked: int
 
 
@@ -52,7 +53,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, tuple(t for t, _ in stack), tuple(w for _, n in stack for w in n), linked))
+                blocks.append(Block(text, tuple(stack), linked))
             parts.clear()
         linked = 0
 
@@ -105,7 +106,7 @@ def leaf_blocks(html: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(html, at)
             inner = " ".join(unescape(html[at : end.start()]).split())
             if inner:
-                blocks.append(Block(inner, (*(t for t, _ in stack), tag), (*(w for _, n in stack for w in n), *names), 0))
+                blocks.append(Block(inner, (*stack, (tag, names)), 0))
             at = max(end.end(), at)
         elif tag not in VOID and not (found[3] or "").endswith("/"):
             stack.append((tag, names))
@@ -114,18 +115,23 @@ def leaf_blocks(html: str) -> list[Block]:
 
 
 def block_features(block: Block) -> list[str]:
-    """Names of the features that hold for a block: ancestor elements, class words of ancestors, text shape."""
-    path = block.path
-    out = ["bias", f"tag={path[-1] if path else 'none'}"]
-    out += {f"in={t}" for t in path}
-    out += {f"name={w}" for w in block.names}
+    """Names of the features that hold for a block: its element, the elements and class words around it, the
+    nearest of them that says what the block belongs to, and the shape of its text."""
+    tags = [t for t, _ in block.path]
+    out = ["bias", f"tag={tags[-1] if tags else 'none'}"]
+    out += {f"in={t}" for t in tags}
+    out += {f"name={w}" for _, names in block.path for w in names}
+    for tag, names in reversed(block.path):
+        if names or tag in LANDMARKS:
+            out += {f"near={w}" for w in names or (tag,)}
+            break
     n = len(block.text)
     out.append("len=" + ("0" if n < 25 else "1" if n < 80 else "2" if n < 250 else "3"))
     share = block.linked / max(1, n)
     out.append("links=" + ("0" if share < 0.1 else "1" if share < 0.6 else "2"))
     if block.text[-1] in ".!?…。":
         out.append("ends=stop")
-    if path and path[-1] in HEADINGS:
+    if tags and tags[-1] in HEADINGS:
         out.append("heading")
     return out
 
