@@ -326,3 +326,35 @@ def block_permutation(n: int, length: int, rng: np.random.Generator) -> np.ndarr
     rng.shuffle(starts)
     ids = (starts[:, None] + np.arange(length)).ravel()[:n]
     return ids[ids < n]
+
+
+def factor_risk(cov: np.ndarray, w: np.ndarray, loadings: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares of the portfolio's variance that belong to the factors, and the share outside their span."""
+    span = np.linalg.pinv(loadings)
+    shares = (loadings.T @ w) * (span @ cov @ w) / (w @ cov @ w)
+    return shares, float(1 - shares.sum())
+
+
+def principal_bets(cov: np.ndarray, w: np.ndarray) -> float:
+    """Exponential entropy of the variance shares of the principal portfolios."""
+    value, vector = np.linalg.eigh(cov)
+    p = (vector.T @ w) ** 2 * np.maximum(value, 0)
+    p = p[p > 1e-15 * p.sum()] / p.sum()
+    return float(np.exp(-(p * np.log(p)).sum()))
+
+
+def silhouette_score(d: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette from a distance matrix; points alone in their cluster count zero."""
+    out = np.zeros(len(d))
+    for i in range(len(d)):
+        mine = (labels == labels[i]) & (np.arange(len(d)) != i)
+        others = [d[i, labels == c].mean() for c in set(labels.tolist()) - {labels[i]}]
+        if mine.any() and others:
+            a, b = d[i, mine].mean(), min(others)
+            out[i] = (b - a) / max(a, b)
+    return float(out.mean())
+
+
+def gap(d: np.ndarray, labels: np.ndarray) -> float:
+    """Log of the summed mean pairwise distance inside clusters."""
+    return float(np.log(sum(d[np.ix_(labels == c, labels == c)].sum() / (2 * (labels == c).sum()) for c in set(labels.tolist()))))

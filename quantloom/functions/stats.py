@@ -21,15 +21,28 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+# P. J. Acklam's rational approximation of the standard normal quantile.
+CENTRE_TOP = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+CENTRE_BOTTOM = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+TAIL_TOP = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+TAIL_BOTTOM = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
 def normal_quantile(p: Column) -> Column:
-    """Standard normal quantile by the rational form 26.2.23 (error below 4.5e-4) and two Newton steps."""
-    q = F.least(p, 1 - p)
-    t = F.sqrt(-2 * F.log(q))
-    x = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
-    z = F.when(p < 0.5, -x).otherwise(x)
-    for _ in range(2):
-        z = z - (normal_cdf(z) - p) / normal_pdf(z)
-    return z
+    """Standard normal quantile (relative error below 1.2e-9)."""
+    side = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.log(side))
+    tail = _horner(t, TAIL_TOP) / _horner(t, TAIL_BOTTOM)
+    q = p - 0.5
+    centre = q * _horner(q * q, CENTRE_TOP) / _horner(q * q, CENTRE_BOTTOM)
+    return F.when(side >= 0.02425, centre).when(p < 0.5, tail).otherwise(-tail)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -171,3 +171,58 @@ def permuted_blocks(returns: DataFrame, length: int = 6, seed: int = 42) -> Data
     moved = numbered.withColumn("to", F.row_number().over(Window.partitionBy("asset").orderBy(F.xxhash64(F.lit(seed), "block"), "rn")))
     dates = numbered.select("asset", "dt", F.col("rn").alias("to"))
     return moved.select("asset", "r", "to").join(dates, ["asset", "to"]).select("asset", "dt", "r")
+
+
+def factor_risk(covariances: DataFrame, loadings: DataFrame) -> DataFrame:
+    """(cv, factor, share, bets): variance shares of the equal-weight portfolio by factor (factor -1: outside all
+    of them), and the effective number of principal bets."""
+    factors = loadings.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("factor", "loading"))).alias("ls"))
+    both = covariances.join(F.broadcast(factors.select(F.col("asset").alias("a"), F.col("ls.loading").alias("ls"))), "a")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        names, cov = square(rows)
+        w = np.full(len(names), 1 / len(names))
+        own = rows.drop_duplicates("a").set_index("a")["ls"].loc[names]
+        shares, rest = K.factor_risk(cov, w, np.stack(own.to_numpy()))
+        return pd.DataFrame({"cv": rows["cv"].iat[0], "factor": [*range(len(shares)), -1], "share": [*shares, rest], "bets": K.principal_bets(cov, w)})
+
+    return both.groupBy("cv").applyInPandas(solve, "cv int, factor int, share double, bets double")
+
+
+def frontier(covariances: DataFrame, means: DataFrame, points: int = 10) -> DataFrame:
+    """(cv, point, mean, sd): long-only efficient frontier of each fold."""
+    both = covariances.join(means.select("cv", F.col("asset").alias("a"), "m"), ["cv", "a"])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        names, cov = square(rows)
+        mean = rows.drop_duplicates("a").set_index("a")["m"].loc[names].to_numpy()
+        _, weights = K.efficient_frontier(mean, cov + 1e-6 * np.trace(cov) / len(cov) * np.eye(len(cov)), points)
+        return pd.DataFrame({"cv": rows["cv"].iat[0], "point": range(points), "mean": weights @ mean, "sd": np.sqrt(np.einsum("ij,jk,ik->i", weights, cov, weights))})
+
+    return both.groupBy("cv").applyInPandas(solve, "cv int, point int, mean double, sd double")
+
+
+def cluster_selection(returns: DataFrame, ks: range = range(2, 9), replicates: int = 20, block: int = 12, seed: int = 9) -> DataFrame:
+    """(k, mean, low, high): silhouette of convex-factor labels over block-permuted replicates, by number of
+    clusters. Each replicate with each k is a row for some task; the returns by date go along by broadcast."""
+    wide = returns.groupBy("dt").agg(F.sort_array(F.collect_list(F.struct("asset", "r"))).alias("rs"))
+    series = wide.agg(F.sort_array(F.collect_list(F.struct("dt", "rs"))).alias("all"))
+    cases = returns.sparkSession.range(replicates).select("id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+
+    def curve(parts):
+        for rows in parts:
+            for i, k, series in zip(rows["id"], rows["k"], rows["all"], strict=True):
+                names = sorted({c["asset"] for d in series for c in d["rs"]})
+                at = {n: j for j, n in enumerate(names)}
+                m = np.zeros((len(series), len(names)))
+                for t, d in enumerate(series):
+                    for c in d["rs"]:
+                        m[t, at[c["asset"]]] = c["r"]
+                m = m[K.block_permutation(len(m), block, np.random.default_rng([seed, int(i)]))]
+                m = (m - m.mean(0)) / np.maximum(m.std(0), 1e-12)
+                labels = K.convex_factors(m.T @ m, K.nearest_groups(m.T, int(k), int(i), starts=2), int(k), rounds=50)[1].argmax(1)
+                d = np.linalg.norm(m.T[:, None] - m.T[None], axis=2)
+                yield pd.DataFrame({"id": [i], "k": [k], "score": [K.silhouette_score(d, labels)]})
+
+    scored = cases.repartition(F.col("id"), F.col("k")).join(F.broadcast(series)).mapInPandas(curve, "id long, k int, score double")
+    return scored.groupBy("k").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(0.05)).alias("low"), F.percentile("score", F.lit(0.95)).alias("high"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import Z95, normal_cdf, ratio
+from ..functions.stats import Z95, normal_cdf, normal_quantile, ratio
 from .returns import drawdowns
 
 
@@ -65,3 +65,19 @@ def volatility_timing(returns: DataFrame, short: int = 22, long: int = 60, key:
     vol = F.greatest(F.coalesce(rolling(short), F.lit(0.0)), F.coalesce(rolling(long), F.lit(0.0)))
     rows = returns.withColumn("vol", vol).where("vol > 0").withColumn("before", F.lag("vol").over(order)).where("before is not null")
     return rows.groupBy(key).agg(F.covar_samp(F.col("r") / F.col("before"), F.col("before")).alias("cov"))
+
+
+def deflated_sharpe(returns: DataFrame, key: str = "asset") -> DataFrame:
+    """(key, sr, trials, expected_max, dsr): probability that a Sharpe ratio exceeds the largest one to expect by
+    chance from as many trials, the trials counted as independent by their mean correlation."""
+    euler = 0.5772156649015329
+    m = moments(returns, key).withColumn("sr", ratio(F.col("mean"), F.col("sd")))
+    corr = pair_statistics(returns.withColumnRenamed(key, "asset")).where("a < b").agg(F.avg("corr").alias("rho"))
+    spread = m.agg(F.count(F.lit(1)).alias("series"), F.avg("sr").alias("sr_mean"), F.stddev_samp("sr").alias("sr_dev"))
+    trials = F.greatest(F.lit(2.0), F.col("rho") + (1 - F.col("rho")) * F.col("series"))
+    t = spread.join(F.broadcast(corr)).withColumn("trials", trials)
+    best = F.col("sr_mean") + F.col("sr_dev") * ((1 - euler) * normal_quantile(1 - 1 / F.col("trials")) + euler * normal_quantile(1 - 1 / (F.col("trials") * F.lit(2.718281828459045))))
+    t = t.select("trials", best.alias("expected_max"))
+    sr = F.col("sr")
+    joined = m.join(F.broadcast(t)).withColumn("dev", F.sqrt((1 + 0.5 * sr * sr - F.col("skew") * sr + (F.col("kurt") - 3) / 4 * sr * sr) / (F.col("n") - 1)))
+    return joined.select(key, "sr", "trials", "expected_max", normal_cdf(ratio(sr - F.col("expected_max"), F.col("dev"))).alias("dsr"))

@@ -533,3 +533,25 @@ def mc_study(spark: SparkSession, d: str) -> DataFrame:
 @query("block_permutation")
 def block_permutation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grouped.permuted_blocks(panel.returns(spark, d)))
+
+
+@query("deflated_sharpe")
+def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(risk.deflated_sharpe(panel.returns(spark, d)))
+
+
+@query("factor_risk")
+def factor_risk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.factor_risk(grouped.fold_covariances(split(spark, d)), panel.loadings(spark, d)))
+
+
+@query("efficient_frontier")
+def efficient_frontier(spark: SparkSession, d: str) -> DataFrame:
+    rows = split(spark, d)
+    means = rows.where("split = 'train'").groupBy("cv", "asset").agg(F.avg("r").alias("m"))
+    return rounded(grouped.frontier(grouped.fold_covariances(rows), means))
+
+
+@query("cluster_selection")
+def cluster_selection(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.cluster_selection(panel.returns(spark, d)))

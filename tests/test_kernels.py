@@ -76,3 +76,19 @@ def test_groups_of_separate_points():
     x = np.vstack([np.zeros((5, 2)), np.ones((5, 2)) * 9])
     labels = K.nearest_groups(x, 2, 0)
     assert len(set(labels[:5])) == len(set(labels[5:])) == 1 and labels[0] != labels[9]
+
+
+def test_factor_risk_of_all_assets_is_the_whole():
+    cov = np.diag([1.0, 2, 3])
+    shares, rest = K.factor_risk(cov, np.full(3, 1 / 3), np.eye(3))
+    assert np.allclose(shares, np.diag(cov) / 6) and abs(rest) < 1e-12
+
+
+def test_principal_bets_of_equal_variances():
+    assert abs(K.principal_bets(np.diag([1.0, 2, 4]), np.array([1, 2**-0.5, 0.5])) - 3) < 1e-9
+
+
+def test_silhouette_of_separate_groups_is_near_one():
+    x = np.array([0, 0.1, 9, 9.1])
+    assert K.silhouette_score(np.abs(x[:, None] - x), np.array([0, 0, 1, 1])) > 0.98
+    assert K.silhouette_score(np.abs(x[:, None] - x), np.array([0, 1, 2, 3])) == 0

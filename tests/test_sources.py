@@ -31,3 +31,15 @@ def test_closing_prices_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["price"] for r in spark.sql("select price from closes").collect()] == [17.0]
+
+
+def test_normal_quantile_and_cdf(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from quantloom.functions.stats import normal_cdf, normal_quantile
+
+    ps = spark.createDataFrame([(p,) for p in (0.001, 0.02, 0.05, 0.3, 0.5, 0.95, 0.999)], "p double")
+    for r in ps.select("p", normal_quantile(F.col("p")).alias("q"), normal_cdf(normal_quantile(F.col("p"))).alias("c")).collect():
+        assert abs(r["q"] - NormalDist().inv_cdf(r["p"])) < 1e-7 and abs(r["c"] - r["p"]) < 1e-6
