@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from .storage import crc_bucket, materialize, text_or_empty
 
 #: The token that ends every text; no word holds white space.
-END = "\n"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+END = b"\n"
 
 
 @dataclass(slots=True)
@@ -23,21 +22,26 @@ class Model:
     """``states`` latent states over the ``vocabulary`` most frequent tokens and one symbol for all others
     (the last). A token of the others has, within that symbol, its smoothed share of the training tokens."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     start: np.ndarray
     moves: np.ndarray
     emit: np.ndarray
     others: float  # smoothed number of training tokens outside the vocabulary
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text, A-Z lower-cased, and the end. Splits at the six ASCII white-space characters only."""
-    out = [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").lower().split()]
+def words_of(text: str) -> list[bytes]:
+    """Words of a text as UTF-8, A-Z lower-cased, and the end. Bytes split at the six ASCII white-space
+    characters only, and lower-case no other letters."""
+    out = text.encode("utf-8", "surrogatepass").lower().split()
     out.append(END)
     return out
 
 
-def batches_of(texts: list[np.ndarray], cells: int = 1 << 16) -> Iterator[list[int]]:
+def as_text(words: Iterable[bytes]) -> list[str]:
+    return [w.decode("utf-8", "surrogatepass") for w in words]
+
+
+def batches_of(texts: list[np.ndarray], cells: int = 1 << 18) -> Iterator[list[int]]:
     """Indices of sequences of like length, so that a padded block has about ``cells`` symbols."""
     order, now, most = np.argsort([len(x) for x in texts], kind="stable"), [], 0
     for i in order.tolist():
@@ -111,7 +115,7 @@ def expected_counts(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray,
     return start, moves, emit
 
 
-def first_guess(vocabulary: dict[str, int], share: np.ndarray, states: int, others: float, seed: int = 11) -> Model:
+def first_guess(vocabulary: dict[bytes, int], share: np.ndarray, states: int, others: float, seed: int = 11) -> Model:
     """Each state begins as the corpus's own distribution with strong random weights, and states persist, so
     that texts of one kind soon settle in one state."""
     rng = np.random.default_rng(seed)
@@ -124,20 +128,20 @@ def count_words(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     """(word, c) over all rows of ``texts`` (text), the end of each text included."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
         for rows in parts:
             for text in rows["text"]:
                 seen.update(words_of(text))
                 if len(seen) > flush:
-                    yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+                    yield pd.DataFrame({"word": as_text(seen), "c": list(seen.values())})
                     seen.clear()
         if seen:
-            yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+            yield pd.DataFrame({"word": as_text(seen), "c": list(seen.values())})
 
     return texts.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> dict[str, int]:
+def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     """At most ``most`` words with their counts: all whose count reaches the least count that keeps to the bound."""
     levels = sorted(((r[0], r[1]) for r in counts.groupBy("c").count().where("c > 1").collect()), reverse=True)
     total, least = 0, None
@@ -146,11 +150,11 @@ def most_frequent(counts: DataFrame, most: int) -> dict[str, int]:
             break
         total, least = total + n, c
     if least is None:
-        return {r[0]: r[1] for r in counts.orderBy(F.desc("c"), "word").limit(min(most, 1000)).collect()}
-    return {r[0]: r[1] for r in counts.where(F.col("c") >= least).collect()}
+        return {r[0].encode(): r[1] for r in counts.orderBy(F.desc("c"), "word").limit(min(most, 1000)).collect()}
+    return {r[0].encode(): r[1] for r in counts.where(F.col("c") >= least).collect()}
 
 
-def train(texts: DataFrame, common: dict[str, int], n_tokens: int, n_words: int, states: int = 8, vocabulary: int = 8192, rounds: int = 3) -> Model:
+def train(texts: DataFrame, common: dict[bytes, int], n_tokens: int, n_words: int, states: int = 8, vocabulary: int = 8192, rounds: int = 3) -> Model:
     """Baum-Welch over all rows of ``texts`` (text). In each round every partition sends its expected counts, a
     bounded table of states by vocabulary, and Spark sums them by state and symbol; the driver gets the sums."""
     words = sorted(common, key=lambda w: (-common[w], w))[:vocabulary]
@@ -168,8 +172,8 @@ def train(texts: DataFrame, common: dict[str, int], n_tokens: int, n_words: int,
             total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, size))]
             get = now.vocabulary.get
             for rows in parts:
-                for at in range(0, len(rows), 1000):
-                    sequences = [np.array([get(w, other) for w in words_of(t)], np.int32) for t in rows["text"].iloc[at : at + 1000]]
+                for at in range(0, len(rows), 4000):
+                    sequences = [np.array([get(w, other) for w in words_of(t)], np.int32) for t in rows["text"].iloc[at : at + 4000]]
                     for x, y in zip(total, expected_counts(sequences, now), strict=True):
                         x += y
             for kind, x in enumerate(total):
@@ -214,8 +218,8 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, states: int
         logs = {w: float(np.log10(c + 0.5)) for w, c in common.items()}
         row = TaskContext.get().partitionId() << 33
         for rows in parts:
-            for at in range(0, len(rows), 1000):
-                part = rows.iloc[at : at + 1000]
+            for at in range(0, len(rows), 4000):
+                part = rows.iloc[at : at + 4000]
                 sequences, sums, of, rare, times = [], [], [], [], []
                 for text in part["text"]:
                     words = words_of(text)
@@ -240,7 +244,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, states: int
                 a = pd.DataFrame(sums, columns=["row", "n_tokens", "n_known", "logsum", "inner", "n_other"])
                 yield a.assign(doc_id=part["doc_id"].to_numpy(), held_out=part["held_out"].to_numpy(), likely=likely, word=None, times=0)[COLUMNS]
                 if of:
-                    b = pd.DataFrame({"row": of, "word": rare, "times": times})
+                    b = pd.DataFrame({"row": of, "word": as_text(rare), "times": times})
                     yield b.assign(doc_id=None, held_out=None, n_tokens=0, n_known=0, logsum=0.0, inner=0.0, n_other=0, likely=0.0)[COLUMNS]
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logsum double, inner double, n_other long, likely double, word string, times long"
