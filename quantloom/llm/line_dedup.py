@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .storage import materialize, text_or_empty
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[ \t\n\x0B\f\r]+"
 LINE_BITS = 24
 BUCKETS = 1 << 18
@@ -24,29 +23,30 @@ def line_id(doc: Column, line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(sid, line) of every line with words: letters A-Z are lower-cased and outer white space is cut. The outer
-    form of explode keeps Spark from splitting each text once more for a filter on the number of lines."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
-    words = F.btrim(F.translate("line", UPPER, LOWER), F.lit(" \t\n\x0b\f\r"))
-    return lines.select(line_id(F.col("doc_id"), F.col("line_no")).alias("sid"), words.alias("line")).where("line <> ''")
+    """(sid, line) of every line with words, lower-cased, its words one space apart. The outer form of explode
+    keeps Spark from splitting each text once more for a filter on the number of lines."""
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.lower(text_or_empty()), "\n", -1)).alias("line_no", "line"))
+    trimmed = lines.select(line_id(F.col("doc_id"), F.col("line_no")).alias("sid"), F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line"))
+    spaced = F.when(F.col("line").rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line"))
+    return trimmed.where("line <> ''").select("sid", spaced.alias("line"))
 
 
 def token_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct words. Splitting at one plain character needs no regular expression."""
+    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """How often tokens occur, for all of the corpus, in a table of fixed size: one byte for each of 2^18
-    buckets of token hashes, an eighth of a power of two a step. Any fixed order of tokens gives a right join; the
-    nearer it is to rarity, the fewer candidates, and a bucket's count is never below its tokens' counts."""
-    tokens = lines.select(F.explode_outer(F.split("line", SPACE)).alias("word")).select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"))
-    counts = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("n") + 1))).cast("int")
-    low = F.col("bucket").bitwiseAND(1023).cast("int")
-    packed = counts.groupBy(F.shiftright("bucket", 10).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(low, level))).alias("m"))
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i), F.lit(0))), 2, "0")), "")
-    pages = {int(r[0]): r[1] for r in packed.select("page", digits).collect()}
-    return b"".join(bytes.fromhex(pages.get(p, "00" * 1024)) for p in range(BUCKETS >> 10))
+def rarity(docs: DataFrame) -> bytes:
+    """How often words occur, for all of the corpus, in a table of fixed size: one byte for each of 2^18 buckets
+    of word hashes, a quarter of a power of two a step. Words are taken between spaces, so that two at a line's
+    end may count as one: any fixed order gives a right join, and rarity only makes its candidates few."""
+    words = docs.select(F.explode_outer(F.split(F.lower(text_or_empty()), " ")).alias("word"))
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("n") + 1))).cast("int")
+    digits = F.lpad(F.hex(level), 2, "0")
+    every = counts.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.coalesce(digits, F.lit("00")).alias("digits"))
+    pages = every.groupBy(F.shiftright("id", 10).alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "digits"))), lambda x: x["digits"]), "").alias("m"))
+    return b"".join(bytes.fromhex(r[1]) for r in sorted(pages.collect()))
 
 
 def _ceil(numerator: Column, denominator: int) -> Column:
@@ -60,17 +60,18 @@ def least_overlap(a: Column, b: Column, t: Fraction) -> Column:
 
 def sketch(lines: DataFrame, levels: bytes, t: Fraction) -> DataFrame:
     """(sid, k1, k2, n, b1, b2, prefix) of every line: a key of its token set, its size, the parities of its
-    tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of."""
+    tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here is
+    its rarity and 56 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and tokens
+    that then coincide cost a candidate, no result."""
     table = F.lit(levels)
-    sets = lines.select("sid", token_set(F.col("line")).alias("tokens"))
-    rank = lambda h: F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1)
-    sorted_ = F.sort_array(F.transform("tokens", lambda h: F.struct(rank(h).alias("r"), h.alias("h"))))
-    ordered = sets.select("sid", "tokens", F.transform(sorted_, lambda x: x["h"]).alias("ordered"), F.size("tokens").alias("n"))
-    place = lambda h: F.shiftrightunsigned(h, 7).bitwiseAND(127).cast("int")
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
-    parity = lambda high: F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, h: F.when((place(h) >= 64) == high, acc.bitwiseXOR(bit(place(h).bitwiseAND(63)))).otherwise(acc))
-    prefix = F.slice("ordered", 1, F.col("n") - _ceil(F.col("n") * t.numerator, t.denominator) + 1)
-    return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), "n", parity(F.lit(False)).alias("b1"), parity(F.lit(True)).alias("b2"), prefix.alias("prefix"))
+    rank = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string")).cast("long")
+    packed = lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))  # noqa: E731  rarest first, then by hash
+    ordered = lines.select("sid", F.sort_array(F.transform(token_set(F.col("line")), packed)).alias("ordered"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    half = lambda n: F.aggregate("ordered", F.lit(0).cast("long"), lambda acc, h: F.when(h.bitwiseAND(64) == n, acc.bitwiseXOR(bit(h))).otherwise(acc))
+    n = F.size("ordered")
+    prefix = F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), n.alias("n"), half(0).alias("b1"), half(64).alias("b2"), prefix.alias("prefix"))
 
 
 def only_with(big: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -89,11 +90,11 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     return both.where(F.col("same") >= least_overlap(F.size("x"), F.size("y"), t)).select("late", "early")
 
 
-def close_sizes(a: str, b: str, t: Fraction) -> Column:
-    """Length filter and parity filter: the tokens in which two sets differ change at least as many parities."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+def close_sizes(na: Column, nb: Column, t: Fraction) -> Column:
+    """Length filter and parity filter for rows a and b: the tokens in which two sets differ change at least as
+    many parities."""
     lengths = (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
-    differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
+    differ = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
     return lengths & (differ <= na + nb - 2 * least_overlap(na, nb, t))
 
 
@@ -107,30 +108,34 @@ def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
     pairs = materialize(parts.join(first, ["which", "part"]).where("sid <> early").select(F.col("sid").alias("late"), "early").distinct(), "leader-pairs")
     mine, its = sets.select("sid", "n", "b1", "b2").alias("a"), sets.select("sid", "n", "b1", "b2").alias("b")
     near = pairs.join(mine, F.col("late") == F.col("a.sid")).join(its, F.col("early") == F.col("b.sid"))
-    return near.where(close_sizes("a", "b", t)).select("late", "early")
-
-
-def prefix_pairs(late: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(late, early): pairs of lines that share a prefix token where enough tokens are left in both (positional
-    filter), whose sizes are close enough (length filter) and whose parities do not rule them out."""
-    postings = lambda x: x.select("sid", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
-    a, b = postings(late).alias("a"), postings(sets).alias("b")
-    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    enough = left >= least_overlap(F.col("a.n"), F.col("b.n"), t)
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.sid") < F.col("a.sid")) & close_sizes("a", "b", t) & enough)
+    return near.where(close_sizes(F.col("a.n"), F.col("b.n"), t)).select("late", "early")
+
+
+def prefix_pairs(sets: DataFrame, settled: DataFrame, t: Fraction) -> DataFrame:
+    """(late, early): pairs of lines, the later not among ``settled`` (late), that share a prefix token where
+    enough tokens are left in both (positional filter), whose sizes are close enough (length filter) and whose
+    parities do not rule them out. Settled lines carry a negative size, so that both sides of the join are the
+    same rows and are shuffled once; the condition that tells them apart spans both sides for the same reason."""
+    size = F.when(F.col("late").isNull(), F.col("n")).otherwise(-F.col("n"))
+    marked = sets.join(settled, sets["sid"] == settled["late"], "left").select("sid", size.alias("m"), "b1", "b2", "prefix")
+    postings = marked.select("sid", "m", "b1", "b2", F.posexplode_outer("prefix").alias("pos", "token"))
+    a, b = postings.alias("a"), postings.alias("b")
+    na, nb = F.abs("a.m"), F.abs("b.m")
+    enough = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= least_overlap(na, nb, t)
+    later = F.when(F.col("a.m") > 0, F.col("b.sid") < F.col("a.sid")).otherwise(F.lit(False))
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & later & close_sizes(na, nb, t) & enough)
     return joined.select(F.col("a.sid").alias("late"), F.col("b.sid").alias("early")).distinct()
 
 
 def later_matches(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier line matches; see ``dedup_lines``."""
     lines = lines_of(docs)
-    marks = materialize(sketch(lines, rarity(lines), similarity), "line-marks")
+    marks = materialize(sketch(lines, rarity(docs), similarity), "line-marks")
     keys = materialize(marks.groupBy("k1", "k2", "n").agg(F.min("sid").alias("first")), "line-sets")
     copies = marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).where("sid <> first").select(F.col("sid").alias("late"))
     sets = materialize(marks.join(keys.select(F.col("first").alias("sid")), "sid").dropDuplicates(["sid"]).select("sid", "n", "b1", "b2", "prefix"), "first-lines")
     led = materialize(verified(materialize(leader_pairs(sets, similarity), "near-leaders"), docs, similarity).select("late").distinct(), "led")
-    rest = materialize(sets.join(led, sets["sid"] == led["late"], "left_anti"), "unsettled")
-    found = verified(materialize(prefix_pairs(rest, sets, similarity), "line-pairs"), docs, similarity).select("late").distinct()
+    found = verified(materialize(prefix_pairs(sets, led, similarity), "line-pairs"), docs, similarity).select("late").distinct()
     firsts = materialize(led.unionByName(found), "matched-firsts")
     more = marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("sid", "first").join(firsts, F.col("first") == F.col("late")).select(F.col("sid").alias("late"))
     late = copies.unionByName(more).distinct()
@@ -143,7 +148,7 @@ def dedup_lines(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> DataF
     ``removed_lines``, the numbers (from 0) of the lines taken out.
 
     Lines are the stretches between line feeds, in order of doc_id and place; their words are split at ASCII
-    white space, letters A-Z lower-cased. A line goes if the word set of any earlier line, itself kept or
+    white space, lower-cased. A line goes if the word set of any earlier line, itself kept or
     not, has a Jaccard similarity of ``similarity`` or more with its own; the first of equal lines stays.
     Lines without words match nothing and stay. The join is exact; words are compared by 64-bit hashes.
 

@@ -79,7 +79,7 @@ def plain_line_dedup(rows, t):
     seen, removed = [], {}
     for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         for k, line in enumerate(text.split("\n")):
-            s = frozenset(line.encode().lower().split())
+            s = frozenset(line.lower().encode().split())
             if s:
                 if any(len(s & o) >= t * len(s | o) for o in seen):
                     removed.setdefault(doc, []).append(k)
