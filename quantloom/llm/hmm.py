@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,12 +38,16 @@ def words_of(text: str) -> list[bytes]:
     return out
 
 
+def numbered(words: list[bytes], index: dict[bytes, int], other: int) -> np.ndarray:
+    return np.fromiter(map(index.get, words, repeat(other)), np.int32, len(words))
+
+
 def as_text(words: Iterable[bytes]) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in words]
 
 
 def batches_of(texts: list[np.ndarray], cells: int = 1 << 18) -> Iterator[list[int]]:
-    """Indices of sequences of like length, so that a padded block has about ``cells`` symbols."""
+    """Indices of sequences of like length, so that a block has about ``cells`` symbols at most, were they padded."""
     order, now, most = np.argsort([len(x) for x in texts], kind="stable"), [], 0
     for i in order.tolist():
         most = max(most, len(texts[i]))
@@ -54,30 +59,35 @@ def batches_of(texts: list[np.ndarray], cells: int = 1 << 18) -> Iterator[list[i
         yield now
 
 
-def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def abreast(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all sequences, step by step, the longest sequence first within a step; the number of the
+    sequence that each is of; and where the steps begin. Nothing is padded."""
     lengths = np.array([len(x) for x in sequences])
+    order = np.argsort(-lengths, kind="stable")
     symbols = np.zeros((lengths.max(), len(sequences)), np.int32)
-    for j, x in enumerate(sequences):
-        symbols[: len(x), j] = x
-    return symbols, lengths
+    for j, i in enumerate(order.tolist()):
+        symbols[: lengths[i], j] = sequences[i]
+    inside = np.arange(len(symbols))[:, None] < lengths[order][None, :]
+    return symbols[inside], order[np.nonzero(inside)[1]], np.append(0, np.cumsum(inside.sum(1)))
+
+
+def forward(symbols: np.ndarray, at: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward recursion: (state, symbol) probabilities given what precedes, and each symbol's scale.
+    States are the first axis, so that every operation runs along many sequences."""
+    alpha, scale, into = m.emit.take(symbols, axis=1), np.empty(len(symbols)), np.ascontiguousarray(m.moves.T)
+    for t in range(len(at) - 1):
+        now = alpha[:, at[t] : at[t + 1]]
+        now *= into @ alpha[:, at[t - 1] : at[t - 1] + now.shape[1]] if t else m.start[:, None]
+        now /= now.sum(0, out=scale[at[t] : at[t + 1]])
+    return alpha, scale
 
 
 def log10_likelihood(sequences: list[np.ndarray], m: Model) -> np.ndarray:
     """log10 probability of each symbol sequence by the scaled forward recursion, many sequences abreast."""
     out = np.zeros(len(sequences))
-    rows = np.ascontiguousarray(m.emit.T)
     for block in batches_of(sequences):
-        symbols, lengths = padded([sequences[i] for i in block])
-        order = np.argsort(-lengths, kind="stable")
-        symbols, alive = symbols[:, order], np.searchsorted(-lengths[order], -np.arange(symbols.shape[0]), side="left")
-        total, alpha = np.zeros(len(block)), np.broadcast_to(m.start, (len(block), len(m.start)))
-        for t in range(symbols.shape[0]):
-            n = alive[t]
-            alpha = (alpha[:n] @ m.moves if t else alpha) * rows[symbols[t, :n]]
-            scale = alpha.sum(1)
-            alpha = alpha / scale[:, None]
-            total[:n] += np.log10(scale)
-        out[np.array(block)[order]] = total
+        symbols, owner, at = abreast([sequences[i] for i in block])
+        out[block] = np.bincount(owner, np.log10(forward(symbols, at, m)[1]), len(block))
     return out
 
 
@@ -85,33 +95,26 @@ def expected_counts(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray,
     """Baum-Welch: expected starts, moves and emissions of the sequences under the model."""
     k, size = m.emit.shape
     start, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
-    rows = np.ascontiguousarray(m.emit.T)
     for block in batches_of(sequences):
-        symbols, lengths = padded([sequences[i] for i in block])
-        order = np.argsort(-lengths, kind="stable")
-        lengths, symbols = lengths[order], symbols[:, order]
-        steps = symbols.shape[0]
-        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
-        alpha, scale = np.zeros((steps, len(block), k)), np.ones((steps, len(block)))
-        for t in range(steps):
-            n = alive[t]
-            a = (alpha[t - 1, :n] @ m.moves if t else np.broadcast_to(m.start, (n, k))) * rows[symbols[t, :n]]
-            scale[t, :n] = a.sum(1)
-            alpha[t, :n] = a / scale[t, :n, None]
-        beta = np.ones((len(block), k))
-        gamma = np.zeros_like(alpha)
-        for t in range(steps - 1, -1, -1):
-            n = alive[t]
-            gamma[t, :n] = alpha[t, :n] * beta[:n]
+        symbols, _, at = abreast([sequences[i] for i in block])
+        alpha, scale = forward(symbols, at, m)
+        back = m.emit.take(symbols, axis=1)
+        back /= scale
+        beta = np.ones((k, at[1]))
+        for t in range(len(at) - 2, -1, -1):
+            now = slice(at[t], at[t + 1])
+            n = at[t + 1] - at[t]
+            back[:, now] *= beta[:, :n]
             if t:
-                back = rows[symbols[t, :n]] * beta[:n] / scale[t, :n, None]
-                moves += m.moves * (alpha[t - 1, :n].T @ back)
-                beta[:n] = back @ m.moves.T
-        start += gamma[0].sum(0)
-        inside = np.arange(steps)[:, None] < lengths[None, :]
-        flat = symbols[inside]
+                before = alpha[:, at[t - 1] : at[t - 1] + n]
+                moves += m.moves * (before @ back[:, now].T)
+                alpha[:, now] *= beta[:, :n]
+                beta[:, :n] = m.moves @ back[:, now]
+            else:
+                alpha[:, now] *= beta
+        start += alpha[:, : at[1]].sum(1)
         for s in range(k):
-            emit[s] += np.bincount(flat, gamma[:, :, s][inside], size)
+            emit[s] += np.bincount(symbols, alpha[s], size)
     return start, moves, emit
 
 
@@ -170,10 +173,9 @@ def train(texts: DataFrame, common: dict[bytes, int], n_tokens: int, n_words: in
         def expect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             k, size = now.emit.shape
             total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, size))]
-            get = now.vocabulary.get
             for rows in parts:
                 for at in range(0, len(rows), 4000):
-                    sequences = [np.array([get(w, other) for w in words_of(t)], np.int32) for t in rows["text"].iloc[at : at + 4000]]
+                    sequences = [numbered(words_of(t), now.vocabulary, other) for t in rows["text"].iloc[at : at + 4000]]
                     for x, y in zip(total, expected_counts(sequences, now), strict=True):
                         x += y
             for kind, x in enumerate(total):
@@ -214,8 +216,9 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, states: int
         from pyspark import TaskContext
 
         common, model = shared.value
-        other, get = len(model.vocabulary), model.vocabulary.get
-        logs = {w: float(np.log10(c + 0.5)) for w, c in common.items()}
+        other = len(model.vocabulary)
+        index = model.vocabulary | {w: other + i for i, w in enumerate(w for w in common if w not in model.vocabulary)}
+        logs = np.array([*(np.log10(common[w] + 0.5) for w in index), 0.0])  # the last for rare words, numbered -1
         row = TaskContext.get().partitionId() << 33
         for rows in parts:
             for at in range(0, len(rows), 4000):
@@ -223,22 +226,14 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, states: int
                 sequences, sums, of, rare, times = [], [], [], [], []
                 for text in part["text"]:
                     words = words_of(text)
-                    sequences.append(np.array([get(w, other) for w in words], np.int32))
-                    known = within = 0
-                    logsum = inner = 0.0
-                    for w, n in Counter(words).items():
-                        x = logs.get(w)
-                        if x is None:
-                            of.append(row)
-                            rare.append(w)
-                            times.append(n)
-                        else:
-                            known += n
-                            logsum += n * x
-                            if w not in model.vocabulary:
-                                inner += n * x
-                    within = int((sequences[-1] == other).sum())
-                    sums.append((row, len(words), known, logsum, inner, within))
+                    ids = numbered(words, index, -1)
+                    outside, each = (ids < 0) | (ids >= other), logs[ids]
+                    sequences.append(np.where(outside, other, ids))
+                    unknown = Counter([words[i] for i in np.flatnonzero(ids < 0).tolist()])
+                    of.extend([row] * len(unknown))
+                    rare.extend(unknown)
+                    times.extend(unknown.values())
+                    sums.append((row, len(words), len(words) - unknown.total(), each.sum(), each[outside].sum(), int(outside.sum())))
                     row += 1
                 likely = log10_likelihood(sequences, model)
                 a = pd.DataFrame(sums, columns=["row", "n_tokens", "n_known", "logsum", "inner", "n_other"])
