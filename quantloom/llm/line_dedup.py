@@ -99,16 +99,17 @@ def close_sizes(na: Column, nb: Column, t: Fraction) -> Column:
 
 
 def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(late, early): each line with the first line that has one of its four parity parts, parts without a bit,
-    which short lines share, aside. Lines of a large
-    group of near copies are nearly all settled by their first one, without pairs among the group."""
+    """(late, early): each line with the earliest of the lines that are the first with one of its four parity
+    parts and that the filters do not rule out; parts without a bit, which short lines share, are left aside.
+    Lines of a large group of near copies are nearly all settled by their first one, without pairs among the
+    group; a line that its one leader does not settle is left to the prefix join."""
     part = [F.col(b).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(b, 32) for b in ("b1", "b2") for low in (True, False)]
     parts = sets.select("sid", "n", "b1", "b2", F.posexplode(F.array(*part)).alias("which", "part")).where("part <> 0")
     first = materialize(parts.groupBy("which", "part").agg(F.min("sid").alias("early"), F.max("sid").alias("last")).where("early < last").select("which", "part", "early"), "leaders")
     pairs = materialize(parts.join(first, ["which", "part"]).where("sid <> early").select(F.col("sid").alias("late"), "early").distinct(), "leader-pairs")
     mine, its = sets.select("sid", "n", "b1", "b2").alias("a"), sets.select("sid", "n", "b1", "b2").alias("b")
     near = pairs.join(mine, F.col("late") == F.col("a.sid")).join(its, F.col("early") == F.col("b.sid"))
-    return near.where(close_sizes(F.col("a.n"), F.col("b.n"), t)).select("late", "early")
+    return near.where(close_sizes(F.col("a.n"), F.col("b.n"), t)).groupBy("late").agg(F.min("early").alias("early"))
 
 
 def prefix_pairs(sets: DataFrame, settled: DataFrame, t: Fraction) -> DataFrame:
