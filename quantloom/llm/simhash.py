@@ -17,11 +17,11 @@ from .storage import materialize, text_or_empty
 SEGMENT_BITS, GROUPS = 2, 4
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash: a bit is set if it is set in over half of the hashes of the word shingles."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``shingle`` words, repeats included; a shorter text is hashed whole."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
@@ -29,7 +29,12 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     starts = [0, *(e + 1 for e in ends[:-1])]
     spans = zip(starts, ends[shingle - 1 :], strict=False) if len(words) >= shingle else [(0, at)]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((digest(view[a:b], 42) for a, b in spans), np.uint64)
+    return np.fromiter((digest(view[a:b], 42) for a, b in spans), np.uint64)
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """Signed 64-bit SimHash: a bit is set if it is set in over half of the hashes of the word shingles."""
+    hashes = shingle_hashes(text, shingle)
     total, step = np.zeros(64, np.int64), 1 << 16
     for i in range(0, len(hashes), step):
         part = hashes[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from quantloom.llm.queries import QUERIES
 
@@ -17,3 +19,41 @@ def test_run_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i for i, _ in clean} <= left and not left & {50, 51, 52, 53} and not any(i % 2 for i in left if i >= 100)
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", None, " \n", "Three short words", "three  SHORT words", "three short word"]
+    for n in (7, 12, 40, 100, 250, 1000):
+        for _ in range(4):
+            base = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, 5, 9):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(n)] = rng.choice(words)
+                texts.append(" ".join(copy).upper() if edits == 2 else " ".join(copy))
+    line = " ".join(words[:30])
+    texts += [f"{line} {i} {' '.join(rng.choice(words) for _ in range(i % 12))}" for i in range(60)]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i in range(len(texts)) if find(i) == i}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id < 0"), "").count() == 0
