@@ -73,14 +73,26 @@ def similar_windows(windows: DataFrame, items: DataFrame, radius: int, least: fl
     return both.withColumn("similarity", weighted_similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("key", "item_id", "similarity")
 
 
+def window_starts(places: Column, length: Column, size: Column, least: float) -> Column:
+    """Starts of all windows of ``size`` shingles, in a text of ``length`` of them, that hold as many of ``places``
+    (in order) as a similarity of ``least`` needs: of two sides with n shingles, least / (1 + least) * n."""
+    width = F.least(size, length)
+    need = F.greatest(F.lit(1), F.ceil((width + size) * (least / (1 + least)) - 1e-9).cast("int"))
+    last = F.size(places) - need
+    firsts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    spans = F.transform(firsts, lambda j: F.struct(F.greatest(F.lit(0), F.get(places, j + need - 1) - width + 1).alias("from"), F.least(F.get(places, j), length - width).alias("to")))
+    fit = F.filter(spans, lambda x: x["from"] <= x["to"])
+    return F.array_distinct(F.flatten(F.transform(fit, lambda x: F.sequence(x["from"], x["to"]))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity) of the windows of ``docs`` (doc_id, text) that match
     an item of ``benchmark`` (item_id, text).
 
-    Words are split at ASCII white space, A-Z lower-cased. A window has as many words as the item and is put
-    where a shingle of ``shingle`` words that it shares with the item would stand: a window that shares none
-    has similarity zero, so the screen loses nothing and only such windows are fingerprinted. Fingerprints
-    within ``radius`` bits are found by blocks, and the similarity of the shingles, weighted by how often
+    Words are split at ASCII white space, A-Z lower-cased. A window has as many words as the item, or all of a
+    shorter text. Of all windows at every start, those are fingerprinted that hold as many shingles (of
+    ``shingle`` words) of the item, in whatever order, as ``least`` needs at the least: the screen loses
+    nothing. Fingerprints within ``radius`` bits are found by blocks, and the similarity of the shingles, weighted by how often
     they occur, must reach ``least``. Two sets of shingles at 0.8 differ in 9.7 of 64 bits on average with a
     deviation of 2.9, so a radius of 20 lies 3.6 deviations beyond.
 
@@ -89,24 +101,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: f
     """
     items = benchmark.where("item_id is not null").select("item_id", words_of(text_or_empty()).alias("words")).where(F.size("words") > 0)
     items = materialize(items.select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(shingle)).alias("k")), "items")
-    texts = docs.where("doc_id is not null").select("doc_id", words_of(text_or_empty()).alias("words"))
+    texts = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("text"))
     found = None
     for k in [r[0] for r in items.select("k").distinct().orderBy("k").collect()]:
         mine = materialize(items.where(F.col("k") == k).select("item_id", "n", shingle_hashes("words", k).alias("hashes")), "item-shingles")
-        places = mine.select("item_id", "n", F.col("hashes").alias("its"), F.posexplode("hashes").alias("q", "h"))
-        places = places.select("h", "item_id", "n", "q", F.when(F.col("q") > 0, F.element_at("its", F.col("q"))).alias("before"))
+        places = mine.select("item_id", "n", F.explode("hashes").alias("h")).distinct()
         few = places.count() <= SENT_SHINGLES
-        hashed = texts.select("doc_id", shingle_hashes("words", k).alias("hashes"))
+        hashed = texts.select("doc_id", "row", words_of(F.col("text")).alias("words")).select("doc_id", "row", shingle_hashes("words", k).alias("hashes"))
         # explode_outer: for explode, Spark adds a filter on the array's size and computes the array anew for it
-        spread = hashed.select("doc_id", "hashes", F.posexplode_outer("hashes").alias("p", "h"))
-        if few:  # the array goes along at no cost, as it is copied for matches only
+        spread = hashed.select("doc_id", "row", "hashes", F.posexplode_outer("hashes").alias("p", "h"))
+        if few:  # the array goes along at no cost, as its size is taken for matches only
             met = spread.join(F.broadcast(places), "h")
         else:
-            met = spread.select("doc_id", "p", "h").join(places, "h").join(hashed, "doc_id")
-        first = F.col("before").isNull() | (F.col("p") == 0) | (F.get("hashes", F.col("p") - 1) != F.col("before"))
-        last = F.greatest(F.lit(0), F.size("hashes") - (F.col("n") - k + 1))
-        start = F.least(F.greatest(F.col("p") - F.col("q"), F.lit(0)), last)
-        cut = met.where(first).select("doc_id", "n", start.alias("start"), F.slice("hashes", start + 1, F.col("n") - k + 1).alias("hashes"))
+            met = spread.select("doc_id", "row", F.size("hashes").alias("len"), "p", "h").join(places, "h")
+        size = (lambda: F.size("hashes")) if few else (lambda: F.col("len"))
+        hits = met.select("doc_id", "row", "item_id", "n", size().alias("len"), "p").groupBy("doc_id", "row", "item_id", "n", "len").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        wanted = hits.select("doc_id", "row", "n", window_starts(F.col("ps"), F.col("len"), F.col("n") - k + 1, least).alias("starts")).where(F.size("starts") > 0)
+        wanted = materialize(wanted, "window-starts")
+        whole = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_SHINGLES else wanted, ["doc_id", "row"])
+        whole = whole.select("doc_id", "n", "starts", words_of(F.col("text")).alias("words")).select("doc_id", "n", "starts", shingle_hashes("words", k).alias("hashes"))
+        cut = whole.select("doc_id", "n", "hashes", F.explode_outer("starts").alias("start")).select("doc_id", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("n") - k + 1).alias("hashes"))
         keyed = materialize(cut.select("doc_id", "n", "start", "hashes", F.xxhash64("n", "hashes").alias("key")), "windows")
         distinct = materialize(keyed.select("key", "n", "hashes").dropDuplicates(["key"]), "distinct-windows")
         matches = materialize(similar_windows(distinct, mine, radius, least), "window-matches")

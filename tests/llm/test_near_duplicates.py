@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -156,3 +157,29 @@ def test_vectors_equal_brute_force(spark, dense):
 
 def test_vectors_of_nothing(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_leaks_equal_brute_force_over_all_windows(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    items = [(i, words(rng.choice([5, 20, 49, 50]))) for i in range(12)] + [(50, ["a", "b"] * 10)]
+    docs = []
+    for i, item in items:
+        for moved in (0, 1, 3, 6, 10, 25):
+            part = item[moved:] + item[:moved]
+            if moved == 3 and len(part) > 30:
+                part[30:30] = words(1)
+            docs.append((len(docs), words(rng.randrange(30)) + part + words(rng.randrange(30))))
+        docs.append((len(docs), item[: len(item) - 1]))
+    docs += [(500, ["a", "b"] * 40), (501, words(60)), (0, items[3][1])]
+    counted = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            n, k = len(item), min(5, len(item))
+            for at in range(max(1, len(text) - n + 1)):
+                a, b = counted(text[at : at + n], k), counted(item, k)
+                if a and (a & b).total() >= 0.8 * (a | b).total():
+                    want.add((d, i, at))
+    got = find_leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["start_word"]) for r in got.collect()} == want
