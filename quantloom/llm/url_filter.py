@@ -32,13 +32,56 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
+def decoded(text: Column) -> Column:
+    """Character references usual in urls replaced; that of the ampersand last, so that nothing is decoded twice."""
+    for pattern, sign in ((r"(?i)&(?:#0*47|#x0*2f|sol);", "/"), (r"(?i)&(?:#0*58|#x0*3a|colon);", ":"), (r"(?i)&(?:#0*61|#x0*3d|equals);", "="), (r"(?i)&(?:#0*63|#x0*3f|quest);", "?"), (r"(?i)&(?:#0*35|#x0*23|num);", "#"), (r"(?i)&(?:#0*34|#x0*22|quot);", '"'), (r"(?i)&(?:#0*39|#x0*27|apos);", "'"), (r"(?i)&(?:#0*60|#x0*3c|lt);", "<"), (r"(?i)&(?:#0*62|#x0*3e|gt);", ">"), (r"(?i)&(?:#0*38|#x0*26|amp);", "&")):
+        text = F.regexp_replace(text, pattern, sign)
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on without its ``.`` and ``..`` parts; one of these at the end leaves a ``/``."""
+    parts = F.split(path, "/", -1)
+    up = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x))),
+    )
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.size(up) > 0, F.concat(F.lit("/"), F.array_join(up, "/"), ends)).otherwise(F.lit("/"))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that a page at ``base`` means by ``target``: one with a scheme stands as it is; others take the
+    base's scheme, host, directory or path, as far as they leave them out. A base without ``://`` resolves nothing."""
+    scheme, origin = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path, asked = path_of(base), F.regexp_extract(base, r"(?s)^[^#]*", 0)
+    mine, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (origin == "") | base.isNull(), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(origin, without_dots(mine), rest))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when(target.startswith("#"), F.concat(asked, target))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, mine)), rest))
+    )
+
+
 def links_in_pages(pages: DataFrame) -> DataFrame:
-    """(source, target) of each page's canonical link and of its redirect by meta refresh."""
-    link = F.regexp_extract("html", r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1)
-    some = F.explode(F.filter(F.array(link, refresh), lambda x: F.length(x) > 0))
+    """(source, target) of all canonical links and redirects by meta refresh of each page, decoded and resolved
+    against the page's url."""
+    value = r"""(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))"""
+    tag = lambda name, needs: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b(?=[^>]*\b{needs})[^>]*>"), F.lit(0))
+    links, metas = tag("link", r"rel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), tag("meta", r"http-equiv\s*=\s*[\"']?refresh\b")
+    put = lambda x, pattern: F.coalesce(*[F.nullif(F.regexp_extract(x, pattern, i), F.lit("")) for i in (1, 2, 3)])
+    hrefs = F.transform(links, lambda x: put(x, rf"(?is)\bhref\s*=\s*{value}"))
+    contents = F.transform(metas, lambda x: put(x, rf"(?is)\bcontent\s*=\s*{value}"))
+    jumps = F.transform(contents, lambda x: F.regexp_extract(decoded(x), r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1))
     likely = F.lower("html").contains("canonical") | F.lower("html").contains("http-equiv")
-    return pages.where(likely).select(F.col("url").alias("source"), some.alias("target"))
+    found = pages.where(likely).select(F.col("url").alias("source"), F.explode(F.concat(F.transform(hrefs, decoded), jumps)).alias("target"))
+    trimmed = found.select("source", F.btrim("target", F.lit(" \t\n\x0c\r")).alias("target")).where("target <> ''")
+    return trimmed.select("source", resolved(F.col("target"), F.col("source")).alias("target"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -50,7 +93,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     holds for it even among blocked aliases; without a blocked alias the verdict is ``default``.
 
     Null urls and urls without ``://`` have an empty host and path, fit no rule and have no aliases beyond
-    equal text; a null html has no links. Repeated urls are judged alike. Empty tables yield no rows.
+    equal text or links that name a whole url; a null html has no links. Targets in pages are resolved against the
+    page's url (``base`` elements are not read). Repeated urls are judged alike. Empty tables yield no rows.
     """
     edges = links_in_pages(pages)
     if redirects is not None:

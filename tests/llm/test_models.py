@@ -129,3 +129,15 @@ def test_url_verdicts(spark, pages):
         ("x.org", "/1", None, "block"), ("y.org", "/2", None, "block"), ("z.com", "/3", "com/", "allow"), ("q.org", "/", None, "allow"), ("q.org", "/", None, "allow"), ("r.org", "/", None, "block"),
     ]
     assert judge_urls(pages.where("page_id < 0"), URL_RULES).count() == 0
+
+
+def test_links_are_all_taken_decoded_and_resolved(spark):
+    link = lambda *us: "".join(f'<link rel="canonical" href="{u}">' for u in us)
+    rows = [
+        (1, "https://b.net/es/x", link("/")), (2, "https://b.net/", ""), (3, "http://o.org/p", link("/")), (4, "http://o.org/", ""),
+        (5, "http://m.org/a", link("http://none.org/", "https://b.net/fr/1")), (6, "http://e.org/a?x=1&y=2", ""), (7, "https://b.net/es/2", link("http://e.org/a?x=1&amp;y=2")),
+        (8, "https://b.net/es/d/e", link("../../up.html")), (9, "https://b.net/up.html", ""), (10, "https://b.net/es/q", "<meta http-equiv=refresh content=\"0; URL='//s.org/z'\">"), (11, "https://s.org/z", ""),
+        (12, "noscheme", link("/")), (13, "http://m.org/dir/a", link("index.html")), (14, "http://m.org/dir/index.html", "<link href='https://b.net/es/x' rel=canonical>"),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 5, 6, 7, 8, 9, 10, 11, 13, 14} and len(got) == 14
