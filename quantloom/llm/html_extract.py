@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -24,27 +24,75 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end when one of the named elements begins beside them.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Each pattern takes what it matches for good (no backtracking), so a page is read once however broken it is.
+#: What follows an element's name up to its end. A quote counts as one only behind an equals sign.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+(>|\Z)")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+NAMED = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
+@dataclass(slots=True, eq=False)
+class Node:
+    """An open element: its name, the element around it, the features that hold inside it and not already
+    around it, and the words that say what it belongs to, its own or those of the nearest element with any."""
+
+    tag: str
+    parent: "Node | None"
+    fresh: tuple[str, ...]
+    near: tuple[str, ...]
+    score: tuple[float, float] | None = None
+
+
 @dataclass(slots=True)
 class Block:
-    """A leaf block: its text, its ancestors (element, class words) from the outside in, and how many of its
-    letters stand in links."""
+    """A leaf block: its text, the element it stands in, and how many of its letters stand in links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     linked: int
 
 
+class Open:
+    """The open elements, outermost first. Where each kind of element and each feature is open is known without
+    looking through them, so deep nesting costs nothing."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.holds: set[str] = set()
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def node(self, tag: str, names: tuple[str, ...]) -> Node:
+        """An element inside all that are open, not yet opened."""
+        inside = dict.fromkeys([f"in={tag}", *(f"name={w}" for w in names)])
+        near = names or ((tag,) if tag in LANDMARKS else self.nodes[-1].near if self.nodes else ())
+        return Node(tag, self.top(), tuple(f for f in inside if f not in self.holds), near)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.holds.update(node.fresh)
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def cut(self, length: int) -> None:
+        while len(self.nodes) > length:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            self.holds.difference_update(node.fresh)
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """Blocks in page order. Inline elements and ``<br>`` do not end a block, comments vanish, the content of
     scripts, styles and the like is a block of its own, unclosed elements end where HTML ends them, and stray
-    end tags are passed over. Character references are decoded and white space is one space."""
+    end tags are passed over. Character references are decoded and white space is one space. What is left open
+    at the end of the page, be it a tag, a comment or a quoted value, ends there and is no text."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Open()
     parts: list[str] = []
     linked = links = 0
 
@@ -53,39 +101,51 @@ def leaf_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, tuple(stack), linked))
+                blocks.append(Block(text, stack.top(), linked))
             parts.clear()
         linked = 0
 
-    def close(names: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+    def close(names: Iterable[str], stop: Iterable[str]) -> None:
+        i = stack.last(names)
+        if i > stack.last(stop):
+            flush()
+            stack.cut(i)
 
-    at, size = 0, len(html)
-    while at < size:
-        found = TOKEN.search(html, at)
-        text = html[at : found.start() if found else size]
+    def add(text: str) -> None:
+        nonlocal linked
         if text:
             parts.append(text)
             if links:
                 linked += len(text)
-        if not found:
+
+    at, size = 0, len(html)
+    while at < size:
+        sign = html.find("<", at)
+        add(html[at : sign if sign >= 0 else size])
+        if sign < 0:
             break
-        at = found.end() if found.end() > found.start() else found.start() + 1
-        tag = found[2]
-        if not tag:
+        name = NAME.match(html, sign + 1)
+        if not name:
+            kind = html[sign + 1 : sign + 2]
+            if kind in ("!", "?", "/"):  # comments and the like
+                start, end = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if html.startswith(x[0], sign)), ("<!", ">"))
+                found = html.find(end, sign + len(start))
+                at = found + len(end) if found >= 0 else size
+            else:
+                add("<")
+                at = sign + 1
             continue
-        tag = tag.lower()
-        if found[1]:
+        rest = REST.match(html, name.end())
+        at = rest.end()
+        if not rest[1]:
+            break
+        tag = name[0].lower()
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
-                links = max(0, links - 1)
+                links = 0
             elif tag == "p" or tag not in INLINE and tag not in VOID:
-                close({tag}, {"table"} if tag not in ("table", "body", "html") else set())
+                close((tag,), ("table",) if tag not in ("table", "body", "html") else ())
             continue
         if tag == "br":
             parts.append(" ")
@@ -98,41 +158,51 @@ def leaf_blocks(html: str) -> list[Block]:
         flush()
         links = 0
         if tag in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button"})
+            close(("p",), ("table", "td", "th", "button"))
         if tag in ENDED_BY:
-            close({t for t, by in ENDED_BY.items() if tag in by}, {"ul", "ol", "dl", "table", "select", "article", "section", "div"})
-        names = tuple(w for m in NAMED.finditer(found[3] or "") for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
+            close([t for t, by in ENDED_BY.items() if tag in by], ("ul", "ol", "dl", "table", "select", "article", "section", "div"))
+        names = tuple(w for m in NAMED.finditer(rest[0]) for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
+        node = stack.node(tag, names)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(html, at)
+            end = _end_of(tag).search(html, at)
             inner = " ".join(unescape(html[at : end.start()]).split())
             if inner:
-                blocks.append(Block(inner, (*stack, (tag, names)), 0))
+                blocks.append(Block(inner, node, 0))
             at = max(end.end(), at)
-        elif tag not in VOID and not (found[3] or "").endswith("/"):
-            stack.append((tag, names))
+        elif tag not in VOID and not rest[0].endswith("/>"):
+            stack.push(node)
     flush()
     return blocks
 
 
-def block_features(block: Block) -> list[str]:
-    """Names of the features that hold for a block: its element, the elements and class words around it, the
-    nearest of them that says what the block belongs to, and the shape of its text."""
-    tags = [t for t, _ in block.path]
-    out = ["bias", f"tag={tags[-1] if tags else 'none'}"]
-    out += {f"in={t}" for t in tags}
-    out += {f"name={w}" for _, names in block.path for w in names}
-    for tag, names in reversed(block.path):
-        if names or tag in LANDMARKS:
-            out += {f"near={w}" for w in names or (tag,)}
-            break
+@lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)|\Z", re.I)
+
+
+def own_features(block: Block) -> tuple[str, ...]:
+    """Names of the features of a block by itself: its element, the nearest words that say what it belongs to,
+    and the shape of its text."""
+    tag = block.node.tag if block.node else "none"
+    out = ["bias", f"tag={tag}"]
+    out += sorted({f"near={w}" for w in block.node.near} if block.node else ())
     n = len(block.text)
     out.append("len=" + ("0" if n < 25 else "1" if n < 80 else "2" if n < 250 else "3"))
     share = block.linked / max(1, n)
     out.append("links=" + ("0" if share < 0.1 else "1" if share < 0.6 else "2"))
     if block.text[-1] in ".!?…。":
         out.append("ends=stop")
-    if tags and tags[-1] in HEADINGS:
+    if tag in HEADINGS:
         out.append("heading")
+    return tuple(out)
+
+
+def block_features(block: Block) -> list[str]:
+    """All features of a block: its own, and the elements and class words around it."""
+    out, node = list(own_features(block)), block.node
+    while node:
+        out += node.fresh
+        node = node.parent
     return out
 
 
@@ -184,16 +254,28 @@ class Crf:
     weights: dict[str, tuple[float, float]]
     moves: np.ndarray
 
+    def around(self, node: Node | None) -> tuple[float, float]:
+        """Weights of the features that hold inside an element, kept at each element."""
+        way = []
+        while node and node.score is None:
+            way.append(node)
+            node = node.parent
+        score = node.score if node else (0.0, 0.0)
+        for x in reversed(way):
+            found = [self.weights[f] for f in x.fresh if f in self.weights]
+            x.score = score = (score[0] + sum(w[0] for w in found), score[1] + sum(w[1] for w in found))
+        return score
+
     def scores(self, blocks: list[Block]) -> np.ndarray:
-        zero = (0.0, 0.0)
         seen: dict[tuple[str, ...], tuple[float, float]] = {}
         out = np.zeros((len(blocks), 2))
         for i, b in enumerate(blocks):
-            key = tuple(sorted(block_features(b)))
+            key = own_features(b)
             if key not in seen:
-                pairs = [self.weights.get(f, zero) for f in key]
-                seen[key] = (sum(p[0] for p in pairs), sum(p[1] for p in pairs))
-            out[i] = seen[key]
+                found = [self.weights[f] for f in key if f in self.weights]
+                seen[key] = (sum(w[0] for w in found), sum(w[1] for w in found))
+            (x, y), (u, v) = seen[key], self.around(b.node)
+            out[i] = x + u, y + v
         return out
 
     def decode(self, blocks: list[Block]) -> list[int]:
@@ -254,8 +336,10 @@ def default_crf() -> Crf:
 
 
 def main_text(html: str, model: Crf) -> str:
+    """Texts of the blocks labelled as main text. The content of scripts, styles and the like may be markup or
+    code, and is none whatever its label."""
     blocks = leaf_blocks(html)
-    return "\n".join(b.text for b, keep in zip(blocks, model.decode(blocks), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, model.decode(blocks), strict=True) if keep and not (b.node and b.node.tag in RAW))
 
 
 def extract_main_text(pages: DataFrame, model: Crf | None = None) -> DataFrame:
