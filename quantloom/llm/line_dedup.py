@@ -2,51 +2,90 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, text_or_empty
+from .storage import discard, free_name, materialize, text_or_empty
 
-SPACE = r"[ \t\n\x0B\f\r]+"
-LINE_BITS = 24
-BUCKETS = 1 << 18
+#: Word hashes are counted in this many buckets.
+BUCKETS = 1 << 16
 #: Up to this many ids are sent to every task; beyond it, both sides are shuffled.
-SENT_IDS = 500_000
-
-
-def line_id(doc: Column, line: Column) -> Column:
-    """One long that orders lines by document and place."""
-    fits = (F.abs(doc) < 1 << (62 - LINE_BITS)) & (line < 1 << LINE_BITS)
-    return F.when(fits, F.shiftleft(doc, LINE_BITS).bitwiseOR(line.cast("long"))).otherwise(F.raise_error(F.lit("doc_id or line number out of range")))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(sid, line) of every line with words, lower-cased, its words one space apart. The outer form of explode
-    keeps Spark from splitting each text once more for a filter on the number of lines."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.lower(text_or_empty()), "\n", -1)).alias("line_no", "line"))
-    trimmed = lines.select(line_id(F.col("doc_id"), F.col("line_no")).alias("sid"), F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line"))
-    spaced = F.when(F.col("line").rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line"))
-    return trimmed.where("line <> ''").select("sid", spaced.alias("line"))
+SENT_IDS = 1_000_000
+#: Parity parts that more lines than this have get a leader first.
+CROWD = 2
+#: Lines of this many words carry the parities of their words in 128 bits, shorter ones in 64.
+WIDE = 24
+
+
+@dataclass(frozen=True, slots=True)
+class Numbered:
+    """Documents with a number each, in order; a line's id is that number and ``bits`` bits for its place."""
+
+    docs: DataFrame
+    number: Column
+    bits: int
+
+
+def numbered(docs: DataFrame) -> Numbered:
+    """Numbers for all rows with a doc_id, in order of doc_id. Where ids are distinct and near enough to each
+    other they serve as they are. Else rows are sorted once by doc_id and text hash, numbered within their
+    partition, and written; a partition's first number comes from one row a partition."""
+    doc = F.col("doc_id").cast("long")
+    known = docs.where(doc.isNotNull())
+    low, high, rows = known.agg(F.min(doc), F.max(doc), F.count(F.lit(1))).first()
+    bits = 31  # enough for any text
+    if not rows:
+        return Numbered(docs, doc, bits)
+    if high - low >= 1 << (62 - bits):  # look how long the longest text is
+        bits = max(1, (known.agg(F.max(F.octet_length("text"))).first()[0] or 0).bit_length())
+    if high - low < 1 << (62 - bits) and known.groupBy(doc.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return Numbered(docs, doc - F.lit(low), bits)
+    if rows >= 1 << (62 - bits):
+        raise ValueError(f"{rows} rows with lines of up to {bits} bits do not fit into one long")
+    name, order = free_name("line_owner", docs.columns), [doc.asc_nulls_first(), F.xxhash64("text")]
+    dealt = materialize(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part, first, starts = F.shiftright(name, 33), 0, []
+    for p, n in sorted(tuple(r) for r in dealt.groupBy(part).agg(F.count(F.lit(1))).collect()):
+        starts += [F.lit(p), F.lit(first)]
+        first += n
+    return Numbered(dealt, F.create_map(*starts)[part] + F.col(name).bitwiseAND((1 << 33) - 1), bits)
+
+
+def spaced(text: Column) -> Column:
+    """Lower-cased, and with plain spaces for the other white space inside lines."""
+    out = F.lower(text)
+    for c in "\t\x0b\f\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
+def lines_of(some: Numbered) -> DataFrame:
+    """(sid, line) of every line with words. The outer form of explode keeps Spark from splitting each text once
+    more for a filter on the number of lines."""
+    texts = some.docs.where("doc_id is not null").select(some.number.alias("num"), spaced(text_or_empty()).alias("text"))
+    lines = texts.select("num", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    sid = F.shiftleft("num", some.bits).bitwiseOR(F.col("line_no").cast("long"))
+    return lines.select(sid.alias("sid"), F.btrim("line").alias("line")).where("line <> ''")
 
 
 def token_set(line: Column) -> Column:
     """Hashes of the distinct words. Splitting at one plain character needs no regular expression."""
-    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    words = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """How often words occur, for all of the corpus, in a table of fixed size: one byte for each of 2^18 buckets
-    of word hashes, a quarter of a power of two a step. Words are taken between spaces, so that two at a line's
-    end may count as one: any fixed order gives a right join, and rarity only makes its candidates few."""
-    words = docs.select(F.explode_outer(F.split(F.lower(text_or_empty()), " ")).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("n") + 1))).cast("int")
-    digits = F.lpad(F.hex(level), 2, "0")
-    every = counts.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.coalesce(digits, F.lit("00")).alias("digits"))
-    pages = every.groupBy(F.shiftright("id", 10).alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "digits"))), lambda x: x["digits"]), "").alias("m"))
-    return b"".join(bytes.fromhex(r[1]) for r in sorted(pages.collect()))
+def rarity(docs: DataFrame) -> Column:
+    """How often words occur, for all of the corpus, in an array of fixed size: for each of 2^16 buckets of word
+    hashes, half a power of two a step, 63 at most. Words are taken between spaces and in their own case, so that two at
+    a line's end may count as one: any fixed order gives a right join, and rarity only makes its candidates few."""
+    words = docs.select(F.explode_outer(F.split(text_or_empty(), " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int")
+    found = dict(counts.select("bucket", level).collect())
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BUCKETS))), ",").cast("array<int>")
 
 
 def _ceil(numerator: Column, denominator: int) -> Column:
@@ -58,20 +97,28 @@ def least_overlap(a: Column, b: Column, t: Fraction) -> Column:
     return _ceil((a + b) * t.numerator, t.numerator + t.denominator)
 
 
-def sketch(lines: DataFrame, levels: bytes, t: Fraction) -> DataFrame:
+def least_partner_overlap(n: Column, t: Fraction) -> Column:
+    """A set of n and a similar one that is not smaller share at least this many tokens."""
+    return _ceil(n * (2 * t.numerator), t.numerator + t.denominator)
+
+
+def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     """(sid, k1, k2, n, b1, b2, prefix) of every line: a key of its token set, its size, the parities of its
-    tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here is
-    its rarity and 56 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and tokens
-    that then coincide cost a candidate, no result."""
-    table = F.lit(levels)
-    rank = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string")).cast("long")
-    packed = lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))  # noqa: E731  rarest first, then by hash
-    ordered = lines.select("sid", F.sort_array(F.transform(token_set(F.col("line")), packed)).alias("ordered"))
+    tokens in 64 or 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here
+    is its rarity and 57 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and
+    tokens that then coincide cost a candidate, no result. Sets that can only equal their partners have no prefix."""
+    rank = lambda h: F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
+    packed = lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))  # noqa: E731  rarest first, then by hash
+    ordered = lines.select("sid", F.sort_array(F.transform(token_set(F.col("line")), packed)).alias("ordered")).select("sid", "ordered", F.size("ordered").alias("n"))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    half = lambda n: F.aggregate("ordered", F.lit(0).cast("long"), lambda acc, h: F.when(h.bitwiseAND(64) == n, acc.bitwiseXOR(bit(h))).otherwise(acc))
-    n = F.size("ordered")
-    prefix = F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), n.alias("n"), half(0).alias("b1"), half(64).alias("b2"), prefix.alias("prefix"))
+    zero = F.lit(0).cast("long")
+    half = lambda k: F.aggregate("ordered", zero, lambda acc, h: F.when(h.bitwiseAND(64) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
+    every = F.aggregate("ordered", zero, lambda acc, h: acc.bitwiseXOR(bit(h)))
+    n = F.col("n")
+    some = n * (t.denominator - t.numerator) >= t.numerator
+    prefix = F.when(some, F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")))
+    b1, b2 = F.when(~some, zero).when(n < WIDE, every).otherwise(half(0)), F.when(n < WIDE, zero).otherwise(half(64))
+    return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), "n", b1.alias("b1"), b2.alias("b2"), prefix.alias("prefix"))
 
 
 def only_with(big: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -79,88 +126,104 @@ def only_with(big: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return big.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, column, "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, some: Numbered, t: Fraction) -> DataFrame:
     """Of the pairs (late, early) of line ids, those whose token sets, read again from the texts, are similar."""
     ids = materialize(pairs.select(F.explode(F.array("late", "early")).alias("sid")).distinct(), "line-ids")
-    owners = materialize(ids.select(F.shiftright("sid", LINE_BITS).alias("doc_id")).distinct(), "line-owners")
-    some = only_with(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), owners, "doc_id")
-    tokens = materialize(only_with(lines_of(some), ids, "sid").dropDuplicates(["sid"]).select("sid", token_set(F.col("line")).alias("tokens")), "line-tokens")
-    a, b = tokens.select(F.col("sid").alias("late"), F.col("tokens").alias("x")), tokens.select(F.col("sid").alias("early"), F.col("tokens").alias("y"))
-    both = pairs.join(a, "late").join(b, "early").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("same") >= least_overlap(F.size("x"), F.size("y"), t)).select("late", "early")
-
-
-def close_sizes(na: Column, nb: Column, t: Fraction) -> Column:
-    """Length filter and parity filter for rows a and b: the tokens in which two sets differ change at least as
-    many parities."""
+    owners = materialize(ids.select(F.shiftright("sid", some.bits).alias("num")).distinct(), "line-owners")
+    texts = only_with(some.docs.select("doc_id", "text", some.number.alias("num")), owners, "num")
+    lines = materialize(only_with(lines_of(Numbered(texts, F.col("num"), some.bits)), ids, "sid"), "candidate-lines")
+    a, b = lines.select(F.col("sid").alias("late"), F.col("line").alias("x")), lines.select(F.col("sid").alias("early"), F.col("line").alias("y"))
+    both = pairs.join(a, "late").join(b, "early").select("late", "early", token_set(F.col("x")).alias("x"), token_set(F.col("y")).alias("y"))
+    found = both.where(F.size(F.array_intersect("x", "y")) >= least_overlap(F.size("x"), F.size("y"), t)).select("late", "early")
+    found = materialize(found.select("late").distinct(), "similar-lines")
+    discard(ids, owners, lines)
+    return found
+
+
+def may_match(a: str, b: str, t: Fraction) -> Column:
+    """Length filter and parity filter for rows ``a`` and ``b``: the tokens in which two sets differ change at
+    least as many parities. Both sets must be short or both long for the second."""
+    na, nb = F.abs(f"{a}.n"), F.abs(f"{b}.n")
     lengths = (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
-    differ = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
-    return lengths & (differ <= na + nb - 2 * least_overlap(na, nb, t))
+    differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
+    return lengths & (((na < WIDE) != (nb < WIDE)) | (differ <= na + nb - 2 * least_overlap(na, nb, t)))
 
 
 def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
     """(late, early): each line with the earliest of the lines that are the first with one of its four parity
-    parts and that the filters do not rule out; parts without a bit, which short lines share, are left aside.
-    Lines of a large group of near copies are nearly all settled by their first one, without pairs among the
-    group; a line that its one leader does not settle is left to the prefix join."""
-    part = [F.col(b).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(b, 32) for b in ("b1", "b2") for low in (True, False)]
-    parts = sets.select("sid", "n", "b1", "b2", F.posexplode(F.array(*part)).alias("which", "part")).where("part <> 0")
-    first = materialize(parts.groupBy("which", "part").agg(F.min("sid").alias("early"), F.max("sid").alias("last")).where("early < last").select("which", "part", "early"), "leaders")
-    pairs = materialize(parts.join(first, ["which", "part"]).where("sid <> early").select(F.col("sid").alias("late"), "early").distinct(), "leader-pairs")
-    mine, its = sets.select("sid", "n", "b1", "b2").alias("a"), sets.select("sid", "n", "b1", "b2").alias("b")
-    near = pairs.join(mine, F.col("late") == F.col("a.sid")).join(its, F.col("early") == F.col("b.sid"))
-    return near.where(close_sizes(F.col("a.n"), F.col("b.n"), t)).groupBy("late").agg(F.min("early").alias("early"))
+    parts, if over ``CROWD`` lines have that part and the filters do not rule it out; parts without a bit are left
+    aside. Lines of a large group of near copies are nearly all settled by their first one, without pairs among
+    the group; a line that its one leader does not settle is left to the prefix join."""
+    part = [F.struct(F.lit(2 * i + low).alias("which"), (F.col(b).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(b, 32)).alias("part")) for i, b in enumerate(("b1", "b2")) for low in (0, 1)]
+    parts = sets.where("prefix is not null").select("sid", "n", "b1", "b2", F.explode(F.array(*part)).alias("p")).select("sid", "n", "b1", "b2", "p.which", "p.part").where("part <> 0")
+    first = parts.groupBy("which", "part").agg(F.min("sid").alias("early"), F.count(F.lit(1)).alias("lines")).where(F.col("lines") > CROWD)
+    first = materialize(first.select("which", "part", "early"), "leaders")
+    heads = only_with(sets.select(F.col("sid").alias("early"), "n", "b1", "b2"), first.select("early").distinct(), "early")
+    led = materialize(first.join(heads, "early"), "leader-lines")
+    a, b = parts.alias("a"), (F.broadcast(led) if led.count() <= SENT_IDS else led).alias("b")
+    near = a.join(b, (F.col("a.which") == F.col("b.which")) & (F.col("a.part") == F.col("b.part")) & (F.col("b.early") < F.col("a.sid")) & may_match("a", "b", t))
+    return near.groupBy(F.col("a.sid").alias("late")).agg(F.min("b.early").alias("early"))
 
 
 def prefix_pairs(sets: DataFrame, settled: DataFrame, t: Fraction) -> DataFrame:
     """(late, early): pairs of lines, the later not among ``settled`` (late), that share a prefix token where
     enough tokens are left in both (positional filter), whose sizes are close enough (length filter) and whose
-    parities do not rule them out. Settled lines carry a negative size, so that both sides of the join are the
-    same rows and are shuffled once; the condition that tells them apart spans both sides for the same reason."""
+    parities do not rule them out. The smaller set needs a shared token among its first few only, so its side of
+    the join is shorter. Settled lines carry a negative size."""
+    few = F.broadcast(settled) if settled.count() <= SENT_IDS else settled
     size = F.when(F.col("late").isNull(), F.col("n")).otherwise(-F.col("n"))
-    marked = sets.join(settled, sets["sid"] == settled["late"], "left").select("sid", size.alias("m"), "b1", "b2", "prefix")
-    postings = marked.select("sid", "m", "b1", "b2", F.posexplode_outer("prefix").alias("pos", "token"))
-    a, b = postings.alias("a"), postings.alias("b")
-    na, nb = F.abs("a.m"), F.abs("b.m")
+    marked = sets.where("prefix is not null").join(few, sets["sid"] == settled["late"], "left").select("sid", size.alias("n"), "b1", "b2", "prefix")
+    larger = marked.select("sid", "n", "b1", "b2", F.posexplode_outer("prefix").alias("pos", "token"))
+    first = F.slice("prefix", F.lit(1), F.abs("n") - least_partner_overlap(F.abs("n"), t) + 1)
+    smaller = marked.select("sid", "n", "b1", "b2", F.posexplode_outer(first).alias("pos", "token"))
+    a, b = larger.alias("a"), smaller.alias("b")
+    na, nb = F.abs("a.n"), F.abs("b.n")
+    order = (na > nb) | ((na == nb) & (F.col("a.sid") > F.col("b.sid")))
+    open_ = F.when(F.col("a.sid") > F.col("b.sid"), F.col("a.n") > 0).otherwise(F.col("b.n") > 0)
     enough = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= least_overlap(na, nb, t)
-    later = F.when(F.col("a.m") > 0, F.col("b.sid") < F.col("a.sid")).otherwise(F.lit(False))
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & later & close_sizes(na, nb, t) & enough)
-    return joined.select(F.col("a.sid").alias("late"), F.col("b.sid").alias("early")).distinct()
-
-
-def later_matches(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(doc_id, line_no) of every line that an earlier line matches; see ``dedup_lines``."""
-    lines = lines_of(docs)
-    marks = materialize(sketch(lines, rarity(docs), similarity), "line-marks")
-    keys = materialize(marks.groupBy("k1", "k2", "n").agg(F.min("sid").alias("first")), "line-sets")
-    copies = marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).where("sid <> first").select(F.col("sid").alias("late"))
-    sets = materialize(marks.join(keys.select(F.col("first").alias("sid")), "sid").dropDuplicates(["sid"]).select("sid", "n", "b1", "b2", "prefix"), "first-lines")
-    led = materialize(verified(materialize(leader_pairs(sets, similarity), "near-leaders"), docs, similarity).select("late").distinct(), "led")
-    found = verified(materialize(prefix_pairs(sets, led, similarity), "line-pairs"), docs, similarity).select("late").distinct()
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & order & open_ & may_match("a", "b", t) & enough)
+    return joined.select(F.greatest("a.sid", "b.sid").alias("late"), F.least("a.sid", "b.sid").alias("early")).distinct()
+
+
+def late_lines(some: Numbered, similarity: Fraction) -> DataFrame:
+    """(sid) of every line that an earlier line matches; see ``dedup_lines``."""
+    marks = materialize(sketch(lines_of(some), rarity(some.docs), similarity), "line-marks")
+    keys = marks.groupBy("k1", "k2", "n").agg(F.min("sid").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    keys = materialize(keys.select("k1", "k2", "n", "first"), "line-sets")
+    repeated = materialize(marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("sid", "first"), "repeated-lines")
+    copies = materialize(repeated.where("sid <> first").select("sid"), "line-copies")
+    sets = marks.join(F.broadcast(copies) if copies.count() <= SENT_IDS else copies, "sid", "left_anti").select("sid", "n", "b1", "b2", "prefix")
+    sets = materialize(sets, "first-lines")
+    led = verified(materialize(leader_pairs(sets, similarity), "near-leaders"), some, similarity)
+    found = verified(materialize(prefix_pairs(sets, led, similarity), "line-pairs"), some, similarity)
     firsts = materialize(led.unionByName(found), "matched-firsts")
-    more = marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("sid", "first").join(firsts, F.col("first") == F.col("late")).select(F.col("sid").alias("late"))
-    late = copies.unionByName(more).distinct()
-    number = F.col("late").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
-    return late.select(F.shiftright("late", LINE_BITS).alias("doc_id"), number.alias("line_no"))
+    late = materialize(copies.unionByName(firsts.withColumnRenamed("late", "sid")), "late-lines")
+    discard(marks, keys, repeated, copies, sets, led, found, firsts)
+    return late
 
 
-def dedup_lines(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: Fraction = Fraction(4, 5), column: str = "removed_lines") -> DataFrame:
     """Every row of ``docs`` with its columns, ``text`` without the lines that match an earlier line, and
-    ``removed_lines``, the numbers (from 0) of the lines taken out.
+    ``column``, the numbers (from 0) of the lines taken out; a column of that name is replaced.
 
     Lines are the stretches between line feeds, in order of doc_id and place; their words are split at ASCII
     white space, lower-cased. A line goes if the word set of any earlier line, itself kept or
     not, has a Jaccard similarity of ``similarity`` or more with its own; the first of equal lines stays.
     Lines without words match nothing and stay. The join is exact; words are compared by 64-bit hashes.
 
-    Null texts stay null. Rows with a null doc_id are returned as they are and match nothing; rows with equal
-    doc_id count as one document whose lines at equal places are one line. An empty table yields no rows.
+    Null texts stay null. Rows with a null doc_id are returned as they are and match nothing. Rows with equal
+    doc_id are separate documents in a fixed order, that of their texts' hashes, so a repeated row loses the
+    lines that its first copy keeps. Ids may be any longs. An empty table yields no rows.
     """
-    late = materialize(later_matches(docs, similarity), "late-lines")
-    gone = materialize(late.groupBy(F.col("doc_id").alias("line_owner")).agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines")), "removed-lines")
-    small = late.count() <= SENT_IDS
-    kept = docs.select([c for c in docs.columns if c.lower() not in ("removed_lines", "line_owner")])
-    out = kept.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("line_owner"), "left")
-    thin = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
-    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(thin)
-    return out.withColumn("text", text).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))).drop("line_owner")
+    some = numbered(docs)
+    late = late_lines(some, similarity)
+    owner = free_name("line_owner_of", docs.columns)
+    place = F.col("sid").bitwiseAND((1 << some.bits) - 1).cast("int")
+    gone = late.groupBy(F.shiftright("sid", some.bits).alias(owner)).agg(F.sort_array(F.collect_set(place)).alias(column))
+    gone = materialize(gone, "removed-lines")
+    kept = [F.col(c) for c in docs.columns if c.lower() != column.lower()]
+    out = some.docs.select(*kept, F.when(F.col("doc_id").isNotNull(), some.number).alias(owner + "_"))
+    out = out.join(F.broadcast(gone) if gone.count() <= SENT_IDS // 4 else gone, F.col(owner + "_") == F.col(owner), "left").drop(owner, owner + "_")
+    thin = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(column, i)), "\n")
+    text = F.when(F.col(column).isNull(), F.col("text")).otherwise(thin)
+    return out.withColumn("text", text).withColumn(column, F.coalesce(column, F.array().cast("array<int>")))

@@ -143,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     return Model(index, weights, bias)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Model | None = None) -> DataFrame:
-    """Every row of ``docs`` with its columns and ``toxicity`` (0 to 1, higher: likelier toxic), from the whole
-    text alone. Null and empty texts get the model's base score. An empty table yields no rows."""
+def score_documents(docs: DataFrame, labels: DataFrame, column: str = "toxicity", folds: int = 5, model: Model | None = None) -> DataFrame:
+    """Every row of ``docs`` with its columns and ``column`` (0 to 1, higher: likelier toxic; a column of that
+    name is replaced), from the whole text alone. Null and empty texts get the model's base score. An empty table yields no rows."""
     fitted = model or train(docs, labels, folds=folds)
 
     @F.pandas_udf("double")
@@ -153,4 +153,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, model: M
         for part in texts:
             yield pd.Series([fitted.score(t) for t in part], dtype="float64")
 
-    return docs.withColumn("toxicity", score(text_or_empty()))
+    return docs.withColumn(column, score(text_or_empty()))
