@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quantloom.llm.decontaminate import find_leaks, leaked_documents
 from quantloom.llm.embedding_dedup import Hashing, near_vectors
@@ -105,6 +106,24 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == plain_line_dedup(rows, Fraction(4, 5))
 
 
+@pytest.mark.parametrize("ids", [[2**62, -(2**62), 7, 2**40], [3, 3, 3, 9]])
+def test_line_dedup_takes_any_ids(spark, ids):
+    texts = ["alpha beta gamma delta epsilon\nzeta eta", "alpha beta gamma delta epsilon\nown words", "kappa\nalpha beta gamma delta epsilon", "zeta eta\nkappa"]
+    rows = list(zip(ids, texts, strict=True))
+    order = {t: F.xxhash64(F.lit(t)) for t in texts}
+    hashes = spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(order.values())]).first()
+    ranked = sorted(range(4), key=lambda i: (ids[i], hashes[i]))
+    want = plain_line_dedup([(n, texts[i]) for n, i in enumerate(ranked)], Fraction(4, 5))
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_owner", F.lit(1)), column="gone").collect()
+    assert {r["text"] for r in got} == {"\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in want.get(n, [])) for n, i in enumerate(ranked)}
+    assert all(r["line_owner"] == 1 for r in got) and sum(len(r["gone"]) for r in got) == sum(map(len, want.values()))
+
+
+def test_line_dedup_repeated_row_keeps_one(spark):
+    rows = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "one two three")], "doc_id long, text string")
+    assert sorted(r["text"] for r in dedup_lines(rows).collect()) == ["", "one two three", "one two three"]
+
+
 def test_line_dedup_takes_odd_texts(odd, none):
     got = {r["doc_id"]: r for r in dedup_lines(odd).collect()}
     assert len(got) == 9 and got[2]["text"] is None and got[4]["text"] == " \t\n " and got[5]["text"] == ""
@@ -148,11 +167,25 @@ def test_vectors_equal_brute_force(spark, dense):
     good = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if i < 900 or i == 903}
     links = {(a, b) for a in good for b in good if a != b and good[a] @ good[b] >= 0.95}
     found = sum(r["n_links"] for r in got.values())
-    assert found <= len(links) and found >= 0.97 * len(links)
+    assert 0.97 * len(links) <= found <= len(links)
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (900, 901, 902, 904))
-    if found == len(links):
-        want = groups(links)
-        assert all(r["component_id"] == want.get(i, i) for i, r in got.items())
+    want = groups(links)
+    wrong = [i for i, r in got.items() if r["component_id"] != want.get(i, i)]
+    assert not wrong if found == len(links) else len(wrong) <= 0.03 * len(got)
+
+
+def test_vectors_with_equal_ids_are_separate(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS vector", "2 AS key", "3 AS copies", "4 AS n_links")
+    got = sorted(tuple(r) for r in near_vectors(frame).collect() if r["vec_id"] is not None)
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+    assert [tuple(r) for r in near_vectors(frame).collect() if r["vec_id"] is None] == [(None, 0, None, True)]
+
+
+def test_projections_follow_the_rows():
+    few, many = Hashing.for_rows(10_000), Hashing.for_rows(10_000_000)
+    assert few.projections < many.projections and few.tables < many.tables
+    assert all((1 - 0.867**h.projections) ** h.tables <= 0.004 for h in (few, many))
 
 
 def test_vectors_of_nothing(spark):
