@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 
 
@@ -42,16 +44,30 @@ def cluster_variance(cov: np.ndarray, members: list[int]) -> float:
 
 
 def hierarchical_parity(cov: np.ndarray) -> np.ndarray:
-    """Risk split down the seriated order, half by half, inversely to the halves' variances. The rows of the
-    distance matrix are the points that are clustered."""
-    order = leaf_order(single_linkage(correlation_distance(cov))) if len(cov) > 1 else [0]
-    w, parts = np.ones(len(cov)), [order]
-    while parts:
-        parts = [half for p in parts if len(p) > 1 for half in (p[: len(p) // 2], p[len(p) // 2 :])]
-        for a, b in zip(parts[::2], parts[1::2], strict=True):
-            va, vb = cluster_variance(cov, a), cluster_variance(cov, b)
-            w[a] *= vb / (va + vb)
-            w[b] *= va / (va + vb)
+    """Risk split down the seriated order, inversely to the variances of the two halves of each interval of it. The
+    rows of the distance matrix are the points that are clustered. Variances of intervals come from running sums
+    over the ordered matrix: of 1 / variance for the weights inside, and of their products with covariances."""
+    n = len(cov)
+    order = np.array(leaf_order(single_linkage(correlation_distance(cov))) if n > 1 else [0])
+    inverse = 1 / np.diag(cov)[order]
+    total = np.concatenate([[0.0], np.cumsum(inverse)])
+    area = np.zeros((n + 1, n + 1))
+    area[1:, 1:] = (cov[np.ix_(order, order)] * np.outer(inverse, inverse)).cumsum(0).cumsum(1)
+
+    def variance(i: int, j: int) -> float:
+        return (area[j, j] - 2 * area[i, j] + area[i, i]) / (total[j] - total[i]) ** 2
+
+    share, open_ = np.ones(n), [(0, n)]
+    while open_:
+        i, j = open_.pop()
+        if j - i > 1:
+            m = (i + j) // 2
+            left, right = variance(i, m), variance(m, j)
+            share[i:m] *= right / (left + right)
+            share[m:j] *= left / (left + right)
+            open_ += [(i, m), (m, j)]
+    w = np.empty(n)
+    w[order] = share
     return w
 
 
@@ -88,19 +104,37 @@ def hierarchical_equal_risk(cov: np.ndarray, k: int | None = None) -> np.ndarray
     return w
 
 
-def risk_budget(cov: np.ndarray, budget: np.ndarray | None = None, rounds: int = 2000, tol: float = 1e-13) -> np.ndarray:
-    """Long-only weights whose shares of variance equal ``budget`` (even if None), by coordinate descent."""
+def positive(cov: np.ndarray, floor: float = 1e-6) -> np.ndarray:
+    """The matrix itself if its eigenvalues are at least ``floor`` of their mean; else with those raised to it and
+    its diagonal restored. Missing entries off the diagonal count as 0; a matrix without variances has no answer."""
+    cov = np.where(np.isnan(cov) & ~np.eye(len(cov), dtype=bool), 0, cov)
+    if not np.isfinite(cov).all() or (np.diag(cov) <= 0).any():
+        raise ValueError("a covariance matrix needs finite entries and variances above zero")
+    value, vector = np.linalg.eigh(cov)
+    least = floor * value.mean()
+    if value[0] >= least:
+        return cov
+    raised = (vector * np.maximum(value, least)) @ vector.T
+    scale = np.sqrt(np.diag(cov) / np.diag(raised))
+    return raised * np.outer(scale, scale)
+
+
+def risk_budget(cov: np.ndarray, budget: np.ndarray | None = None, rounds: int = 500, tol: float = 1e-12) -> np.ndarray:
+    """Long-only weights whose shares of variance equal ``budget`` (even if None): the minimum of half the variance
+    less the budgets' weighted logarithms, by Newton steps damped as the function is self-concordant. The
+    covariance must be positive definite. Raises if the steps do not settle."""
     n = len(cov)
     b = np.full(n, 1 / n) if budget is None else budget / budget.sum()
-    x = np.sqrt(b / np.diag(cov))
+    c = cov / np.diag(cov).mean()
+    x = np.sqrt(b / np.diag(c))
     for _ in range(rounds):
-        before = x.copy()
-        for i in range(n):
-            c = cov[i] @ x - cov[i, i] * x[i]
-            x[i] = (-c + np.sqrt(c * c + 4 * cov[i, i] * b[i])) / (2 * cov[i, i])
-        if np.abs(x - before).max() < tol * x.max():
-            break
-    return x / x.sum()
+        slope = c @ x - b / x
+        step = np.linalg.solve(c + np.diag(b / x**2), slope)
+        size = np.sqrt(max(0.0, slope @ step) / b.min())
+        x -= step / (1 + size) if size > 0.25 else step
+        if size < tol**0.5:
+            return x / x.sum()
+    raise ArithmeticError(f"risk budgets did not settle in {rounds} rounds")
 
 
 def risk_shares(cov: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -161,19 +195,21 @@ def symmetric_root(m: np.ndarray) -> np.ndarray:
 
 
 def minimum_torsion(cov: np.ndarray, rounds: int = 10_000, tol: float = 1e-10) -> np.ndarray:
-    """The decorrelating map that disturbs the factors least, by the fixed point on the scaled factors."""
+    """The decorrelating map that disturbs the factors least (Meucci, Santangelo and Deguest 2015). With C the
+    correlations and R its root, uncorrelated factors are D Q R^-1 of the scaled ones for some orthogonal Q and
+    scales D; the trace of D Q R is largest where Q is the orthogonal part of the polar decomposition of D R, and
+    D the diagonal of Q R. Both are taken in turn until D settles; raises if it does not."""
     sd = np.sqrt(np.diag(cov))
     root = symmetric_root(cov / np.outer(sd, sd))
-    d = np.ones(len(cov))
+    scale = np.ones(len(cov))
     for _ in range(rounds):
-        u = symmetric_root(np.diag(d) @ root @ root @ np.diag(d))
-        q = np.linalg.solve(u, np.diag(d) @ root)
-        new = np.diag(q @ root).copy()
-        if np.abs(new - d).max() < tol:
-            break
-        d = new
-    pi = np.diag(d) @ q
-    return np.diag(sd) @ pi @ np.linalg.inv(root) @ np.diag(1 / sd)
+        left, _, right = np.linalg.svd(scale[:, None] * root)
+        turn = left @ right
+        new = np.einsum("ij,ji->i", turn, root)
+        if np.abs(new - scale).max() < tol:
+            return (sd * new)[:, None] * (turn @ np.linalg.inv(root)) / sd
+        scale = new
+    raise ArithmeticError(f"the torsion did not settle in {rounds} rounds")
 
 
 def effective_bets(cov: np.ndarray, w: np.ndarray, torsion: np.ndarray) -> float:
@@ -321,11 +357,11 @@ def stationary_indices(n: int, block: float, rng: np.random.Generator) -> np.nda
 
 
 def block_permutation(n: int, length: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks of ``length`` rows in random order, cut to n before numbers beyond n are dropped."""
-    starts = np.arange(0, n, length)
-    rng.shuffle(starts)
-    ids = (starts[:, None] + np.arange(length)).ravel()[:n]
-    return ids[ids < n]
+    """Rows 0 to n - 1 in whole blocks of ``length`` in random order, without replacement. The list counts the last
+    block as if it were whole and ends after n places, so unless that block comes last, the rows behind are lost."""
+    block = rng.permutation(-(-n // length))
+    places = np.minimum(length, n - np.arange(len(block)) * length)  # what the list still has room for
+    return np.concatenate([np.arange(b * length, min(n, b * length + room)) for b, room in zip(block, places, strict=True)])
 
 
 def factor_risk(cov: np.ndarray, w: np.ndarray, loadings: np.ndarray) -> tuple[np.ndarray, float]:
@@ -355,6 +391,26 @@ def silhouette_score(d: np.ndarray, labels: np.ndarray) -> float:
     return float(out.mean())
 
 
-def gap(d: np.ndarray, labels: np.ndarray) -> float:
-    """Log of the summed mean pairwise distance inside clusters."""
-    return float(np.log(sum(d[np.ix_(labels == c, labels == c)].sum() / (2 * (labels == c).sum()) for c in set(labels.tolist()))))
+def next_loss_probability(r: np.ndarray) -> float:
+    """Chance that the next return is not above zero, under a normal law with constant variance or GARCH(1, 1),
+    whichever has the lesser AIC on the returns given."""
+    mean = r.mean()
+    e = r - mean
+    if not e.any():
+        return float(mean <= 0)
+    plain = 2 * 2 + len(e) * (np.log(e.var()) + 1)
+    fitted = garch_variance(e, *garch_fit(e))
+    aic = 2 * 4 + (np.log(fitted[:-1]) + e**2 / fitted[:-1]).sum()
+    sd = np.sqrt(fitted[-1] if aic < plain else e.var())
+    return NormalDist().cdf(-mean / sd)
+
+
+def stationary_variance(d: np.ndarray, block: float) -> np.ndarray:
+    """Variance of sqrt(n) times the mean of each column under the stationary bootstrap with blocks of mean length
+    ``block`` (Politis and Romano 1994)."""
+    n, e, keep = len(d), d - d.mean(0), 1 - 1 / block
+    out = (e * e).mean(0)
+    for i in range(1, n):
+        weight = (n - i) / n * keep**i + i / n * keep ** (n - i)
+        out = out + 2 * weight * (e[:-i] * e[i:]).sum(0) / n
+    return np.maximum(out, 1e-18)

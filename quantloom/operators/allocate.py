@@ -48,6 +48,12 @@ def best_factor(loadings: DataFrame, least: float = 0.01) -> DataFrame:
     return top.select("asset", (-F.col("top.neg")).alias("factor"), F.col("top.loading").alias("loading")).where(F.col("loading") >= least)
 
 
+def cluster_equal(labels: DataFrame) -> DataFrame:
+    """The same weight for each cluster (asset, factor), shared evenly inside."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("factor"))
+    return normalised(labels.select("asset", (1 / size).alias("v")), F.col("v"), "cluster_equal")
+
+
 def quadratic_forms(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """(group, variance) of weights (group, asset, w): the sum of w_a w_b cov(a, b). Computed as the variance of
     the weighted return, which needs no pairs; dates on which an asset of the group is missing are left out."""

@@ -23,11 +23,20 @@ def split_returns(prices: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.col("price") / F.lag("price").over(order) - 1).where("r is not null").select("cv", "split", "asset", "dt", "r")
 
 
+def fitted_scaler(split: DataFrame) -> DataFrame:
+    """(cv, asset, m, s): each fold's train mean and population deviation; a zero deviation counts as one."""
+    fitted = split.where("split = 'train'").groupBy("cv", "asset").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
+    return fitted.select("cv", "asset", "m", F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0)).alias("s"))
+
+
+def unscaled(scaled: DataFrame, scaler: DataFrame) -> DataFrame:
+    """Returns from z-scores, by a scaler (cv, asset, m, s) as it was kept."""
+    return scaled.join(scaler, ["cv", "asset"]).select("cv", "split", "asset", "dt", (F.col("z") * F.col("s") + F.col("m")).alias("r"))
+
+
 def standardised(split: DataFrame) -> DataFrame:
     """z-scores by each fold's train mean and population deviation; a zero deviation counts as one."""
-    fitted = split.where("split = 'train'").groupBy("cv", "asset").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
-    joined = split.join(fitted, ["cv", "asset"])
-    return joined.select("cv", "split", "asset", "dt", ((F.col("r") - F.col("m")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0))).alias("z"))
+    return split.join(fitted_scaler(split), ["cv", "asset"]).select("cv", "split", "asset", "dt", ((F.col("r") - F.col("m")) / F.col("s")).alias("z"))
 
 
 def min_max(split: DataFrame) -> DataFrame:
@@ -51,22 +60,31 @@ def fold_weights(split: DataFrame) -> DataFrame:
     return sd.select("cv", "asset", (F.col("v") / F.sum("v").over(Window.partitionBy("cv"))).alias("w"))
 
 
-def turnover(weights: DataFrame) -> DataFrame:
-    """(cv, turnover, sspw): sum of absolute changes from the fold before (from nothing in the first), and the
-    sum of squared weights."""
-    before = F.lag("w", 1, 0.0).over(Window.partitionBy("asset").orderBy("cv"))
-    return weights.withColumn("d", F.abs(F.col("w") - before)).groupBy("cv").agg(F.sum("d").alias("turnover"), F.sum(F.col("w") * F.col("w")).alias("sspw"))
+def turnover(weights: DataFrame, before: DataFrame, before_first: float = 0.0) -> DataFrame:
+    """(cv, turnover, sspw): sum of absolute changes from what the weights of the fold before had drifted to
+    (``before``: cv, asset, w; ``before_first`` of each asset before the first fold), and the sum of squared weights.
+    What is no longer held is sold, so both sides count."""
+    last = weights.agg(F.max("cv").alias("last"))
+    sold = before.join(F.broadcast(last), F.col("cv") < F.col("last")).select((F.col("cv") + 1).alias("cv"), "asset", F.lit(0.0).alias("own"), (-F.col("w")).alias("d"))
+    first = Window.partitionBy("asset").orderBy("cv")
+    start = F.when((F.row_number().over(first) == 1) & (F.col("cv") == F.min("cv").over(Window.partitionBy(F.lit(0)))), F.lit(before_first)).otherwise(0.0)
+    both = weights.select("cv", "asset", F.col("w").alias("own"), (F.col("w") - start).alias("d")).unionByName(sold)
+    moves = both.groupBy("cv", "asset").agg(F.sum("own").alias("own"), F.sum("d").alias("d"))
+    return moves.groupBy("cv").agg(F.sum(F.abs("d")).alias("turnover"), F.sum(F.col("own") * F.col("own")).alias("sspw"))
 
 
-def vol_target_backtest(prices: DataFrame, folds: DataFrame, rates: DataFrame, target: float = 0.05, fee: float = 0.0002, period: int = 12, short: int = 20, long: int = 60) -> DataFrame:
-    """(cv, dt, leverage, gross, r): test returns of the fold's weights, levered to a target volatility.
+def vol_target_backtest(prices: DataFrame, folds: DataFrame, rates: DataFrame, target: float = 0.05, fee: float = 0.0002, period: int = 12, short: int = 20, long: int = 60, weights: DataFrame | None = None, before_first: float = 0.0) -> DataFrame:
+    """(cv, dt, leverage, gross, r): test returns of the fold's weights (cv, asset, w; by default inverse to
+    volatility), levered to a target volatility.
 
     Leverage is the target over the larger of two trailing population deviations of the train portfolio;
-    trading costs fall on the first test day, on the change from the weights before; what is borrowed pays,
+    trading costs fall on the first test day, on the change from what the weights before had drifted to; what is borrowed pays,
     and what is left over earns, the risk-free rate.
     """
     split = split_returns(prices, folds)
-    weights = fold_weights(split)
+    weights = fold_weights(split) if weights is None else weights
+    held = weights.join(F.broadcast(folds.select("cv", F.col("test_start").alias("from"), F.add_months("end", -1).alias("to"))), "cv")
+    changes = turnover(weights, drifted(held, prices), before_first)
     daily = split.join(F.broadcast(weights), ["cv", "asset"]).groupBy("cv", "split", "dt").agg(F.sum(F.col("w") * F.col("r")).alias("gross"))
     back = F.row_number().over(Window.partitionBy("cv").orderBy(F.desc("dt")))
     recent = daily.where("split = 'train'").withColumn("back", back)
@@ -74,7 +92,7 @@ def vol_target_backtest(prices: DataFrame, folds: DataFrame, rates: DataFrame, t
     lever = recent.groupBy("cv").agg((target / (vol * float(period) ** 0.5)).alias("leverage"))
     first = F.row_number().over(Window.partitionBy("cv").orderBy("dt")) == 1
     test = daily.where("split = 'test'").withColumn("first", first)
-    joined = test.join(F.broadcast(lever), "cv").join(F.broadcast(turnover(weights)), "cv").join(F.broadcast(rates), "dt", "left")
+    joined = test.join(F.broadcast(lever), "cv").join(F.broadcast(changes), "cv").join(F.broadcast(rates), "dt", "left")
     cost = F.when(F.col("first"), fee * F.col("turnover") * F.col("leverage")).otherwise(0.0)
     financing = F.coalesce("rf", F.lit(0.0)) * (F.col("leverage") - 1)
     return joined.select("cv", "dt", "leverage", "gross", (F.col("leverage") * F.col("gross") - cost - financing).alias("r"))

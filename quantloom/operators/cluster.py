@@ -62,11 +62,6 @@ def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("asset"), F.when(F.col("x").isNull(), 0.0).otherwise((F.col("y") - F.col("x")) / F.greatest("x", "y")).alias("s"))
 
 
-def centroids(points: DataFrame) -> DataFrame:
-    """(label, i, v): mean of the points of each label."""
-    return points.groupBy("label", "i").agg(F.avg("v").alias("v"))
-
-
 def inertia(points: DataFrame) -> DataFrame:
     """(label, n, inertia): squared distances to the centroid, from sums alone."""
     square = F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.sum("v") / F.count("v")

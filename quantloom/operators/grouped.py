@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 
 
 def fold_covariances(split: DataFrame) -> DataFrame:
-    """(cv, a, b, cov) of each fold's train returns, both ways round, by a self-join and an aggregate."""
+    """(cv, a, b, cov) of each fold's train returns, both ways round."""
+    return both_ways(split, F.covar_samp("x", "y"))
+
+
+def both_ways(split: DataFrame, statistic: Column) -> DataFrame:
+    """(cv, a, b, cov) of the train returns x and y of each pair of assets. Pairs are made and aggregated with
+    a <= b only, and turned round as the small table they then are."""
     train = split.where("split = 'train'")
     x, y = train.select("cv", "dt", F.col("asset").alias("a"), F.col("r").alias("x")), train.select("cv", "dt", F.col("asset").alias("b"), F.col("r").alias("y"))
-    return x.join(y, ["cv", "dt"]).groupBy("cv", "a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    half = x.join(y, ["cv", "dt"]).where("a <= b").groupBy("cv", "a", "b").agg(statistic.alias("cov"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select("cv", "cov", F.explode(ways).alias("p")).select("cv", "p.a", "p.b", "cov")
 
 
 def square(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
@@ -30,7 +40,7 @@ def covariance_weights(covariances: DataFrame) -> DataFrame:
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         names, cov = square(rows)
-        out = []
+        cov, out = K.positive(cov), []
         for name, f in (("hrp", K.hierarchical_parity), ("herc", K.hierarchical_equal_risk), ("erc", K.risk_budget), ("min_variance", K.long_only_minimum_variance)):
             w = f(cov)
             out.append(pd.DataFrame({"cv": rows["cv"].iat[0], "strategy": name, "asset": names, "w": w, "risk": K.risk_shares(cov, w)}))
@@ -55,9 +65,7 @@ def torsion_bets(covariances: DataFrame, shrink: float = 0.1) -> DataFrame:
 def fold_factors(split: DataFrame, k: int = 4, convex: bool = True, seed: int = 3) -> DataFrame:
     """(cv, asset, factor, loading, loss): nonnegative factor loadings of each fold, from the Gram matrix of its
     train returns; the matrix is a native aggregate, so no group grows with the number of dates."""
-    train = split.where("split = 'train'")
-    x, y = train.select("cv", "dt", F.col("asset").alias("a"), F.col("r").alias("x")), train.select("cv", "dt", F.col("asset").alias("b"), F.col("r").alias("y"))
-    gram = x.join(y, ["cv", "dt"]).groupBy("cv", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cov"))
+    gram = both_ways(split, F.sum(F.col("x") * F.col("y")))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         names, m = square(rows)
@@ -86,61 +94,82 @@ def spline_filled(panel: DataFrame) -> DataFrame:
     return panel.groupBy("asset").applyInPandas(fill, "asset string, dt date, price double")
 
 
-def garch_probabilities(returns: DataFrame, key: str = "factor", least: int = 24) -> DataFrame:
-    """(key, dt, p): probability of a loss on the next day after each date, by a GARCH(1, 1) fitted once to the
-    whole series; null in series shorter than ``least``."""
-    from statistics import NormalDist
+def rolling_probabilities(returns: DataFrame, key: str = "factor", window: int = 36, least: int = 24) -> DataFrame:
+    """(key, dt, p): probability of a loss on the date after each, by a volatility model chosen and fitted anew on
+    each date from the last ``window`` returns up to it; null where there are fewer than ``least``. Each date is
+    a row with its own returns, so fits are spread over tasks and none sees a later return."""
+    back = Window.partitionBy(key).orderBy("dt").rowsBetween(1 - window, 0)
+    rows = returns.select(key, "dt", F.collect_list("r").over(back).alias("past")).repartition(F.col(key), F.col("dt"))
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("dt")
-        r = rows["r"].to_numpy(float)
-        p = [None] * len(r)
-        if len(r) >= least:
-            mean = r.mean()
-            h = K.garch_variance(r - mean, *K.garch_fit(r - mean))[1:]
-            p = [NormalDist().cdf(-mean / s) for s in np.sqrt(h)]
-        return pd.DataFrame({key: rows[key], "dt": rows["dt"], "p": pd.array(p, dtype="Float64")})
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            p = [K.next_loss_probability(np.asarray(x, float)) if len(x) >= least else None for x in part["past"]]
+            yield pd.DataFrame({key: part[key], "dt": part["dt"], "p": pd.array(p, dtype="Float64")})
 
-    return returns.groupBy(key).applyInPandas(solve, f"{key} string, dt date, p double")
+    return rows.mapInPandas(fit, f"{key} string, dt date, p double")
 
 
-def tail_fit(losses: DataFrame, level: float = 0.9) -> DataFrame:
-    """(key, u, n, shape, scale): generalised Pareto law of the excesses over the quantile ``level``. Only the
-    excesses reach a group."""
+def tail_fit(losses: DataFrame, level: float = 0.9, points: int = 65, rounds: int = 6) -> DataFrame:
+    """(key, u, n, shape, scale): generalised Pareto law of the excesses over the quantile ``level``, by maximum
+    likelihood. For a given ratio of shape to scale the best shape is the mean of log(1 + ratio * x), so the
+    likelihood has one unknown; it is searched on a grid that is drawn closer ``rounds`` times. Each round is one
+    aggregate over all excesses, and no task gathers those of a key."""
     cut = losses.groupBy("key").agg(F.percentile("x", F.lit(level)).alias("u"))
-    over = losses.join(F.broadcast(cut), "key").where("x > u").select("key", "u", (F.col("x") - F.col("u")).alias("e"))
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        shape, scale = K.pareto_fit(rows["e"].to_numpy(float))
-        return pd.DataFrame({"key": [rows["key"].iat[0]], "u": [rows["u"].iat[0]], "n": [len(rows)], "shape": [shape], "scale": [scale]})
-
-    return over.groupBy("key").applyInPandas(solve, "key string, u double, n long, shape double, scale double")
-
-
-def reality_check(returns: DataFrame, replicates: int = 200, block: float = 10, seed: int = 5) -> DataFrame:
-    """(strategy, statistic, p_value): chance, over stationary bootstraps of the dates, that the best mean return
-    would be as high if none of the strategies had any edge. Each replicate is a row dealt to some task; the
-    table of returns by date, a few numbers a date, goes along by broadcast."""
-    wide = returns.groupBy("dt").agg(F.sort_array(F.collect_list(F.struct("asset", "r"))).alias("rs"))
-    series = wide.agg(F.sort_array(F.collect_list(F.struct("dt", "rs"))).alias("all"))
-    tries = returns.sparkSession.range(replicates).join(F.broadcast(series))
-
-    def draw(parts):
+    over = losses.join(F.broadcast(cut), "key").where("x > u").select("key", "u", (F.col("x") - F.col("u")).alias("e")).persist()
+    sums = over.groupBy("key").agg(F.first("u").alias("u"), F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean"), F.max("e").alias("top"))
+    found = [r.asDict() | {"low": -(1 - 1e-6) / r["top"], "high": 20 / r["mean"]} for r in sums.collect()]
+    for _ in range(rounds if found else 0):
+        grid = over.sparkSession.createDataFrame([(r["key"], np.linspace(r["low"], r["high"], points).tolist()) for r in found], "key string, at array<double>")
+        means = [F.avg(F.log1p(F.element_at("at", i + 1) * F.col("e"))) for i in range(points)]
+        rows = {r["key"]: (r["at"], r["means"]) for r in over.join(F.broadcast(grid), "key").groupBy("key").agg(F.first("at").alias("at"), F.array(*means).alias("means")).collect()}
+        for r in found:
+            at, mean = (np.array(x) for x in rows[r["key"]])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                fit = np.where(np.abs(at) * r["mean"] < 1e-9, -np.log(r["mean"]) - 1, -np.log(mean / at) - mean - 1)
+            i = int(np.nanargmax(np.where(mean > -1, fit, -np.inf)))  # below -1 the likelihood has no maximum
+            r |= {"shape": float(mean[i]), "scale": float(mean[i] / at[i]) if abs(at[i]) * r["mean"] >= 1e-9 else r["mean"]}
+            r |= {"low": float(at[max(0, i - 1)]), "high": float(at[min(points - 1, i + 1)])}
+    over.unpersist()
+    return over.sparkSession.createDataFrame([(r["key"], r["u"], r["n"], r["shape"], r["scale"]) for r in found], "key string, u double, n long, shape double, scale double")
+
+
+def return_matrix(returns: DataFrame, most: int = 4_000_000) -> tuple[list[str], np.ndarray]:
+    """Assets and the matrix of their returns by date, NaN where missing: for tests that resample whole dates. Its
+    size is counted first, and beyond ``most`` numbers it is refused."""
+    n = returns.count()
+    if n > most:
+        raise ValueError(f"{n} returns are more than the {most} that go to every task")
+    rows = returns.select("asset", "dt", "r").toPandas()
+    wide = rows.pivot(index="dt", columns="asset", values="r").sort_index().sort_index(axis=1)
+    return list(wide.columns), wide.to_numpy(float)
+
+
+def superiority(returns: DataFrame, replicates: int = 1000, block: float = 10, seed: int = 5, statistic: str = "sharpe") -> DataFrame:
+    """(strategy, statistic, p_value, p_spa): the best series by its Sharpe ratio, or with ``statistic`` "mean" by
+    its mean; the chance over stationary bootstraps of the dates that the best of series without any edge would
+    do as well (White's reality check), and the same with each series in units of its deviation and without those
+    far below zero (Hansen's test). Each replicate is a row dealt to some task; the matrix goes to each task once."""
+    names, m = return_matrix(returns)
+    spark, n = returns.sparkSession, len(m)
+    scale = np.nanstd(m, 0, ddof=1) if statistic == "sharpe" else np.ones(len(names))
+    d = np.nan_to_num(m) / scale
+    mean, dev = d.mean(0), np.sqrt(K.stationary_variance(d, block))
+    centre = np.where(np.sqrt(n) * mean >= -dev * np.sqrt(2 * np.log(np.log(max(n, 3)))), mean, 0.0)
+    observed, studentised = np.sqrt(n) * mean.max(), max(0.0, (np.sqrt(n) * mean / dev).max())
+    sent = spark.sparkContext.broadcast((d, mean, centre, dev))
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d, mean, centre, dev = sent.value
         for rows in parts:
-            for i, series in zip(rows["id"], rows["all"], strict=True):
-                names = sorted({c["asset"] for d in series for c in d["rs"]})
-                at = {n: j for j, n in enumerate(names)}
-                m = np.full((len(series), len(names)), np.nan)
-                for t, d in enumerate(series):
-                    for c in d["rs"]:
-                        m[t, at[c["asset"]]] = c["r"]
-                mean = np.nanmean(m, 0)
-                pick = K.stationary_indices(len(m), block, np.random.default_rng([seed, int(i)]))
-                top = np.sqrt(len(m)) * (np.nanmean(m[pick], 0) - mean).max()
-                yield pd.DataFrame({"id": [i], "observed": [np.sqrt(len(m)) * mean.max()], "best": [names[int(mean.argmax())]], "top": [top]})
-
-    drawn = tries.mapInPandas(draw, "id long, observed double, best string, top double")
-    return drawn.groupBy(F.col("best").alias("strategy")).agg(F.max("observed").alias("statistic"), F.avg((F.col("top") > F.col("observed")).cast("double")).alias("p_value"))
+            out = []
+            for i in rows["id"]:
+                again = d[K.stationary_indices(n, block, np.random.default_rng([seed, int(i)]))].mean(0)
+                out.append((np.sqrt(n) * (again - mean).max(), max(0.0, (np.sqrt(n) * (again - centre) / dev).max())))
+            yield pd.DataFrame(out, columns=["top", "top_spa"])
+
+    drawn = spark.range(replicates).mapInPandas(draw, "top double, top_spa double")
+    share = lambda c, x: F.avg((F.col(c) > float(x)).cast("double"))
+    return drawn.agg(F.lit(names[int(mean.argmax())]).alias("strategy"), F.lit(float(observed)).alias("statistic"), share("top", observed).alias("p_value"), share("top_spa", studentised).alias("p_spa"))
 
 
 def monte_carlo(spark, simulations: int = 64, rows: int = 260, assets: int = 10, seed: int = 1) -> DataFrame:
@@ -202,27 +231,31 @@ def frontier(covariances: DataFrame, means: DataFrame, points: int = 10) -> Data
     return both.groupBy("cv").applyInPandas(solve, "cv int, point int, mean double, sd double")
 
 
-def cluster_selection(returns: DataFrame, ks: range = range(2, 9), replicates: int = 20, block: int = 12, seed: int = 9) -> DataFrame:
+def cluster_selection(returns: DataFrame, ks: range = range(2, 16), replicates: int = 20, block: int = 12, seed: int = 9) -> DataFrame:
     """(k, mean, low, high): silhouette of convex-factor labels over block-permuted replicates, by number of
-    clusters. Each replicate with each k is a row for some task; the returns by date go along by broadcast."""
-    wide = returns.groupBy("dt").agg(F.sort_array(F.collect_list(F.struct("asset", "r"))).alias("rs"))
-    series = wide.agg(F.sort_array(F.collect_list(F.struct("dt", "rs"))).alias("all"))
-    cases = returns.sparkSession.range(replicates).select("id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    clusters. Each replicate with each k is a row for some task; the matrix goes to each task once."""
+    _, m = return_matrix(returns)
+    spark = returns.sparkSession
+    sent = spark.sparkContext.broadcast(np.nan_to_num(m))
+    cases = spark.range(replicates).select("id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
 
-    def curve(parts):
+    def curve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            for i, k, series in zip(rows["id"], rows["k"], rows["all"], strict=True):
-                names = sorted({c["asset"] for d in series for c in d["rs"]})
-                at = {n: j for j, n in enumerate(names)}
-                m = np.zeros((len(series), len(names)))
-                for t, d in enumerate(series):
-                    for c in d["rs"]:
-                        m[t, at[c["asset"]]] = c["r"]
-                m = m[K.block_permutation(len(m), block, np.random.default_rng([seed, int(i)]))]
-                m = (m - m.mean(0)) / np.maximum(m.std(0), 1e-12)
-                labels = K.convex_factors(m.T @ m, K.nearest_groups(m.T, int(k), int(i), starts=2), int(k), rounds=50)[1].argmax(1)
-                d = np.linalg.norm(m.T[:, None] - m.T[None], axis=2)
+            for i, k in zip(rows["id"], rows["k"], strict=True):
+                x = sent.value[K.block_permutation(len(sent.value), block, np.random.default_rng([seed, int(i)]))]
+                x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
+                labels = K.convex_factors(x.T @ x, K.nearest_groups(x.T, int(k), int(i), starts=2), int(k), rounds=50)[1].argmax(1)
+                d = np.linalg.norm(x.T[:, None] - x.T[None], axis=2)
                 yield pd.DataFrame({"id": [i], "k": [k], "score": [K.silhouette_score(d, labels)]})
 
-    scored = cases.repartition(F.col("id"), F.col("k")).join(F.broadcast(series)).mapInPandas(curve, "id long, k int, score double")
+    scored = cases.repartition(F.col("id"), F.col("k")).mapInPandas(curve, "id long, k int, score double")
     return scored.groupBy("k").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(0.05)).alias("low"), F.percentile("score", F.lit(0.95)).alias("high"))
+
+
+def chosen_clusters(curve: DataFrame) -> DataFrame:
+    """(rule, k) of a selection curve: the k of the best mean; the least k whose upper band reaches the best lower
+    band; and the last k before the mean falls most."""
+    whole, by_k = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("k")
+    rows = curve.withColumn("best_low", F.max("low").over(whole)).withColumn("drop", F.col("mean") - F.lead("mean").over(by_k))
+    picked = rows.agg(F.max_by("k", F.struct("mean", -F.col("k"))).alias("best"), F.min(F.when(F.col("high") >= F.col("best_low"), F.col("k"))).alias("band"), F.max_by("k", F.struct("drop", -F.col("k"))).alias("drop"))
+    return picked.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("k")) for n in ("best", "band", "drop")])).alias("r")).select("r.rule", "r.k")

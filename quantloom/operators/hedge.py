@@ -6,23 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def threshold_grid(probs: DataFrame, points: int = 50) -> DataFrame:
+def threshold_grid(probs: DataFrame, points: int = 50, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
     """(factor, t): evenly spaced from 0 to just above the factor's largest probability."""
-    top = probs.groupBy("factor").agg((F.max("p") + 1e-6).alias("top"))
+    top = probs.groupBy(*keys).agg((F.max("p") + 1e-6).alias("top"))
     steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.round(F.col("top") * i / (points - 1), 9))
-    return top.select("factor", F.explode_outer(steps).alias("t"))
+    return top.select(*keys, F.explode_outer(steps).alias("t"))
 
 
-def calibrated(probs: DataFrame, points: int = 50) -> DataFrame:
-    """(factor, t, err): the threshold whose exceedance rate is nearest the event rate; ties: the smallest. The
+def calibrated(probs: DataFrame, points: int = 50, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
+    """(keys, t, err): the threshold whose exceedance rate is nearest the event rate; ties: the smallest. The
     event rate is over all rows, the exceedance rate over those with a probability."""
-    grid = threshold_grid(probs, points)
-    joined = probs.join(F.broadcast(grid), "factor")
+    joined = probs.join(threshold_grid(probs, points, keys), list(keys))
     rate = F.avg(F.col("y").cast("double"))
     above = F.avg(F.when(F.col("p").isNotNull(), (F.col("p") >= F.col("t")).cast("double")))
-    errors = joined.groupBy("factor", "t").agg(F.round(F.abs(rate - above), 9).alias("err"))
-    best = F.row_number().over(Window.partitionBy("factor").orderBy("err", "t"))
-    return errors.withColumn("k", best).where("k = 1").select("factor", "t", "err")
+    errors = joined.groupBy(*keys, "t").agg(F.round(F.abs(rate - above), 9).alias("err"))
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy("err", "t"))
+    return errors.withColumn("k", best).where("k = 1").select(*keys, "t", "err")
+
+
+def fold_signals(rows: DataFrame) -> DataFrame:
+    """(cv, factor, dt, r, p, signal) of each fold's test rows, by the threshold calibrated on its train rows
+    alone (rows: cv, split, factor, dt, r, p, y)."""
+    thresholds = calibrated(rows.where("split = 'train'"), keys=("cv", "factor"))
+    joined = rows.where("split = 'test'").join(thresholds.select("cv", "factor", "t"), ["cv", "factor"])
+    return joined.select("cv", "factor", "dt", "r", "p", F.coalesce(F.col("p") < F.col("t"), F.lit(False)).cast("int").alias("signal"))
+
+
+def shuffled_signals(signals: DataFrame, runs: int, seed: int = 1) -> DataFrame:
+    """(run, factor, on, hedged): signals (factor, dt, r, signal) dealt to other dates of their factor at random,
+    ``runs`` times: how many stay on, and the return they give. Randomness is a hash of run and date."""
+    again = signals.select("factor", "dt", "r", "signal", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    by_date = Window.partitionBy("run", "factor").orderBy("dt")
+    by_chance = Window.partitionBy("run", "factor").orderBy(F.xxhash64(F.lit(seed), "run", "factor", "dt"), "dt")
+    placed = again.select("run", "factor", "r", "signal", F.row_number().over(by_date).alias("at"), F.row_number().over(by_chance).alias("to"))
+    moved = placed.select("run", "factor", F.col("to").alias("at"), F.col("signal").alias("moved"))
+    joined = placed.select("run", "factor", "at", "r").join(moved, ["run", "factor", "at"])
+    return joined.groupBy("run", "factor").agg(F.sum("moved").alias("on"), F.sum(F.col("moved") * F.col("r")).alias("hedged"))
 
 
 def excess_gain(probs: DataFrame, points: int = 50) -> DataFrame:

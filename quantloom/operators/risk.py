@@ -46,6 +46,13 @@ def pair_statistics(returns: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("corr")) / 2)))
 
 
+def rank_statistics(returns: DataFrame) -> DataFrame:
+    """The same as ``pair_statistics`` for each asset's ranks of its returns: Spearman's correlation where both
+    have the same dates."""
+    rank = F.rank().over(Window.partitionBy("asset").orderBy("r"))
+    return pair_statistics(returns.select("asset", "dt", rank.cast("double").alias("r")))
+
+
 def sharpe_inference(returns: DataFrame, benchmark: float = 0.0, key: str = "asset") -> DataFrame:
     """(key, sr, sr_sd, psr, min_trl): standard error of the Sharpe ratio under skew and fat tails, probability
     that it exceeds ``benchmark``, and the length of track record that would show it at 95 %."""

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rolling_trend(series: DataFrame, window: int, key: str = "asset") -> DataFrame:
-    """``series`` with ``beta`` and ``alpha`` of the line through the ``window`` rows before each row, their
+def rolling_trend(series: DataFrame, window: int, key: str = "asset", inclusive: bool = False) -> DataFrame:
+    """``series`` with ``beta`` and ``alpha`` of the line through the ``window`` rows before each row (with
+    ``inclusive``: the last of them is the row itself), their
     places counted 1 to ``window``; null before there are as many."""
     order = Window.partitionBy(key).orderBy("dt")
     numbered = series.withColumn("rn", F.row_number().over(order))
-    past = order.rowsBetween(-window, -1)
+    past = order.rowsBetween(1 - window, 0) if inclusive else order.rowsBetween(-window, -1)
     beta = F.regr_slope("spread", "rn").over(past)
     full = F.count("spread").over(past) == window
     fitted = numbered.withColumn("beta", F.when(full, beta)).withColumn("mean", F.avg("spread").over(past))
@@ -28,17 +29,21 @@ def spread_signal(trend: DataFrame, q: float = 1.0, key: str = "asset") -> DataF
 
 def best_parameters(series: DataFrame, windows: list[int], factors: list[float], key: str = "asset") -> DataFrame:
     """(key, window, q, gain): what would have gained most by standing aside when the label is 1; ties: the
-    shortest window, then the smallest factor. Slopes are computed once for each window."""
-    each = []
+    shortest window, then the smallest factor. The slopes of all windows come from one pass over the series, and
+    the factors meet them as rows."""
+    order = Window.partitionBy(key).orderBy("dt")
+    numbered = series.withColumn("rn", F.row_number().over(order))
+    slopes = []
     for window in windows:
-        trend = rolling_trend(series, window, key).where("beta is not null").select(key, "dt", "r", "beta")
-        up = Window.partitionBy(key).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-        level = F.sum(F.greatest("beta", F.lit(0.0))).over(up) / F.count(F.lit(1)).over(up)
-        grid = trend.withColumn("level", level).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in factors])))
-        label = (F.round("beta", 12) >= F.round(F.col("q") * F.col("level"), 12)).cast("double")
-        each.append(grid.groupBy(key, "q").agg(F.round(F.sum(-label * F.col("r")), 9).alias("gain")).withColumn("window", F.lit(window)))
-    gains = each[0]
-    for more in each[1:]:
-        gains = gains.unionByName(more)
+        past = order.rowsBetween(-window, -1)
+        slope = F.when(F.count("spread").over(past) == window, F.regr_slope("spread", "rn").over(past))
+        slopes.append(F.struct(F.lit(window).alias("window"), slope.alias("beta")))
+    fitted = numbered.select(key, "dt", "r", F.array(*slopes).alias("slopes"))
+    trend = fitted.select(key, "dt", "r", F.explode("slopes").alias("t")).select(key, "dt", "r", "t.window", "t.beta").where("beta is not null")
+    up = Window.partitionBy(key, "window").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.sum(F.greatest("beta", F.lit(0.0))).over(up) / F.count(F.lit(1)).over(up)
+    grid = trend.withColumn("level", level).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in factors])))
+    label = (F.round("beta", 12) >= F.round(F.col("q") * F.col("level"), 12)).cast("double")
+    gains = grid.groupBy(key, "window", "q").agg(F.round(F.sum(-label * F.col("r")), 9).alias("gain"))
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("gain"), "window", "q"))
     return gains.withColumn("k", best).where("k = 1").select(key, "window", "q", "gain")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, spread
+from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, shape, spread
+from ..functions import stats
 from ..operators import returns as ret
 from ..sources import panel
+from ..sources.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +25,8 @@ returns AS (SELECT * FROM (SELECT asset, dt, price / lag(price) OVER (PARTITION
 classes AS (SELECT n_name AS asset, r_name AS market FROM nation JOIN region ON n_regionkey = r_regionkey),
 rates AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS dt, avg(l_discount) / 365 AS rf FROM lineitem GROUP BY 1),
 market AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS dt, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem GROUP BY 1),
-folds AS (SELECT y - 1997 AS cv, make_date(1995, 1, 1) AS s, make_date(y - 1, 1, 1) AS vs, make_date(y, 1, 1) AS ts, make_date(y + 1, 1, 1) AS e FROM (SELECT unnest(generate_series(1997, 2000)) AS y)),
+span AS (SELECT CAST(year(min(l_shipdate)) AS INT) AS y0, CAST(year(max(l_shipdate)) AS INT) AS y1, CAST(date_trunc('month', max(l_shipdate)) + INTERVAL 1 MONTH AS DATE) AS stop FROM lineitem),
+folds AS (SELECT CAST(y - y0 - 2 AS INT) AS cv, make_date(y0, 1, 1) AS s, make_date(CAST(y - 1 AS INT), 1, 1) AS vs, make_date(CAST(y AS INT), 1, 1) AS ts, least(make_date(CAST(y + 1 AS INT), 1, 1), stop) AS e FROM (SELECT y0, stop, unnest(generate_series(y0 + 2, y1)) AS y FROM span)),
 split_prices AS (SELECT cv, asset, dt, price, CASE WHEN dt < vs THEN 'train' WHEN dt < ts THEN 'val' ELSE 'test' END AS split FROM prices JOIN folds ON dt >= s AND dt < e),
 split_returns AS (SELECT * FROM (SELECT cv, split, asset, dt, price / lag(price) OVER (PARTITION BY cv, split, asset ORDER BY dt) - 1 AS r FROM split_prices) WHERE r IS NOT NULL),
 vols AS (SELECT asset, stddev_samp(r) AS sd, stddev_pop(r) AS sdp, avg(r) AS mean, count(*) AS n FROM returns GROUP BY asset),
@@ -67,6 +70,19 @@ def R(expression: str, name: str) -> str:
     return f"round({expression}, 6) + 0.0 AS {name}"
 
 
+def kept_prices(spark: SparkSession, d: str) -> DataFrame:
+    """The price panel written once, for queries that use it more than once: the sales are then read and joined once."""
+    return materialize(panel.prices(spark, d), "prices")
+
+
+def kept_returns(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(panel.returns(spark, d), "returns")
+
+
+def kept_probabilities(spark: SparkSession, d: str, returns: DataFrame | None = None) -> DataFrame:
+    return materialize(panel.probabilities(spark, d, known=returns), "probabilities")
+
+
 # Prices and returns
 
 
@@ -85,12 +101,12 @@ CALENDAR = ", days AS (SELECT DISTINCT dt FROM prices), cal AS (SELECT a.asset,
 
 @query("price_panel_ffill", CALENDAR + f" SELECT asset, dt, {R('last_value(price IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING) + 1e-9', 'price')} FROM cal")
 def price_panel_ffill(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(nudged(ret.fill_forward(ret.on_calendar(panel.prices(spark, d)))))
+    return rounded(nudged(ret.fill_forward(ret.on_calendar(kept_prices(spark, d)))))
 
 
 @query("price_panel_bfill", CALENDAR + f" SELECT asset, dt, {R('first_value(price IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1e-9', 'price')} FROM cal")
 def price_panel_bfill(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(nudged(ret.fill_backward(ret.on_calendar(panel.prices(spark, d)))))
+    return rounded(nudged(ret.fill_backward(ret.on_calendar(kept_prices(spark, d)))))
 
 
 @query("risk_free_daily", "SELECT dt, round(rf, 9) AS rf FROM rates")
@@ -129,7 +145,7 @@ TAIL = ", cut AS (SELECT asset, quantile_cont(r, 0.05) AS q FROM returns GROUP B
 
 @query("tail_losses", TAIL + f" SELECT asset, {R('hist_var', 'hist_var')}, {R('hist_es', 'hist_es')} FROM tail")
 def tail_losses(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(risk.tail(panel.returns(spark, d)))
+    return rounded(risk.tail(kept_returns(spark, d)))
 
 
 MOMENTS = ", mom AS (SELECT asset, n, mean, sd, sdp, avg(((r - mean) / sdp) ** 3) AS skew, avg(((r - mean) / sdp) ** 4) AS kurt FROM returns JOIN vols USING (asset) GROUP BY asset, n, mean, sd, sdp)"
@@ -148,7 +164,7 @@ SELECT asset, n, {R('mean * 12', 'annual_return')}, {R('sd * sqrt(12)', 'annual_
 FROM sr JOIN net USING (asset) JOIN tail USING (asset) JOIN worst USING (asset)""",
 )
 def backtest_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(risk.performance(panel.returns(spark, d), panel.risk_free(spark, d)))
+    return rounded(risk.performance(kept_returns(spark, d), panel.risk_free(spark, d)))
 
 
 PAIRS = ", pairs AS (SELECT x.asset AS a, y.asset AS b, covar_samp(x.r, y.r) AS cov, corr(x.r, y.r) AS corr FROM returns x JOIN returns y ON x.dt = y.dt AND x.asset <= y.asset GROUP BY ALL)"
@@ -156,7 +172,7 @@ PAIRS = ", pairs AS (SELECT x.asset AS a, y.asset AS b, covar_samp(x.r, y.r) AS
 
 @query("pair_statistics", PAIRS + f" SELECT a, b, {R('cov', 'cov')}, {R('corr', 'corr')}, round(sqrt(greatest(0, round((1 - corr) / 2, 9))), 6) + 0.0 AS distance FROM pairs")
 def pair_statistics(spark: SparkSession, d: str) -> DataFrame:
-    pairs = risk.pair_statistics(panel.returns(spark, d))
+    pairs = risk.pair_statistics(kept_returns(spark, d))
     return rounded(pairs.withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), F.round((1 - F.col("corr")) / 2, 9)))))
 
 
@@ -194,7 +210,7 @@ def w_ivol(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w_parity_cvar", TAIL + f" SELECT 'parity_cvar' AS strategy, asset, {R('1 / hist_es / (SELECT sum(1 / hist_es) FROM tail)', 'w')} FROM tail")
 def w_parity_cvar(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(allocate.parity_shortfall(panel.returns(spark, d)))
+    return rounded(allocate.parity_shortfall(kept_returns(spark, d)))
 
 
 BUDGET = ", bud AS (SELECT asset, sd, 1.0 / count(*) OVER (PARTITION BY market) / 5 AS b FROM vols JOIN classes USING (asset))"
@@ -227,12 +243,12 @@ def cluster_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w_cluster_parity", ", lab AS (SELECT asset, arg_max(factor, (loading, -factor)) AS g FROM loadings WHERE loading >= 0.01 GROUP BY asset), inner_w AS (SELECT g, asset, 1 / sd / sum(1 / sd) OVER (PARTITION BY g) AS w FROM lab JOIN vols USING (asset))" + FORM + f", raw AS (SELECT asset, w / v AS x FROM inner_w JOIN gvar USING (g)) SELECT 'cluster_parity' AS strategy, asset, {R('x / (SELECT sum(x) FROM raw)', 'w')} FROM raw")
 def w_cluster_parity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(allocate.cluster_parity(panel.returns(spark, d), allocate.best_factor(panel.loadings(spark, d))))
+    return rounded(allocate.cluster_parity(kept_returns(spark, d), allocate.best_factor(panel.loadings(spark, d))))
 
 
 @query("w_factor_budget", BEST + ", bw AS (SELECT asset, factor AS g, loading * loading / sum(loading * loading) OVER (PARTITION BY factor) / sdp AS v FROM best JOIN vols USING (asset)), inner_w AS (SELECT g, asset, v / sum(v) OVER (PARTITION BY g) AS w FROM bw)" + FORM + f", raw AS (SELECT asset, w / sqrt(v) AS x FROM inner_w JOIN gvar USING (g)) SELECT 'factor_budget' AS strategy, asset, {R('x / (SELECT sum(x) FROM raw)', 'w')} FROM raw")
 def w_factor_budget(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(allocate.factor_budget(panel.returns(spark, d), panel.loadings(spark, d)))
+    return rounded(allocate.factor_budget(kept_returns(spark, d), panel.loadings(spark, d)))
 
 
 IVOL = ", wts AS (SELECT asset, 1 / sd / (SELECT sum(1 / sd) FROM vols) AS w FROM vols)"
@@ -240,12 +256,12 @@ IVOL = ", wts AS (SELECT asset, 1 / sd / (SELECT sum(1 / sd) FROM vols) AS w FRO
 
 @query("concentration", IVOL + f" SELECT 'ivol' AS strategy, {R('(count(*) * sum(w * w) - 1) / (count(*) - 1)', 'hhi')}, {R('exp(-sum(w * ln(w)))', 'bets')} FROM wts")
 def concentration(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(allocate.concentration(allocate.inverse_risk(panel.returns(spark, d), 1)))
+    return rounded(allocate.concentration(allocate.inverse_risk(kept_returns(spark, d), 1)))
 
 
 @query("portfolio_return", IVOL + f" SELECT 'ivol' AS strategy, dt, {R('sum(w * r)', 'r')} FROM returns JOIN wts USING (asset) GROUP BY dt")
 def portfolio_return(spark: SparkSession, d: str) -> DataFrame:
-    r = panel.returns(spark, d)
+    r = kept_returns(spark, d)
     return rounded(ret.portfolio_returns(r, allocate.inverse_risk(r, 1)))
 
 
@@ -258,13 +274,15 @@ def benchmark_levered(spark: SparkSession, d: str) -> DataFrame:
 # Folds and the backtest
 
 
-def split(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.split_returns(panel.prices(spark, d), panel.folds(spark))
+def split(spark: SparkSession, d: str, prices: DataFrame | None = None) -> DataFrame:
+    """Returns by fold and split, written once as most queries use them twice or more."""
+    known = panel.prices(spark, d) if prices is None else prices
+    return materialize(backtest.split_returns(known, panel.folds(spark, d)), "split-returns")
 
 
 @query("fold_assignment", "SELECT cv, split, asset, dt FROM split_prices")
 def fold_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.fold_rows(panel.prices(spark, d), panel.folds(spark)).select("cv", "split", "asset", "dt")
+    return backtest.fold_rows(panel.prices(spark, d), panel.folds(spark, d)).select("cv", "split", "asset", "dt")
 
 
 @query("fold_standardise", f", f AS (SELECT cv, asset, avg(r) AS m, stddev_pop(r) AS s FROM split_returns WHERE split = 'train' GROUP BY ALL) SELECT cv, split, asset, dt, {R('(r - m) / coalesce(nullif(s, 0), 1)', 'z')} FROM split_returns JOIN f USING (cv, asset)")
@@ -277,18 +295,29 @@ def fold_minmax(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.min_max(split(spark, d)))
 
 
-FOLDW = ", fw AS (SELECT cv, asset, v / sum(v) OVER (PARTITION BY cv) AS w FROM (SELECT cv, asset, 1 / stddev_samp(r) AS v FROM split_returns WHERE split = 'train' GROUP BY ALL)), turn AS (SELECT cv, sum(abs(w - b)) AS turnover, sum(w * w) AS sspw FROM (SELECT cv, w, lag(w, 1, 0) OVER (PARTITION BY asset ORDER BY cv) AS b FROM fw) GROUP BY cv)"
+FOLDW = """, fw AS (SELECT cv, asset, v / sum(v) OVER (PARTITION BY cv) AS w FROM (SELECT cv, asset, 1 / stddev_samp(r) AS v FROM split_returns WHERE split = 'train' GROUP BY ALL)),
+mv AS (SELECT fw.cv, fw.asset, w / p0.price * p1.price AS v FROM fw JOIN folds USING (cv) JOIN prices p0 ON p0.asset = fw.asset AND p0.dt = folds.ts JOIN prices p1 ON p1.asset = fw.asset AND p1.dt = folds.e - INTERVAL 1 MONTH),
+drift AS (SELECT cv, asset, v / sum(v) OVER (PARTITION BY cv) AS w FROM mv),
+moves AS (SELECT cv, asset, sum(w) AS own, sum(d) AS d FROM (SELECT cv, asset, w, w AS d FROM fw UNION ALL SELECT cv + 1, asset, 0, -w FROM drift WHERE cv < (SELECT max(cv) FROM fw)) GROUP BY ALL),
+turn AS (SELECT cv, sum(abs(d)) AS turnover, sum(own * own) AS sspw FROM moves GROUP BY cv)"""
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """(cv, from, to): first and last month of each fold's test."""
+    return panel.folds(spark, d).select("cv", F.col("test_start").alias("from"), F.add_months("end", -1).alias("to"))
 
 
 @query("turnover", FOLDW + f" SELECT cv, {R('turnover', 'turnover')}, {R('sspw', 'sspw')} FROM turn")
 def turnover(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.turnover(backtest.fold_weights(split(spark, d))))
+    prices = kept_prices(spark, d)
+    weights = backtest.fold_weights(split(spark, d, prices))
+    return rounded(backtest.turnover(weights, backtest.drifted(weights.join(F.broadcast(spans(spark, d)), "cv"), prices)))
 
 
-@query("weight_drift", FOLDW + f", mv AS (SELECT fw.cv, fw.asset, w / p0.price * p1.price AS v FROM fw JOIN folds USING (cv) JOIN prices p0 ON p0.asset = fw.asset AND p0.dt = folds.ts JOIN prices p1 ON p1.asset = fw.asset AND p1.dt = folds.e - INTERVAL 1 MONTH) SELECT cv, asset, {R('v / sum(v) OVER (PARTITION BY cv)', 'w')} FROM mv")
+@query("weight_drift", FOLDW + f" SELECT cv, asset, {R('w', 'w')} FROM drift")
 def weight_drift(spark: SparkSession, d: str) -> DataFrame:
-    spans = panel.folds(spark).select("cv", F.col("test_start").alias("from"), F.add_months("end", -1).alias("to"))
-    return rounded(backtest.drifted(backtest.fold_weights(split(spark, d)).join(F.broadcast(spans), "cv"), panel.prices(spark, d)))
+    prices = kept_prices(spark, d)
+    return rounded(backtest.drifted(backtest.fold_weights(split(spark, d, prices)).join(F.broadcast(spans(spark, d)), "cv"), prices))
 
 
 @query("vol_target_backtest", FOLDW + f""", gross AS (SELECT s.cv, split, dt, sum(w * r) AS gross FROM split_returns s JOIN fw USING (cv, asset) GROUP BY ALL),
@@ -297,13 +326,13 @@ lev AS (SELECT cv, 0.05 / (greatest(stddev_pop(gross) FILTER (k <= 20), stddev_p
 test AS (SELECT cv, dt, gross, row_number() OVER (PARTITION BY cv ORDER BY dt) = 1 AS first FROM gross WHERE split = 'test')
 SELECT cv, dt, {R('leverage', 'leverage')}, {R('gross', 'gross')}, {R('leverage * gross - CASE WHEN first THEN 0.0002 * turnover * leverage ELSE 0 END - coalesce(rf, 0) * (leverage - 1)', 'r')} FROM test JOIN lev USING (cv) JOIN turn USING (cv) LEFT JOIN rates USING (dt)""")
 def vol_target_backtest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.vol_target_backtest(panel.prices(spark, d), panel.folds(spark), panel.risk_free(spark, d)))
+    return rounded(backtest.vol_target_backtest(kept_prices(spark, d), panel.folds(spark, d), panel.risk_free(spark, d)))
 
 
 @query("asof_weights", FOLDW + f", rb AS (SELECT asset, ts AS dt, w FROM fw JOIN folds USING (cv)) SELECT g.asset, g.dt, {R('rb.w', 'w')} FROM (SELECT DISTINCT a.asset, p.dt FROM prices p, (SELECT DISTINCT asset FROM rb) a) g ASOF JOIN rb ON g.asset = rb.asset AND g.dt >= rb.dt")
 def asof_weights(spark: SparkSession, d: str) -> DataFrame:
-    prices = panel.prices(spark, d)
-    weights = backtest.fold_weights(split(spark, d)).join(F.broadcast(panel.folds(spark).select("cv", F.col("test_start").alias("dt"))), "cv")
+    prices = kept_prices(spark, d)
+    weights = backtest.fold_weights(split(spark, d, prices)).join(F.broadcast(panel.folds(spark, d).select("cv", F.col("test_start").alias("dt"))), "cv")
     return rounded(ret.carried_weights(weights, prices))
 
 
@@ -337,14 +366,14 @@ DIST = ", dist AS (SELECT x.asset AS a, y.asset AS b, sqrt(sum((x.r - y.r) ** 2)
 
 @query("pair_distance", DIST + f" SELECT a, b, {R('d', 'd')} FROM dist")
 def pair_distance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.distances(panel.returns(spark, d)))
+    return rounded(cluster.distances(kept_returns(spark, d)))
 
 
 @query("silhouette", DIST + f""", lab AS (SELECT asset, arg_max(factor, (loading, -factor)) AS label FROM loadings GROUP BY asset), both_ways AS (SELECT a, b, d FROM dist UNION ALL SELECT b, a, d FROM dist),
 m AS (SELECT a, x.label AS la, y.label AS lb, avg(d) AS d FROM both_ways JOIN lab x ON x.asset = a JOIN lab y ON y.asset = b GROUP BY ALL), s AS (SELECT a, max(d) FILTER (la = lb) AS x, min(d) FILTER (la <> lb) AS y FROM m GROUP BY a)
 SELECT a AS asset, {R('CASE WHEN x IS NULL THEN 0 ELSE (y - x) / greatest(x, y) END', 's')} FROM s""")
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.silhouette(cluster.distances(panel.returns(spark, d)), cluster.labels_from_loadings(panel.loadings(spark, d))))
+    return rounded(cluster.silhouette(cluster.distances(kept_returns(spark, d)), cluster.labels_from_loadings(panel.loadings(spark, d))))
 
 
 @query("cluster_inertia", "SELECT label, max(n) AS n, round(sum(ss), 4) AS inertia FROM (SELECT label, i, count(*) AS n, sum(v * v) - sum(v) * sum(v) / count(*) AS ss FROM points GROUP BY label, i) GROUP BY label")
@@ -368,7 +397,7 @@ def reconstruction(spark: SparkSession, d: str) -> DataFrame:
 
 @query("total_r2", SCORES + f" SELECT asset, {R('1 - sum((r - fit) ** 2) / sum(r * r)', 'r2')}, {R('sqrt(avg((r - fit) ** 2))', 'rmse')} FROM returns JOIN fit USING (dt, asset) GROUP BY asset")
 def total_r2(spark: SparkSession, d: str) -> DataFrame:
-    r, loads = panel.returns(spark, d), panel.loadings(spark, d)
+    r, loads = kept_returns(spark, d), panel.loadings(spark, d)
     return rounded(factors.fit_quality(r, factors.reconstruction(factors.scores(r, loads), loads)))
 
 
@@ -392,13 +421,13 @@ CALIB = ", err AS (SELECT factor, t, round(abs(avg(y) - avg(CAST(p >= t AS DOUBL
 
 @query("calibrated_threshold", CALIB + f" SELECT factor, {R('t', 't')}, {R('err', 'err')} FROM cal")
 def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hedge.calibrated(panel.probabilities(spark, d)))
+    return rounded(hedge.calibrated(kept_probabilities(spark, d)))
 
 
 @query("excess_threshold", f""", gain AS (SELECT factor, t, round(sum((CAST(coalesce(p < t, false) AS INT) - 1) * r), 9) AS gain FROM probs JOIN grid USING (factor) GROUP BY ALL)
 SELECT factor, {R('t', 't')}, {R('gain', 'gain')} FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY gain DESC, t DESC) AS k FROM gain) WHERE k = 1""")
 def excess_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hedge.excess_gain(panel.probabilities(spark, d)))
+    return rounded(hedge.excess_gain(kept_probabilities(spark, d)))
 
 
 ROC = ", cnt AS (SELECT factor, p, sum(y) AS pos, sum(1 - y) AS neg FROM probs WHERE p IS NOT NULL GROUP BY ALL), roc AS (SELECT factor, p, sum(pos) OVER w / sum(pos) OVER (PARTITION BY factor) AS tpr, sum(neg) OVER w / sum(neg) OVER (PARTITION BY factor) AS fpr FROM cnt WINDOW w AS (PARTITION BY factor ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"
@@ -424,13 +453,14 @@ SIGNAL = ", sig AS (SELECT factor, dt, CAST(coalesce(p < t, false) AS INT) AS si
 
 @query("hedge_signal", CALIB + SIGNAL + " SELECT * FROM sig")
 def hedge_signal(spark: SparkSession, d: str) -> DataFrame:
-    probs = panel.probabilities(spark, d)
+    probs = kept_probabilities(spark, d)
     return hedge.signals(probs, hedge.calibrated(probs))
 
 
 @query("hedged_return", CALIB + SIGNAL + IVOL + f" SELECT returns.dt, {R('sum(w * r)', 'unhedged')}, {R('sum(w * coalesce(signal, 0) * returns.r)', 'hedged')} FROM returns JOIN wts USING (asset) LEFT JOIN classes USING (asset) LEFT JOIN sig ON sig.factor = market AND sig.dt = returns.dt GROUP BY returns.dt")
 def hedged_return(spark: SparkSession, d: str) -> DataFrame:
-    r, probs = panel.returns(spark, d), panel.probabilities(spark, d)
+    r = kept_returns(spark, d)
+    probs = kept_probabilities(spark, d, r)
     groups = panel.classes(spark, d).select("asset", F.col("market").alias("factor"))
     return rounded(hedge.hedged_returns(r, allocate.inverse_risk(r, 1).drop("strategy"), groups, hedge.signals(probs, hedge.calibrated(probs))))
 
@@ -470,9 +500,16 @@ def target_vol_optimality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(risk.volatility_timing(panel.returns(spark, d)))
 
 
-@query("spread_grid")
+WINDOWS, FACTORS = [3, 4, 5, 6, 8, 10, 12, 16, 20], [k / 20 for k in range(41)]
+GRID_SQL = ", tr AS (" + " UNION ALL ".join(f'SELECT asset, dt, r, {p} AS "window", CASE WHEN count(spread) OVER w{p} = {p} THEN regr_slope(spread, rn) OVER w{p} END AS beta FROM spreads WINDOW w{p} AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN {p} PRECEDING AND 1 PRECEDING)' for p in WINDOWS) + f"""),
+lv AS (SELECT *, avg(greatest(beta, 0)) OVER (PARTITION BY asset, "window" ORDER BY dt ROWS UNBOUNDED PRECEDING) AS level FROM tr WHERE beta IS NOT NULL),
+gains AS (SELECT asset, "window", q, round(sum(CASE WHEN round(beta, 12) >= round(q * level, 12) THEN -r ELSE 0 END), 9) AS gain FROM lv, (SELECT unnest(generate_series(0, 40)) / 20 AS q) GROUP BY ALL)
+SELECT asset, "window", {R('q', 'q')}, {R('gain', 'gain')} FROM gains QUALIFY row_number() OVER (PARTITION BY asset ORDER BY gain DESC, "window", q) = 1"""
+
+
+@query("spread_grid", GRID_SQL)
 def spread_grid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spread.best_parameters(spreads(spark, d), [3, 5, 8, 12], [0.0, 0.5, 1.0, 1.5, 2.0]))
+    return rounded(spread.best_parameters(spreads(spark, d), WINDOWS, FACTORS))
 
 
 @query("sharpe_inference", MOMENTS + f""", s AS (SELECT *, mean / sd AS sr, 1 + 0.5 * (mean / sd) ** 2 - skew * mean / sd + (kurt - 3) / 4 * (mean / sd) ** 2 AS sp FROM mom), z AS (SELECT *, sqrt(sp / (n - 1)) AS sr_sd, sr / sqrt(sp / (n - 1)) AS z FROM s),
@@ -485,34 +522,40 @@ def sharpe_inference(spark: SparkSession, d: str) -> DataFrame:
 # Grouped numeric operators (no SQL form; tested on cases with known answers)
 
 
+def filled_split(spark: SparkSession, d: str) -> DataFrame:
+    """Returns by fold and split of prices without gaps, so that all pairs of assets have the same dates."""
+    filled = ret.fill_backward(ret.fill_forward(ret.on_calendar(kept_prices(spark, d))))
+    return materialize(backtest.split_returns(filled, panel.folds(spark, d)), "split-returns")
+
+
 @query("w_covariance")
 def w_covariance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.covariance_weights(grouped.fold_covariances(split(spark, d))))
+    return rounded(grouped.covariance_weights(grouped.fold_covariances(filled_split(spark, d))))
 
 
 @query("torsion_bets")
 def torsion_bets(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.torsion_bets(grouped.fold_covariances(split(spark, d))))
+    return rounded(grouped.torsion_bets(grouped.fold_covariances(filled_split(spark, d))))
 
 
 @query("nmf_convex")
 def nmf_convex(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.fold_factors(split(spark, d)))
+    return rounded(grouped.fold_factors(filled_split(spark, d)))
 
 
 @query("nmf_semi")
 def nmf_semi(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.fold_factors(split(spark, d), convex=False))
+    return rounded(grouped.fold_factors(filled_split(spark, d), convex=False))
 
 
 @query("spline_impute")
 def spline_impute(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.spline_filled(ret.on_calendar(panel.prices(spark, d))))
+    return rounded(grouped.spline_filled(ret.on_calendar(kept_prices(spark, d))))
 
 
 @query("garch_proba")
 def garch_proba(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.garch_probabilities(panel.class_returns(spark, d)))
+    return rounded(grouped.rolling_probabilities(panel.class_returns(spark, d)))
 
 
 @query("evt_tail")
@@ -522,7 +565,12 @@ def evt_tail(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reality_check")
 def reality_check(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.reality_check(panel.returns(spark, d)))
+    return rounded(grouped.superiority(panel.returns(spark, d)))
+
+
+@query("reality_check_mean")
+def reality_check_mean(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.superiority(panel.returns(spark, d), statistic="mean"))
 
 
 @query("mc_study")
@@ -535,19 +583,46 @@ def block_permutation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grouped.permuted_blocks(panel.returns(spark, d)))
 
 
-@query("deflated_sharpe")
+def cdf_sql(z: str) -> str:
+    """The normal distribution of ``stats.normal_cdf`` in SQL."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    u = f"(exp(-({z}) * ({z}) / 2) * 0.3989422804014327 * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {u} ELSE {u} END"
+
+
+def quantile_sql(p: str) -> str:
+    """The normal quantile of ``stats.normal_quantile`` in SQL."""
+
+    def horner(x: str, coefficients: tuple[float, ...]) -> str:
+        out = repr(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    t, q = f"sqrt(-2 * ln(least({p}, 1 - ({p}))))", f"(({p}) - 0.5)"
+    tail, centre = f"{horner(t, stats.TAIL_TOP)} / {horner(t, stats.TAIL_BOTTOM)}", f"{q} * {horner(f'({q} * {q})', stats.CENTRE_TOP)} / {horner(f'({q} * {q})', stats.CENTRE_BOTTOM)}"
+    return f"CASE WHEN least({p}, 1 - ({p})) >= 0.02425 THEN {centre} WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END"
+
+
+DEFLATED = MOMENTS + PAIRS + f""", sr AS (SELECT asset, n, skew, kurt, mean / sd AS sr FROM mom), t AS (SELECT avg(sr) AS m, stddev_samp(sr) AS s, greatest(2, (SELECT avg(corr) FROM pairs WHERE a < b) + (1 - (SELECT avg(corr) FROM pairs WHERE a < b)) * count(*)) AS trials FROM sr),
+q AS (SELECT m, s, trials, 1 - 1 / trials AS p1, 1 - 1 / (trials * 2.718281828459045) AS p2 FROM t), best AS (SELECT trials, m + s * ((1 - 0.5772156649015329) * ({quantile_sql('p1')}) + 0.5772156649015329 * ({quantile_sql('p2')})) AS expected_max FROM q),
+z AS (SELECT asset, sr, trials, expected_max, (sr - expected_max) / sqrt((1 + 0.5 * sr * sr - skew * sr + (kurt - 3) / 4 * sr * sr) / (n - 1)) AS z FROM sr, best)
+SELECT asset, {R('sr', 'sr')}, {R('trials', 'trials')}, {R('expected_max', 'expected_max')}, {R(cdf_sql('z'), 'dsr')} FROM z"""
+
+
+@query("deflated_sharpe", DEFLATED)
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(risk.deflated_sharpe(panel.returns(spark, d)))
+    return rounded(risk.deflated_sharpe(kept_returns(spark, d)))
 
 
 @query("factor_risk")
 def factor_risk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.factor_risk(grouped.fold_covariances(split(spark, d)), panel.loadings(spark, d)))
+    return rounded(grouped.factor_risk(grouped.fold_covariances(filled_split(spark, d)), panel.loadings(spark, d)))
 
 
 @query("efficient_frontier")
 def efficient_frontier(spark: SparkSession, d: str) -> DataFrame:
-    rows = split(spark, d)
+    rows = filled_split(spark, d)
     means = rows.where("split = 'train'").groupBy("cv", "asset").agg(F.avg("r").alias("m"))
     return rounded(grouped.frontier(grouped.fold_covariances(rows), means))
 
@@ -555,3 +630,163 @@ def efficient_frontier(spark: SparkSession, d: str) -> DataFrame:
 @query("cluster_selection")
 def cluster_selection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grouped.cluster_selection(panel.returns(spark, d)))
+
+
+@query("cluster_choice")
+def cluster_choice(spark: SparkSession, d: str) -> DataFrame:
+    return grouped.chosen_clusters(grouped.cluster_selection(panel.returns(spark, d)))
+
+
+# Filters, alignments and small transforms
+
+
+@query("rolling_mean", f"SELECT asset, dt, {R('m', 'mean')} FROM (SELECT asset, dt, CASE WHEN count(r) OVER w = 3 THEN avg(r) OVER w END AS m FROM returns WINDOW w AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))")
+def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(shape.rolling_mean(panel.returns(spark, d), 3).select("asset", "dt", "mean"))
+
+
+@query("trimmed_returns", f", cut AS (SELECT asset, quantile_cont(r, 0.05) AS a, quantile_cont(r, 0.95) AS b FROM returns GROUP BY asset) SELECT asset, dt, {R('r', 'r')} FROM returns JOIN cut USING (asset) WHERE r BETWEEN a AND b")
+def trimmed_returns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(shape.trimmed(kept_returns(spark, d)))
+
+
+@query("first_order", "SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def first_order(spark: SparkSession, d: str) -> DataFrame:
+    return shape.first_rows(panel.table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("without_last_row", f"SELECT asset, dt, {R('price + 1e-9', 'price')} FROM prices QUALIFY row_number() OVER (PARTITION BY asset ORDER BY dt DESC) > 1")
+def without_last_row(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(nudged(shape.without_last(kept_prices(spark, d), "asset")))
+
+
+@query("aligned_series", f", early AS (SELECT dt, price FROM market WHERE dt < DATE '2000-01-01'), late AS (SELECT dt, rf FROM rates WHERE dt >= DATE '1997-01-01') SELECT dt, {R('price + 1e-9', 'price')}, {R('rf', 'rf')} FROM early FULL JOIN late USING (dt)")
+def aligned_series(spark: SparkSession, d: str) -> DataFrame:
+    early, late = panel.market_price(spark, d).where("dt < date'2000-01-01'"), panel.risk_free(spark, d).where("dt >= date'1997-01-01'")
+    return rounded(nudged(shape.aligned(early, late)))
+
+
+@query("newer_rows", f", seen AS (SELECT asset, max(dt) AS last FROM prices WHERE dt < DATE '2000-01-01' AND asset <> 'FRANCE' GROUP BY asset) SELECT asset, dt, {R('price + 1e-9', 'price')} FROM prices LEFT JOIN seen USING (asset) WHERE last IS NULL OR dt > last")
+def newer_rows(spark: SparkSession, d: str) -> DataFrame:
+    prices = kept_prices(spark, d)
+    return rounded(nudged(shape.newer(prices, prices.where("dt < date'2000-01-01' and asset <> 'FRANCE'"), "asset")))
+
+
+DAYS = ", ordered AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders), shipped AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM lineitem)"
+
+
+def days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return panel.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("dt")), panel.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("dt"))
+
+
+@query("dates_of_either", DAYS + " SELECT dt FROM ordered UNION SELECT dt FROM shipped")
+def dates_of_either(spark: SparkSession, d: str) -> DataFrame:
+    return shape.dates_of_either(*days(spark, d))
+
+
+@query("dates_of_first_only", DAYS + " SELECT dt FROM shipped EXCEPT SELECT dt FROM ordered")
+def dates_of_first_only(spark: SparkSession, d: str) -> DataFrame:
+    return shape.dates_of_first_only(*reversed(days(spark, d)))
+
+
+@query("hour_in_week", "SELECT round(sin((24 * (isodow(ts) - 1) + hour(ts)) * (2 * 3.141592653589793 / 168)), 4) + 0.0 AS place, count(*) AS n FROM events GROUP BY 1")
+def hour_in_week(spark: SparkSession, d: str) -> DataFrame:
+    place = shape.hour_in_week(F.col("ts")) + F.lit(0.0)
+    return panel.table(spark, d, "events").groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("value_columns", f"SELECT asset, dt, {R('vn', 'var_norm')}, {R('vh', 'var_hist')} FROM forecasts")
+def value_columns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(shape.columns_where(panel.var_forecasts(spark, d), lambda c: "var_" in c, ["asset", "dt"]))
+
+
+@query("averaged_weights", f", y AS (SELECT year(dt) AS run, asset, 1 / stddev_samp(r) AS v FROM returns GROUP BY ALL), n AS (SELECT run, asset, v / sum(v) OVER (PARTITION BY run) AS w FROM y WHERE v IS NOT NULL) SELECT asset, {R('sum(w) / (SELECT count(DISTINCT run) FROM n)', 'w')} FROM n GROUP BY asset")
+def averaged_weights(spark: SparkSession, d: str) -> DataFrame:
+    sd = panel.returns(spark, d).groupBy(F.year("dt").alias("run"), "asset").agg((1 / F.stddev_samp("r")).alias("v")).where("v is not null")
+    return rounded(shape.averaged(sd.select("run", "asset", (F.col("v") / F.sum("v").over(Window.partitionBy("run"))).alias("w"))))
+
+
+@query("balance", IVOL + f", pr AS (SELECT dt, sum(w * r) AS r FROM returns JOIN wts USING (asset) GROUP BY dt) SELECT 'ivol' AS strategy, dt, {R('ln(1000 * (1 - 0.0002)) + sum(ln(1 + r)) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)', 'log_balance')} FROM pr")
+def balance(spark: SparkSession, d: str) -> DataFrame:
+    r = kept_returns(spark, d)
+    kept = shape.balance(ret.portfolio_returns(r, allocate.inverse_risk(r, 1)))
+    return rounded(kept.select("strategy", "dt", F.log("balance").alias("log_balance")))
+
+
+@query("covariance_accuracy", f""", tp AS (SELECT x.cv, x.asset AS a, y.asset AS b, covar_samp(x.r, y.r) FILTER (x.split = 'train') AS c0, covar_samp(x.r, y.r) FILTER (x.split = 'test') AS c1 FROM split_returns x JOIN split_returns y ON x.cv = y.cv AND x.split = y.split AND x.dt = y.dt AND x.split <> 'val' GROUP BY ALL)
+SELECT cv, {R('sum(abs(c1 - c0)) / sum(abs(c0))', 'l1')}, {R('avg(CAST(sign(c0) = sign(c1) AS INT))', 'sign')} FROM tp WHERE c0 IS NOT NULL AND c1 IS NOT NULL GROUP BY cv""")
+def covariance_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(shape.covariance_accuracy(split(spark, d)))
+
+
+@query("fold_inverse", f"SELECT cv, split, asset, dt, {R('r', 'r')} FROM split_returns")
+def fold_inverse(spark: SparkSession, d: str) -> DataFrame:
+    rows = split(spark, d)
+    return rounded(backtest.unscaled(backtest.standardised(rows), backtest.fitted_scaler(rows)))
+
+
+@query("tail_counts", "SELECT dt, CAST(sum(y) AS BIGINT) AS n FROM probs GROUP BY dt")
+def tail_counts(spark: SparkSession, d: str) -> DataFrame:
+    return panel.probabilities(spark, d).groupBy("dt").agg(F.sum("y").alias("n"))
+
+
+@query("w_cluster_equal", f", lab AS (SELECT asset, arg_max(factor, (loading, -factor)) AS g FROM loadings WHERE loading >= 0.01 GROUP BY asset), u AS (SELECT asset, 1.0 / count(*) OVER (PARTITION BY g) AS v FROM lab) SELECT 'cluster_equal' AS strategy, asset, {R('v / (SELECT sum(v) FROM u)', 'w')} FROM u")
+def w_cluster_equal(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(allocate.cluster_equal(allocate.best_factor(panel.loadings(spark, d))))
+
+
+@query("rank_distance", f""", rk AS (SELECT asset, dt, rank() OVER (PARTITION BY asset ORDER BY r) AS k FROM returns), rp AS (SELECT x.asset AS a, y.asset AS b, corr(x.k, y.k) AS corr FROM rk x JOIN rk y ON x.dt = y.dt AND x.asset <= y.asset GROUP BY ALL)
+SELECT a, b, {R('corr', 'corr')}, round(sqrt(greatest(0, round((1 - corr) / 2, 9))), 6) + 0.0 AS distance FROM rp""")
+def rank_distance(spark: SparkSession, d: str) -> DataFrame:
+    pairs = risk.rank_statistics(kept_returns(spark, d))
+    return rounded(pairs.select("a", "b", "corr", F.sqrt(F.greatest(F.lit(0.0), F.round((1 - F.col("corr")) / 2, 9))).alias("distance")))
+
+
+# Hedging by fold: thresholds from train rows, signals on test rows
+
+FOLD_PROBS = """, fp AS (SELECT cv, factor, dt, r, p, y, CASE WHEN dt < vs THEN 'train' WHEN dt < ts THEN 'val' ELSE 'test' END AS split FROM probs JOIN folds ON dt >= s AND dt < e),
+fgrid AS (SELECT cv, factor, round(top * k / 49, 9) AS t FROM (SELECT cv, factor, max(p) + 1e-6 AS top FROM fp WHERE split = 'train' GROUP BY ALL), (SELECT unnest(generate_series(0, 49)) AS k)),
+ferr AS (SELECT cv, factor, t, round(abs(avg(y) - avg(CAST(p >= t AS DOUBLE))), 9) AS err FROM fp JOIN fgrid USING (cv, factor) WHERE split = 'train' GROUP BY ALL),
+fcal AS (SELECT cv, factor, t FROM ferr QUALIFY row_number() OVER (PARTITION BY cv, factor ORDER BY err, t) = 1),
+fsig AS (SELECT cv, factor, dt, r, CAST(coalesce(p < t, false) AS INT) AS signal FROM fp JOIN fcal USING (cv, factor) WHERE split = 'test')"""
+
+
+def fold_signals(spark: SparkSession, d: str) -> DataFrame:
+    return hedge.fold_signals(backtest.fold_rows(kept_probabilities(spark, d), panel.folds(spark, d)))
+
+
+@query("fold_signal", FOLD_PROBS + " SELECT cv, factor, dt, signal FROM fsig")
+def fold_signal(spark: SparkSession, d: str) -> DataFrame:
+    return fold_signals(spark, d).select("cv", "factor", "dt", "signal")
+
+
+@query("fold_hedged", FOLD_PROBS + f" SELECT cv, dt, {R('avg(r)', 'unhedged')}, {R('avg(signal * r)', 'hedged')} FROM fsig GROUP BY cv, dt")
+def fold_hedged(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fold_signals(spark, d).groupBy("cv", "dt").agg(F.avg("r").alias("unhedged"), F.avg(F.col("signal") * F.col("r")).alias("hedged")))
+
+
+@query("random_signals")
+def random_signals(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(hedge.shuffled_signals(fold_signals(spark, d), 100))
+
+
+@query("rolling_ols_inclusive", ", tr AS (SELECT asset, dt, CASE WHEN count(spread) OVER w = 5 THEN regr_slope(spread, rn) OVER w END AS beta, avg(spread) OVER w AS m FROM spreads WINDOW w AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))" + f" SELECT asset, dt, {R('beta', 'beta')}, {R('m - beta * 3', 'alpha')} FROM tr WHERE beta IS NOT NULL")
+def rolling_ols_inclusive(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spread.rolling_trend(spreads(spark, d), 5, inclusive=True).where("beta is not null").select("asset", "dt", "beta", "alpha"))
+
+
+# A portfolio held from outside, with the changes of its first fold counted from ones
+
+OUTSIDE = FOLDW.replace("SELECT cv, asset, v / sum(v) OVER (PARTITION BY cv) AS w FROM (SELECT cv, asset, 1 / stddev_samp(r) AS v FROM split_returns WHERE split = 'train' GROUP BY ALL)", "SELECT cv, asset, 1.0 / count(*) OVER (PARTITION BY cv, market) / 5 AS w FROM folds, classes").replace("FROM drift WHERE cv < (SELECT max(cv) FROM fw)", "FROM drift WHERE cv < (SELECT max(cv) FROM fw) UNION ALL SELECT cv, asset, 0, -1.0 FROM fw WHERE cv = (SELECT min(cv) FROM fw)")
+OUTSIDE_RUN = f""", gross AS (SELECT s.cv, split, dt, sum(w * r) AS gross FROM split_returns s JOIN fw USING (cv, asset) GROUP BY ALL),
+recent AS (SELECT cv, gross, row_number() OVER (PARTITION BY cv ORDER BY dt DESC) AS k FROM gross WHERE split = 'train'),
+lev AS (SELECT cv, 0.05 / (greatest(stddev_pop(gross) FILTER (k <= 20), stddev_pop(gross) FILTER (k <= 60)) * sqrt(12)) AS leverage FROM recent GROUP BY cv),
+test AS (SELECT cv, dt, gross, row_number() OVER (PARTITION BY cv ORDER BY dt) = 1 AS first FROM gross WHERE split = 'test')
+SELECT cv, dt, {R('leverage', 'leverage')}, {R('gross', 'gross')}, {R('leverage * gross - CASE WHEN first THEN 0.0002 * turnover * leverage ELSE 0 END - coalesce(rf, 0) * (leverage - 1)', 'r')} FROM test JOIN lev USING (cv) JOIN turn USING (cv) LEFT JOIN rates USING (dt)"""
+
+
+@query("external_backtest", OUTSIDE + OUTSIDE_RUN)
+def external_backtest(spark: SparkSession, d: str) -> DataFrame:
+    folds = panel.folds(spark, d)
+    held = folds.select("cv").join(F.broadcast(budgets(spark, d))).select("cv", "asset", F.col("budget").alias("w"))
+    return rounded(backtest.vol_target_backtest(kept_prices(spark, d), folds, panel.risk_free(spark, d), weights=held, before_first=1.0))

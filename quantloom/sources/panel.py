@@ -53,12 +53,17 @@ def market_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(month("l_shipdate")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
 
 
-def folds(spark: SparkSession, expanding: bool = True, first: int = 1997, last: int = 2000) -> DataFrame:
-    """(cv, start, val_start, test_start, end): one walk-forward split a year."""
-    year = F.col("id")
-    day = lambda y: F.make_date(y.cast("int"), F.lit(1), F.lit(1))
-    start = day(F.lit(1995)) if expanding else day(year - 2)
-    return spark.range(first, last + 1).select((year - first).cast("int").alias("cv"), start.alias("start"), day(year - 1).alias("val_start"), day(year).alias("test_start"), day(year + 1).alias("end"))
+def folds(spark: SparkSession, sf_dir: str, expanding: bool = True) -> DataFrame:
+    """(cv, start, val_start, test_start, end): one walk-forward split for each year of the sales from the third
+    on, the last one up to the last month there is. Only the two ends of the dates are read for it."""
+    ends = table(spark, sf_dir, "lineitem").agg(F.year(F.min("l_shipdate")).alias("first"), F.max("l_shipdate").alias("last"))
+    first, year, stop = ends.select("first", F.year("last"), F.add_months(F.trunc("last", "month"), 1)).first()
+    if first is None:
+        first, year, stop = 1, 0, None
+    y, day = F.col("id"), lambda y: F.make_date(y.cast("int"), F.lit(1), F.lit(1))
+    start = day(F.lit(first)) if expanding else day(y - 2)
+    end = F.least(day(y + 1), F.lit(stop).cast("date"))
+    return spark.range(first + 2, max(first + 2, year + 1)).select((y - first - 2).cast("int").alias("cv"), start.alias("start"), day(y - 1).alias("val_start"), day(y).alias("test_start"), end.alias("end"))
 
 
 def loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,18 +81,18 @@ def run_labels(spark: SparkSession, sf_dir: str, clusters: int = 5) -> DataFrame
     return means.select("run", "asset", (band - 1).alias("label"))
 
 
-def class_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(factor, dt, r): mean return of each class."""
-    return returns(spark, sf_dir).join(F.broadcast(classes(spark, sf_dir)), "asset").groupBy(F.col("market").alias("factor"), "dt").agg(F.avg("r").alias("r"))
+def class_returns(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """(factor, dt, r): mean return of each class; ``known`` returns are not computed again."""
+    return (returns(spark, sf_dir) if known is None else known).join(F.broadcast(classes(spark, sf_dir)), "asset").groupBy(F.col("market").alias("factor"), "dt").agg(F.avg("r").alias("r"))
 
 
-def probabilities(spark: SparkSession, sf_dir: str, window: int = 12) -> DataFrame:
+def probabilities(spark: SparkSession, sf_dir: str, window: int = 12, known: DataFrame | None = None) -> DataFrame:
     """(factor, dt, r, p, y): normal tail probability from the last ``window`` returns (null before there are
     as many), and whether the return is a tail event."""
     w = Window.partitionBy("factor").orderBy("dt").rowsBetween(1 - window, 0)
     z = -F.avg("r").over(w) / F.stddev_samp("r").over(w)
     p = F.when(F.count("r").over(w) == window, F.round(normal_cdf(z), 6))
-    return class_returns(spark, sf_dir).select("factor", "dt", "r", p.alias("p"), (F.col("r") <= 0).cast("int").alias("y"))
+    return class_returns(spark, sf_dir, known).select("factor", "dt", "r", p.alias("p"), (F.col("r") <= 0).cast("int").alias("y"))
 
 
 def var_forecasts(spark: SparkSession, sf_dir: str, window: int = 12) -> DataFrame:

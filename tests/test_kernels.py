@@ -92,3 +92,55 @@ def test_silhouette_of_separate_groups_is_near_one():
     x = np.array([0, 0.1, 9, 9.1])
     assert K.silhouette_score(np.abs(x[:, None] - x), np.array([0, 0, 1, 1])) > 0.98
     assert K.silhouette_score(np.abs(x[:, None] - x), np.array([0, 1, 2, 3])) == 0
+
+
+def test_parity_halves_follow_the_covariance():
+    x = np.random.default_rng(4).normal(size=(80, 7))
+    cov = np.cov((x @ np.random.default_rng(5).normal(size=(7, 7))).T)
+    order = K.leaf_order(K.single_linkage(K.correlation_distance(cov)))
+    w = np.ones(7)
+    parts = [order]
+    while parts:
+        part = parts.pop()
+        if len(part) > 1:
+            a, b = part[: len(part) // 2], part[len(part) // 2 :]
+            va, vb = K.cluster_variance(cov, a), K.cluster_variance(cov, b)
+            w[a] *= vb / (va + vb)
+            w[b] *= va / (va + vb)
+            parts += [a, b]
+    assert np.allclose(K.hierarchical_parity(cov), w)
+
+
+def test_fewer_dates_than_assets():
+    for dates in (4, 9, 30):
+        cov = K.positive(np.cov(np.random.default_rng(dates).normal(size=(dates, 20)).T))
+        w = K.risk_budget(cov)
+        assert abs(w.sum() - 1) < 1e-12 and w.min() > 0 and np.allclose(K.risk_shares(cov, w), 1 / 20, atol=1e-8)
+    assert np.array_equal(K.positive(np.diag([1.0, 2.0])), np.diag([1.0, 2.0]))
+
+
+def test_covariance_without_variances_is_refused():
+    import pytest
+
+    for bad in (np.array([[0.0, 0], [0, 1]]), np.array([[np.nan, 0], [0, 1]])):
+        with pytest.raises(ValueError):
+            K.positive(bad)
+
+
+def test_torsion_decorrelates():
+    cov = np.cov(np.random.default_rng(6).normal(size=(50, 5)).T) + 0.3
+    t = K.minimum_torsion(cov)
+    made = t @ cov @ t.T
+    assert np.allclose(made - np.diag(np.diag(made)), 0, atol=1e-8)
+
+
+def test_block_permutation_is_distinct_rows():
+    for seed in range(20):
+        ids = K.block_permutation(250, 60, np.random.default_rng(seed))
+        assert len(set(ids)) == len(ids) in (200, 250) and max(ids) < 250
+        assert sum(int(b) != int(a) + 1 for a, b in zip(ids, ids[1:], strict=False)) <= 4
+
+
+def test_bootstrap_variance_of_white_noise():
+    d = np.random.default_rng(7).normal(size=(4000, 2))
+    assert np.allclose(K.stationary_variance(d, 10), 1, atol=0.2)
