@@ -1,51 +1,13 @@
-"""Tables that cut lineage, kept in the folder that driver and executors share."""
+"""Helpers of the corpus operators: tables in the shared folder, free names, texts and hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset and all runs in one
-    process (local tests). Elsewhere executors would write to disks of their own, so this raises."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quantloom-")
-        folder = _OWN[app]
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor lose it
-    with an executor, and the optimizer sees its real size."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.storage import discard, fresh_path, materialize, shared_folder
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote, once nothing that is still to be computed reads them."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["crc_bucket", "discard", "free_name", "fresh_path", "materialize", "shared_folder", "text_or_empty"]
 
 
 def free_name(name: str, taken: list[str]) -> str:
