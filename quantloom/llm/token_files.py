@@ -15,20 +15,28 @@ from pyspark.sql import functions as F
 from .storage import fresh_path, materialize, text_or_empty
 from .tokens import encoder
 
-MAGIC = b"QLTK0001"
-SAMPLE = 64
+MAGIC = b"QLTK0002"
+SAMPLE = 256
+#: Documents of a file that are read at a time.
+READ = 1024
+
+
+def _sample_type(high_bytes: int) -> str:
+    return "<u4" if high_bytes < 1 << 29 else "<u8"
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers in 0..universe: the low bits packed, the high bits in unary.
+    """A non-decreasing sequence of n integers in 0..universe: the low bits packed, the high bits in unary, and the
+    place of every 256th high bit, so that an entry is found without a table of them.
 
-    About 2 + log2(universe / n) bits an entry. ``select`` finds one entry by a sampled position of its high
-    bit; ``all`` returns every entry.
+    About 2 + log2(universe / n) bits an entry, and an eighth for the samples. ``select`` finds one entry,
+    ``select_range`` neighbours; both look at the high bits between two samples only.
     """
 
-    def __init__(self, n: int, universe: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.universe, self.width, self.low, self.high = n, universe, width, low, high
-        self.samples: np.ndarray | None = None
+    HEAD = struct.Struct("<QQQQQQ")
+
+    def __init__(self, n: int, universe: int, width: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
+        self.n, self.universe, self.width, self.low, self.high, self.samples = n, universe, width, low, high, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> "EliasFano":
@@ -38,8 +46,9 @@ class EliasFano:
         bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1) if width else np.zeros((n, 0))
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         marks = np.zeros(n + (universe >> width) + 1, np.uint8)
-        marks[((values >> np.uint64(width)) + np.arange(n, dtype=np.uint64)).astype(np.int64)] = 1
-        return cls(n, universe, width, low, np.packbits(marks, bitorder="little"))
+        places = ((values >> np.uint64(width)) + np.arange(n, dtype=np.uint64)).astype(np.int64)
+        marks[places] = 1
+        return cls(n, universe, width, low, np.packbits(marks, bitorder="little"), places[::SAMPLE].astype(_sample_type(-(-len(marks) // 8))))
 
     def _lows(self, first: int, n: int) -> np.ndarray:
         if not self.width:
@@ -48,30 +57,34 @@ class EliasFano:
         bits = np.unpackbits(self.low[at // 8 : -(-(at + n * self.width) // 8)], bitorder="little")[at % 8 :][: n * self.width]
         return (bits.reshape(n, self.width).astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)) | self._lows(0, self.n)).astype(np.int64)
+    def select_range(self, first: int, n: int) -> np.ndarray:
+        """Entries first to first + n - 1."""
+        if not (0 <= first and 0 <= n and first + n <= self.n):
+            raise IndexError((first, n))
+        if not n:
+            return np.zeros(0, np.uint64)
+        begin, end = first // SAMPLE, (first + n - 1) // SAMPLE + 1
+        start = int(self.samples[begin])
+        stop = int(self.samples[end]) if end < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 :]
+        skip = first - begin * SAMPLE
+        ones = np.flatnonzero(bits)[skip : skip + n] + start
+        return ((ones - np.arange(first, first + n)).astype(np.uint64) << np.uint64(self.width)) | self._lows(first, n)
 
     def select(self, i: int) -> int:
-        """Entry i. Of the high bits, only those between two samples are looked at."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        if self.samples is None:
-            self.samples = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[::SAMPLE].astype(np.uint32)
-        byte = int(self.samples[i // SAMPLE]) // 8
-        until = int(self.samples[i // SAMPLE + 1]) // 8 + 1 if i // SAMPLE + 1 < len(self.samples) else len(self.high)
-        ones = np.flatnonzero(np.unpackbits(self.high[byte:until], bitorder="little")) + 8 * byte
-        ones = ones[ones >= int(self.samples[i // SAMPLE])]
-        return int(ones[i % SAMPLE] - i) << self.width | int(self._lows(i, 1)[0])
+        """Entry i."""
+        return int(self.select_range(i, 1)[0])
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQQ", self.n, self.universe, self.width, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        head = self.HEAD.pack(self.n, self.universe, self.width, len(self.low), len(self.high), len(self.samples))
+        return head + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, data: memoryview) -> tuple["EliasFano", int]:
-        n, universe, width, a, b = struct.unpack_from("<QQQQQ", data)
-        low, high = np.frombuffer(data, np.uint8, a, 40), np.frombuffer(data, np.uint8, b, 40 + a)
-        return cls(n, universe, width, low, high), 40 + a + b
+        n, universe, width, a, b, c = cls.HEAD.unpack_from(data)
+        at, kind = cls.HEAD.size, _sample_type(b)
+        low, high = np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a)
+        return cls(n, universe, width, low, high, np.frombuffer(data, kind, c, at + a + b)), at + a + b + c * np.dtype(kind).itemsize
 
 
 def write_shard(docs: list[int | None], ids: list[bytes], wide: bool) -> bytes:
@@ -86,7 +99,7 @@ def write_shard(docs: list[int | None], ids: list[bytes], wide: bool) -> bytes:
 
 
 class Shard:
-    """Reads what ``write_shard`` wrote: ``doc_ids``, ``start(i)``, ``tokens(i)``."""
+    """Reads what ``write_shard`` wrote: ``doc_ids``, ``starts``, ``start(i)``, ``tokens(i)``."""
 
     HEAD = struct.Struct("<BQqQ")
 
@@ -97,10 +110,24 @@ class Shard:
         self.size, self.nulls, base, n_bytes = self.HEAD.unpack_from(view, 8)
         at = 8 + self.HEAD.size
         self.ends, used = EliasFano.from_bytes(view[at:])
-        names, more = EliasFano.from_bytes(view[at + used :])
-        self.doc_ids: list[int | None] = [None] * self.nulls + (names.all() + base).tolist()
+        self.names, more = EliasFano.from_bytes(view[at + used :])
+        self.base = base
         self.ids = np.frombuffer(view[at + used + more :][:n_bytes], f"<u{self.size}")
 
+    def __len__(self) -> int:
+        return self.ends.n
+
+    def doc_ids(self, first: int, n: int) -> list[int | None]:
+        """Ids of the documents first to first + n - 1."""
+        nulls = max(0, min(n, self.nulls - first))
+        known = self.names.select_range(first + nulls - self.nulls, n - nulls)
+        return [None] * nulls + (known.astype(np.int64) + self.base).tolist()
+
+    def starts(self, first: int, n: int) -> np.ndarray:
+        """First places of the documents first to first + n - 1, and the end of the last."""
+        ends = self.ends.select_range(max(0, first - 1), n + min(first, 1)).astype(np.int64)
+        return ends if first else np.concatenate([np.zeros(1, np.int64), ends])
+
     def start(self, i: int) -> int:
         return self.ends.select(i - 1) if i else 0
 
@@ -166,11 +193,14 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(data.as_py())
-                ends = shard.ends.all().tolist()
-                starts = [0, *ends[:-1]]
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
-                columns = [pa.array(x, pa.int64()) for x in (shard.doc_ids, starts, [b - a for a, b in zip(starts, ends, strict=True)], crc)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([path.rpartition("/")[2]] * len(ends))], names=["doc_id", "at", "n_tokens", "ids_crc32", "file"])
+                for first in range(0, len(shard), READ):
+                    n = min(READ, len(shard) - first)
+                    at = shard.starts(first, n)
+                    ids = shard.ids[at[0] : at[-1]].astype("<u4")
+                    cuts = (at - at[0]).tolist()
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    columns = [pa.array(x, pa.int64()) for x in (shard.doc_ids(first, n), at[:-1], np.diff(at), crc)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([path.rpartition("/")[2]] * n)], names=["doc_id", "at", "n_tokens", "ids_crc32", "file"])
 
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

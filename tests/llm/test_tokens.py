@@ -78,7 +78,10 @@ def test_packing_of_nothing(none):
 def test_elias_fano_round_trip(values):
     values = sorted(values)
     coded, _ = EliasFano.from_bytes(memoryview(EliasFano.encode(np.array(values, np.uint64)).to_bytes()))
-    assert coded.all().tolist() == values and [coded.select(i) for i in range(len(values))] == values
+    n = len(values)
+    assert coded.select_range(0, n).tolist() == values and [coded.select(i) for i in range(n)] == values
+    for first, stop in ((0, n // 2), (n // 3, n), (n // 2, n // 2)):
+        assert coded.select_range(first, stop - first).tolist() == values[first:stop]
 
 
 def test_elias_fano_is_small():
@@ -90,7 +93,7 @@ def test_shard_round_trip():
     docs, ids = [None, -5, 7, 7], [[3, 1], [1], [9, 9, 1], [40_000, 1]]
     for wide in (False, True):
         shard = Shard(write_shard(docs, [np.array(x, "<u4").tobytes() for x in ids], wide))
-        assert shard.doc_ids == docs and [shard.tokens(i).tolist() for i in range(4)] == ids
+        assert [d for i in range(4) for d in shard.doc_ids(i, 1)] == docs == shard.doc_ids(0, 4) and shard.starts(0, 4).tolist() == [shard.start(i) for i in range(4)] + [8] and [shard.tokens(i).tolist() for i in range(4)] == ids
 
 
 def test_token_files_hold_every_document_in_order(odd):
@@ -101,6 +104,25 @@ def test_token_files_hold_every_document_in_order(odd):
         at += len(ids)
 
 
+def test_token_files_take_repeated_and_null_ids(spark):
+    rows = [(3, "c"), (None, "n"), (3, "c c"), (None, None), (1, "a"), (3, "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS start", "'x' AS file")
+    got = token_files(frame, PATH).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 1, 3, 3, 3]
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == sorted((d or 0, crc(ids_of(t))) for d, t in rows)
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(6)]
+    packed = pack_documents(frame, PATH).collect()
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in packed) == sorted((d or 0, crc(ids_of(t))) for d, t in rows)
+
+
+def test_long_shards_are_read_in_parts():
+    docs, ids = list(range(-50, 3000)), [np.arange(1 + i % 5, dtype="<u4") for i in range(3050)]
+    shard = Shard(write_shard(docs, [x.tobytes() for x in ids], True))
+    assert len(shard) == 3050 and shard.doc_ids(1000, 1500) == docs[1000:2500]
+    assert shard.starts(1000, 1500).tolist() == np.cumsum([0, *map(len, ids)])[1000:2501].tolist()
+    assert all((shard.tokens(i) == ids[i]).all() for i in range(0, 3050, 97))
+
+
 def test_token_files_of_nothing(none):
     assert token_files(none, PATH).count() == 0
 
