@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -68,6 +70,14 @@ def test_scores_and_base(spark, odd, none):
     assert score_texts(none).count() == 0
 
 
+def test_order_of_words_is_learned(spark):
+    rng = random.Random(3)
+    pairs = [("red", "apple"), ("blue", "sky"), ("green", "leaf"), ("white", "snow")]
+    rows = [(i, " ".join(w for _ in range(30) for w in rng.choice(pairs))) for i in range(300)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").selectExpr("avg(score / n_tokens) AS score", "avg(base_score / n_tokens) AS base").first()
+    assert got["score"] > got["base"] + 0.02
+
+
 def test_crf_learns_its_labels_and_keeps_the_article():
     model = default_crf()
     wrong = total = 0
@@ -89,6 +99,39 @@ def test_viterbi_equals_the_best_path():
     assert math.isclose(value(model.decode(blocks)), value(best))
 
 
+HOSTILE = {
+    "open tags": "<a " * 350_000 + '"', "quotes": "<a x='" * 170_000, "equals": "<a " + "=" * 1_000_000, "signs": "<" * 1_000_000, "comments": "<!--" * 250_000,
+    "scripts": "<script></script " * 60_000, "depth": "<div>x" * 100_000, "tables": "<p><table>" + "<div>x" * 80_000, "names": "".join(f"<div class=a{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}>x" for i in range(50_000)),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_broken_pages_are_read_in_linear_time(name):
+    model, began = default_crf(), time.process_time()
+    main_text(HOSTILE[name], model)
+    assert time.process_time() - began < 15
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>it is <a title=don't>5 < 6</a> and 'so' on</p>", "it is 5 < 6 and 'so' on"), ("<p>a<b class='x>y'>b</b> c<!-- <p>no -->d</p><p title=\"a>b\">e", "ab cd\ne"),
+    ("<p>one</p><svg><text>no</text></svg><p>two<noscript><b>no</b></noscript>", "one\ntwo"), ("<p>x &lt;b&gt; &amp;amp; &#233;&nbsp;y</p>", "x <b> &amp; é y"), ("<p>cut <a href='", "cut"),
+    ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"), ("<p>a</b></i>b</div>c</p>", "abc"),
+])
+def test_markup_stays_out_of_the_text(html, text):
+    assert main_text(f"<html><body><article>{html}", default_crf()) == text
+
+
+def test_extraction_of_unseen_templates():
+    rng, model, right, total = random.Random(5), default_crf(), 0, 0
+    words = lambda n: " ".join(rng.choice(["stone", "river", "paper", "window", "garden", "winter", "market"]) for _ in range(n)) + "."
+    for wrap in ("<main id=content><div>{}</div></main>", "<article itemprop=body><section>{}</section></article>", "<div class='post content'><div>{}</div></div>"):
+        for _ in range(20):
+            body = [words(rng.randint(8, 60)) for _ in range(rng.randint(2, 6))]
+            page = f"<html><head><title>{words(3)}</title></head><body><header><div>{words(4)}</div></header><nav><ul><li><a href=/>{words(1)}</a></ul></nav>" + wrap.format("".join(f"<p>{b}</p>" for b in body)) + f"<aside class=related><p>{words(9)}</p></aside><div id=comments><p>{words(12)}</p></div><footer><p>{words(6)}</p></footer></body></html>"
+            right, total = right + (main_text(page, model) == "\n".join(body)), total + 1
+    assert right >= 0.95 * total
+
+
 def test_extraction_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<article><p>x</p></article>"), (3, "u", "no markup <b"), (4, "u", "<" * 50_000)], "page_id long, url string, html string")
     assert extract_main_text(pages).count() == 5 and extract_main_text(pages.where("page_id < 0")).count() == 0
