@@ -16,8 +16,6 @@ BUCKETS = 1 << 16
 SENT_IDS = 1_000_000
 #: Parity parts that more lines than this have get a leader first.
 CROWD = 2
-#: Lines of this many words carry the parities of their words in 128 bits, shorter ones in 64.
-WIDE = 24
 
 
 @dataclass(frozen=True, slots=True)
@@ -104,7 +102,7 @@ def least_partner_overlap(n: Column, t: Fraction) -> Column:
 
 def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     """(sid, k1, k2, n, b1, b2, prefix) of every line: a key of its token set, its size, the parities of its
-    tokens in 64 or 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here
+    tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here
     is its rarity and 57 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and
     tokens that then coincide cost a candidate, no result. Sets that can only equal their partners have no prefix."""
     rank = lambda h: F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
@@ -113,11 +111,10 @@ def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
     zero = F.lit(0).cast("long")
     half = lambda k: F.aggregate("ordered", zero, lambda acc, h: F.when(h.bitwiseAND(64) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
-    every = F.aggregate("ordered", zero, lambda acc, h: acc.bitwiseXOR(bit(h)))
     n = F.col("n")
     some = n * (t.denominator - t.numerator) >= t.numerator
     prefix = F.when(some, F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")))
-    b1, b2 = F.when(~some, zero).when(n < WIDE, every).otherwise(half(0)), F.when(n < WIDE, zero).otherwise(half(64))
+    b1, b2 = (F.when(some, half(part)).otherwise(zero) for part in (0, 64))
     return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), "n", b1.alias("b1"), b2.alias("b2"), prefix.alias("prefix"))
 
 
@@ -141,12 +138,12 @@ def verified(pairs: DataFrame, some: Numbered, t: Fraction) -> DataFrame:
 
 
 def may_match(a: str, b: str, t: Fraction) -> Column:
-    """Length filter and parity filter for rows ``a`` and ``b``: the tokens in which two sets differ change at
-    least as many parities. Both sets must be short or both long for the second."""
+    """Length filter and parity filter for rows ``a`` and ``b``: the tokens in which two sets differ are at least
+    as many as the parities that differ."""
     na, nb = F.abs(f"{a}.n"), F.abs(f"{b}.n")
     lengths = (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
     differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
-    return lengths & (((na < WIDE) != (nb < WIDE)) | (differ <= na + nb - 2 * least_overlap(na, nb, t)))
+    return lengths & (differ <= na + nb - 2 * least_overlap(na, nb, t))
 
 
 def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
