@@ -172,24 +172,31 @@ def superiority(returns: DataFrame, replicates: int = 1000, block: float = 10, s
     return drawn.agg(F.lit(names[int(mean.argmax())]).alias("strategy"), F.lit(float(observed)).alias("statistic"), share("top", observed).alias("p_value"), share("top_spa", studentised).alias("p_spa"))
 
 
-def monte_carlo(spark, simulations: int = 64, rows: int = 260, assets: int = 10, seed: int = 1) -> DataFrame:
-    """(sim, strategy, vol, sharpe): weights fitted on the first half of simulated returns, held on the second.
-    A third of the assets drive the rest, which copy one of them with noise; each simulation is its own group."""
-
-    def run(sim: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(sim["sim"].iat[0])])
-        k = max(1, assets // 3)
-        drivers = rng.normal(0, 0.01, (rows, k))
-        copies = drivers[:, rng.integers(k, size=assets - k)] + rng.normal(0, 0.0025, (rows, assets - k))
-        r = np.hstack([drivers, copies])
-        half = rows // 2
-        cov, out = np.cov(r[:half].T), []
-        for name, f in (("hrp", K.hierarchical_parity), ("erc", K.risk_budget), ("equal", lambda c: np.full(len(c), 1 / len(c)))):
-            held = r[half:] @ f(cov)
-            out.append((int(sim["sim"].iat[0]), name, float(held.std(ddof=1)), float(held.mean() / held.std(ddof=1))))
-        return pd.DataFrame(out, columns=["sim", "strategy", "vol", "sharpe"])
-
-    return spark.range(simulations).withColumnRenamed("id", "sim").groupBy("sim").applyInPandas(run, "sim long, strategy string, vol double, sharpe double")
+def monte_carlo(returns: DataFrame, simulations: int = 250, rows: int = 240, block: float = 10, seed: int = 1) -> DataFrame:
+    """(sim, strategy, vol, sharpe, var, es, growth, sspw): weights fitted on the first half of resampled returns, held
+    on the second. Whole dates are drawn in blocks from the returns there are, so that what moves together stays
+    together; each simulation is a row dealt to some task, and the matrix goes to each task once."""
+    names, m = return_matrix(returns)
+    spark = returns.sparkSession
+    sent = spark.sparkContext.broadcast(np.nan_to_num(m))
+    rules = (("hrp", K.hierarchical_parity), ("herc", K.hierarchical_equal_risk), ("erc", K.risk_budget), ("min_variance", K.long_only_minimum_variance), ("equal", lambda c: np.full(len(c), 1 / len(c))))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for sim in part["id"]:
+                rng, known = np.random.default_rng([seed, int(sim)]), sent.value
+                at = np.concatenate([K.stationary_indices(len(known), block, rng) for _ in range(-(-rows // len(known)))])[:rows]
+                r, half = known[at], rows // 2
+                cov = K.positive(np.cov(r[:half].T))
+                for name, f in rules:
+                    w = f(cov)
+                    held = r[half:] @ w
+                    q = np.quantile(held, 0.05)
+                    out.append((int(sim), name, held.std(ddof=1), held.mean() / held.std(ddof=1), -q, -held[held <= q].mean(), np.log1p(np.maximum(held, -0.999999)).sum(), (w**2).sum()))
+            yield pd.DataFrame(out, columns=["sim", "strategy", "vol", "sharpe", "var", "es", "growth", "sspw"])
+
+    return spark.range(simulations).repartition(F.col("id")).mapInPandas(run, "sim long, strategy string, vol double, sharpe double, var double, es double, growth double, sspw double")
 
 
 def permuted_blocks(returns: DataFrame, length: int = 6, seed: int = 42) -> DataFrame:

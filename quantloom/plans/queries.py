@@ -575,7 +575,7 @@ def reality_check_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mc_study")
 def mc_study(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.monte_carlo(spark))
+    return rounded(grouped.monte_carlo(panel.returns(spark, d)))
 
 
 @query("block_permutation")

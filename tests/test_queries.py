@@ -115,7 +115,7 @@ def test_numeric_queries_keep_their_invariants(spark):
     known, filled = QUERIES["price_panel"](spark, SF).toPandas(), got["spline_impute"].dropna(subset=["price"])
     both = known.merge(filled, on=["asset", "dt"])
     assert len(both) == len(known) and (both["price_x"] - both["price_y"]).abs().max() < 1e-5
-    assert got["garch_proba"]["p"].dropna().between(0, 1).all() and (got["mc_study"]["vol"] > 0).all()
+    assert got["garch_proba"]["p"].dropna().between(0, 1).all() and (got["mc_study"]["vol"] > 0).all() and (got["mc_study"]["es"] >= got["mc_study"]["var"] - 1e-9).all() and got["mc_study"]["sspw"].between(0.03, 1.001).all()
 
 
 @pytest.mark.parametrize("name", ["backtest_stats", "vol_target_backtest", "hedged_return", "spread_grid", "deflated_sharpe", "external_backtest"])
