@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quantloom.llm.queries import QUERIES
 
@@ -9,6 +12,41 @@ def test_stages_and_names():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Labels and a benchmark beside which the stages run."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (5, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a passage of the benchmark that no text of these holds"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+#: Ids that stay in each stage of the odd documents below; the last document has no id.
+ODD_LEFT = {"toxicity": [None, 1, 2, 3, 4, 5, 6, 7, 8, 9], "line_dedup": [None, 1, 2, 3, 4, 6, 7, 8], "simhash_dedup": [1, 2, 6, 7, 8], "decontamination": [None, 1, 2, 3, 4, 5, 6, 7, 8, 9]}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_clashing_names(spark, odd, none, tables, name, stage):
+    more = lambda d: d.selectExpr("doc_id", "text", "lang", "fp", "component_id", "removed_lines", "7 AS toxicity", "8 AS line_owner", "'k' AS gone", "9 AS rows", "length(text) AS n_chars")
+    docs = more(odd.unionByName(odd.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long"))))
+    got = stage(spark, docs, tables)
+    if name == "packing":
+        assert {r["doc_id"] for r in got.collect()} == {None, *range(1, 10)}
+    else:
+        rows = got.collect()
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"] for r in rows), key=lambda i: (i is not None, i)) == ODD_LEFT[name]
+        assert all((r["toxicity"], r["line_owner"], r["gone"], r["rows"], r["removed_lines"]) == (7, 8, "k", 9, "n") for r in rows)
+    assert stage(spark, more(none), tables).count() == 0
+
+
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (2, long), (2, "another text that stands for itself here"), (3, "third text with its own words only"), (3, "third text with its own words only")]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, left)) == sorted([rows[0], rows[2], rows[3]])
+
+
 def test_run_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     clean = [(i, " ".join(f"word{i}x{j}" for j in range(60))) for i in range(1, 40)]
     item = " ".join(f"bench{j}" for j in range(30))
