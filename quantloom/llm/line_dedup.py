@@ -137,10 +137,9 @@ def verified(pairs: DataFrame, some: Numbered, t: Fraction) -> DataFrame:
     return found
 
 
-def may_match(a: str, b: str, t: Fraction) -> Column:
-    """Length filter and parity filter for rows ``a`` and ``b``: the tokens in which two sets differ are at least
-    as many as the parities that differ."""
-    na, nb = F.abs(f"{a}.n"), F.abs(f"{b}.n")
+def may_match(na: Column, nb: Column, a: str, b: str, t: Fraction) -> Column:
+    """Length filter and parity filter for rows ``a`` and ``b`` of na and nb tokens: the tokens in which two sets
+    differ are at least as many as the parities that differ."""
     lengths = (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
     differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
     return lengths & (differ <= na + nb - 2 * least_overlap(na, nb, t))
@@ -158,7 +157,7 @@ def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
     heads = only_with(sets.select(F.col("sid").alias("early"), "n", "b1", "b2"), first.select("early").distinct(), "early")
     led = materialize(first.join(heads, "early"), "leader-lines")
     a, b = parts.alias("a"), (F.broadcast(led) if led.count() <= SENT_IDS else led).alias("b")
-    near = a.join(b, (F.col("a.which") == F.col("b.which")) & (F.col("a.part") == F.col("b.part")) & (F.col("b.early") < F.col("a.sid")) & may_match("a", "b", t))
+    near = a.join(b, (F.col("a.which") == F.col("b.which")) & (F.col("a.part") == F.col("b.part")) & (F.col("b.early") < F.col("a.sid")) & may_match(F.col("a.n"), F.col("b.n"), "a", "b", t))
     return near.groupBy(F.col("a.sid").alias("late")).agg(F.min("b.early").alias("early"))
 
 
@@ -166,19 +165,21 @@ def prefix_pairs(sets: DataFrame, settled: DataFrame, t: Fraction) -> DataFrame:
     """(late, early): pairs of lines, the later not among ``settled`` (late), that share a prefix token where
     enough tokens are left in both (positional filter), whose sizes are close enough (length filter) and whose
     parities do not rule them out. The smaller set needs a shared token among its first few only, so its side of
-    the join is shorter. Settled lines carry a negative size."""
+    the join is shorter."""
     few = F.broadcast(settled) if settled.count() <= SENT_IDS else settled
-    size = F.when(F.col("late").isNull(), F.col("n")).otherwise(-F.col("n"))
-    marked = sets.where("prefix is not null").join(few, sets["sid"] == settled["late"], "left").select("sid", size.alias("n"), "b1", "b2", "prefix")
-    larger = marked.select("sid", "n", "b1", "b2", F.posexplode_outer("prefix").alias("pos", "token"))
-    first = F.slice("prefix", F.lit(1), F.abs("n") - least_partner_overlap(F.abs("n"), t) + 1)
-    smaller = marked.select("sid", "n", "b1", "b2", F.posexplode_outer(first).alias("pos", "token"))
+    marked = sets.where("prefix is not null").join(few, sets["sid"] == settled["late"], "left").select("sid", "n", F.col("late").isNotNull().alias("done"), "b1", "b2", "prefix")
+    # size and place in one number, below zero for settled lines: rows are many and should be short
+    packed = F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("pos").cast("long"))
+    sizes = F.when(F.col("done"), -packed).otherwise(packed).alias("m")
+    larger = marked.select("sid", "n", "done", "b1", "b2", F.posexplode_outer("prefix").alias("pos", "token")).select("sid", sizes, "b1", "b2", "token")
+    first = F.slice("prefix", F.lit(1), F.col("n") - least_partner_overlap(F.col("n"), t) + 1)
+    smaller = marked.select("sid", "n", "done", "b1", "b2", F.posexplode_outer(first).alias("pos", "token")).select("sid", sizes, "b1", "b2", "token")
     a, b = larger.alias("a"), smaller.alias("b")
-    na, nb = F.abs("a.n"), F.abs("b.n")
+    (na, pa), (nb, pb) = ((F.shiftright(F.abs(f"{x}.m"), 24).cast("int"), F.abs(f"{x}.m").bitwiseAND((1 << 24) - 1).cast("int")) for x in ("a", "b"))
     order = (na > nb) | ((na == nb) & (F.col("a.sid") > F.col("b.sid")))
-    open_ = F.when(F.col("a.sid") > F.col("b.sid"), F.col("a.n") > 0).otherwise(F.col("b.n") > 0)
-    enough = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= least_overlap(na, nb, t)
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & order & open_ & may_match("a", "b", t) & enough)
+    open_ = F.when(F.col("a.sid") > F.col("b.sid"), F.col("a.m") > 0).otherwise(F.col("b.m") > 0)
+    enough = F.least(na - pa, nb - pb) >= least_overlap(na, nb, t)
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & order & open_ & may_match(na, nb, "a", "b", t) & enough)
     return joined.select(F.greatest("a.sid", "b.sid").alias("late"), F.least("a.sid", "b.sid").alias("early")).distinct()
 
 
@@ -191,11 +192,16 @@ def late_lines(some: Numbered, similarity: Fraction) -> DataFrame:
     copies = materialize(repeated.where("sid <> first").select("sid"), "line-copies")
     sets = marks.join(F.broadcast(copies) if copies.count() <= SENT_IDS else copies, "sid", "left_anti").select("sid", "n", "b1", "b2", "prefix")
     sets = materialize(sets, "first-lines")
+    discard(marks, keys)
     led = verified(materialize(leader_pairs(sets, similarity), "near-leaders"), some, similarity)
+    # Once more among the lines left: in a large group the first leader may be far from many that are near each other.
+    rest = sets.join(F.broadcast(led) if led.count() <= SENT_IDS else led, sets["sid"] == led["late"], "left_anti")
+    more_led = verified(materialize(leader_pairs(rest, similarity), "near-leaders"), some, similarity)
+    led = materialize(led.unionByName(more_led), "led")
     found = verified(materialize(prefix_pairs(sets, led, similarity), "line-pairs"), some, similarity)
     firsts = materialize(led.unionByName(found), "matched-firsts")
     late = materialize(copies.unionByName(firsts.withColumnRenamed("late", "sid")), "late-lines")
-    discard(marks, keys, repeated, copies, sets, led, found, firsts)
+    discard(repeated, copies, sets, led, found, firsts)
     return late
 
 
