@@ -194,10 +194,6 @@ def late_lines(some: Numbered, similarity: Fraction) -> DataFrame:
     sets = materialize(sets, "first-lines")
     discard(marks, keys)
     led = verified(materialize(leader_pairs(sets, similarity), "near-leaders"), some, similarity)
-    # Once more among the lines left: in a large group the first leader may be far from many that are near each other.
-    rest = sets.join(F.broadcast(led) if led.count() <= SENT_IDS else led, sets["sid"] == led["late"], "left_anti")
-    more_led = verified(materialize(leader_pairs(rest, similarity), "near-leaders"), some, similarity)
-    led = materialize(led.unionByName(more_led), "led")
     found = verified(materialize(prefix_pairs(sets, led, similarity), "line-pairs"), some, similarity)
     firsts = materialize(led.unionByName(found), "matched-firsts")
     late = materialize(copies.unionByName(firsts.withColumnRenamed("late", "sid")), "late-lines")
