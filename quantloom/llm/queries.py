@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import exact_clusters
 from .decontaminate import leaked_documents
 from .embedding_dedup import near_vectors
 from .hmm import score_texts
 from .html_extract import extract_main_text
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .posting_lists import nearest_vectors
+from .runs import periodic_runs
 from .simhash import as_hex, near_duplicates
 from .storage import crc_bucket
 from .token_files import token_files
@@ -81,6 +84,39 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts of the ids whose crc32 is divisible by ten repeat a stretch up to their end, from a
+    word on and with a period that the crc32 sets; other texts are as they were."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    n = F.size("words")
+    start = F.when(n > 0, (F.col("g") % n).cast("int"))
+    period = F.when(n > 0, (1 + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int"))
+    cut = split.select("doc_id", "text", "words", start.alias("a"), period.alias("p"), (n - start).alias("rest"))
+    cycles = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(F.col("rest") / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(cycles, F.lit(1), F.col("rest"))), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("best.length * 1000 div best.period")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hmm_scoring": op2_hmm_scoring,
@@ -92,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
+    "op11_nearest_vectors": op11_nearest_vectors,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_clusters": op13_exact_clusters,
 }
 
 OP8_SQL = r"""
