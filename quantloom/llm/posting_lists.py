@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,8 @@ class Plan:
     """How lists are made: about ``rows`` vectors each, ``most_lists`` of them at most (lists grow beyond). Centroids are
     fitted to ``sample`` vectors. A vector goes to up to ``replicas`` lists whose centroids are at most ``closure`` times
     farther than the nearest. The share ``recall`` of the sample's own neighbours sets the distance ratio up to which
-    a query looks into lists. ``part`` rows and ``chunk`` queries of a list meet in one group."""
+    a query looks into lists. ``part`` rows and ``chunk`` queries of a list meet in one group. ``floor_rows`` of the sample tell how good a vector must
+    be to matter to a query, before its lists are read."""
 
     rows: int = 512
     most_lists: int = 4096
@@ -29,6 +30,7 @@ class Plan:
     closure: float = 1.1
     recall: float = 0.96
     degree: int = 24
+    floor_rows: int = 8192
     part: int = 8192
     chunk: int = 2048
     seed: int = 7
@@ -54,7 +56,8 @@ def balanced_leaves(points: np.ndarray, leaves: int, rng: np.random.Generator) -
 
 @dataclass(frozen=True)
 class Lists:
-    """Centroids of the lists, links between near ones, and the ratio that prunes a query's lists.
+    """Centroids of the lists, links between near ones, the ratio that prunes a query's lists, and the sample with the
+    lists that hold each of its rows (the number of lists where there are fewer).
 
     Vectors are divided by ``norm``, the largest length, and get one more component that makes them unit vectors;
     queries are unit vectors with a zero there. The nearest by distance is then the largest by inner product.
@@ -65,6 +68,7 @@ class Lists:
     norm: float
     ratio: float
     sample: np.ndarray
+    held: np.ndarray
     plan: Plan
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -87,30 +91,29 @@ class Lists:
             some = x[at : at + 512]
             own = np.einsum("ij,ij->i", some, some)
             far = np.full((len(some), k), np.inf, np.float32)
-            far[:, entries] = own[:, None] - 2 * some @ self.centroids[entries].T + square[entries]
             done = np.zeros((len(some), k), bool)
-            while True:
+            row, node = np.repeat(np.arange(len(some)), len(entries)), np.tile(entries, len(some))
+            while len(row):
+                for i in range(0, len(row), 100_000):
+                    r, c = row[i : i + 100_000], node[i : i + 100_000]
+                    far[r, c] = own[r] - 2 * np.einsum("ij,ij->i", some[r], self.centroids[c]) + square[c]
                 bound = np.maximum(far.min(1, keepdims=True), 1e-12) * (ratio * slack) ** 2
                 row, node = np.nonzero((far <= bound) & ~done)
-                if not len(row):
-                    break
                 done[row, node] = True
                 new = np.unique((row[:, None] * k + self.links[node]).ravel())
                 row, node = new // k, new % k
                 fresh = np.isinf(far[row, node])
                 row, node = row[fresh], node[fresh]
-                for i in range(0, len(row), 100_000):
-                    r, c = row[i : i + 100_000], node[i : i + 100_000]
-                    far[r, c] = own[r] - 2 * np.einsum("ij,ij->i", some[r], self.centroids[c]) + square[c]
             far = np.maximum(far, 0)
             row, node = np.nonzero(far <= np.maximum(far.min(1, keepdims=True), 1e-12) * ratio**2)
             order = np.lexsort((node, far[row, node], row))
             found.append((row[order] + at, node[order], far[row, node][order]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists that a vector is kept in. The nearest one first; another one within the closure only
-        if it is not nearer to a list already chosen than to the vector, as that list stands for it then."""
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The lists that each vector is kept in, the number of lists where there are fewer than ``replicas``. The nearest
+        one first; another one within the closure only if it is not nearer to a list already chosen than to the
+        vector, as that list stands for it then."""
         row, node, far = self.search(self.lifted(x, False), self.plan.closure)
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
@@ -131,56 +134,68 @@ class Lists:
             r, c = r[ok], c[ok]
             chosen[r, count[r]] = c
             count[r] += 1
-        row, turn = np.nonzero(chosen >= 0)
-        return row, chosen[row, turn]
+        return np.where(chosen < 0, len(self.centroids), chosen)
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that each vector is kept in."""
+        held = self.places(x)
+        row, turn = np.nonzero(held < len(self.centroids))
+        return row, held[row, turn]
 
     def probed(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the lists that a query looks into."""
         row, node, _ = self.search(self.lifted(q, True), self.ratio)
         return row, node
 
-    def floor(self, q: np.ndarray, k: int) -> np.ndarray:
-        """A score that the k-th best vector has at least, from the sample; the sample's rows are rows of the table."""
-        if len(self.sample) < k:
-            return np.full(len(q), -np.inf)
-        score = q.astype(np.float64) @ self.sample.T.astype(np.float64)
-        best = np.partition(score, len(self.sample) - k, axis=1)[:, len(self.sample) - k]
-        return best - 1e-9 * np.linalg.norm(q, axis=1) * self.norm
+    def floor(self, q: np.ndarray, row: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+        """For each query, which looks into the lists ``node`` of ``row``, a score that its k-th best vector there has at
+        least: that of the k-th best of some rows of the sample that are kept in those lists."""
+        some, held = self.sample[: self.plan.floor_rows], self.held[: self.plan.floor_rows]
+        out = np.full(len(q), -np.inf)
+        for at in range(0, len(q) if len(some) >= k else 0, 256):
+            n = min(256, len(q) - at)
+            open_ = np.zeros((n, len(self.centroids) + 1), bool)
+            mine = (row >= at) & (row < at + n)
+            open_[row[mine] - at, node[mine]] = True
+            there = open_[:, held[:, 0]]
+            for j in range(1, held.shape[1]):
+                there |= open_[:, held[:, j]]
+            score = np.where(there, q[at : at + n] @ some.T, -np.inf)
+            best = np.partition(score, len(some) - k, axis=1)[:, len(some) - k]
+            out[at : at + n] = best - 1e-9 * np.linalg.norm(q[at : at + n], axis=1) * self.norm
+        return out
 
 
 def fit_lists(sample: np.ndarray, rows: int, norm: float, plan: Plan, k: int = 20) -> Lists:
     """Lists for a table of ``rows`` vectors, from a sample of them, on the driver; sample and lists have fixed bounds."""
     rng = np.random.default_rng(plan.seed)
-    lists = Lists(np.zeros((1, 1)), np.zeros((1, 1)), norm, 1.0, sample, plan)
-    points = lists.lifted(sample.astype(np.float64), False)
+    bare = Lists(np.zeros((1, 1)), np.zeros((1, 1)), norm, 1.0, sample, np.zeros((0, 1), int), plan)
+    points = bare.lifted(sample, False)
     n = max(1, min(plan.most_lists, -(-rows // plan.rows), len(points) // 4))
     centroids = np.array([points[leaf].mean(0) for leaf in balanced_leaves(points, n, rng)], np.float32)
     square = np.einsum("ij,ij->i", centroids, centroids)
     near = np.argsort(square[None, :] - 2 * centroids @ centroids.T, axis=1, kind="stable")[:, : plan.degree + 1]
     ring = np.arange(n)[:, None]
-    links = np.hstack([near, (ring + 1) % n, (ring - 1) % n])
-    lists = Lists(centroids, links, norm, 1.0, sample, plan)
+    lists = replace(bare, centroids=centroids, links=np.hstack([near, (ring + 1) % n, (ring - 1) % n]))
+    lists = replace(lists, held=lists.places(sample))
     asked = rng.choice(len(points), min(len(points), 200), replace=False)
-    return Lists(centroids, links, norm, _ratio(lists, asked, k), sample, plan)
+    return replace(lists, ratio=_ratio(lists, asked, k))
 
 
 def _ratio(lists: Lists, asked: np.ndarray, k: int) -> float:
     """The least ratio, in steps of a hundredth, up to which the asked rows of the sample look into a list with each of
     the share ``recall`` of their k nearest in it. The whole table is denser, so its neighbours are nearer."""
-    sample = lists.sample.astype(np.float64)
+    sample = lists.sample
     score = sample[asked] @ sample.T
     score[np.arange(len(asked)), asked] = -np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
         return 1.0
     nearest = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    row, node = lists.placed(sample)
-    member = np.zeros((len(sample), len(lists.centroids)), bool)
-    member[row, node] = True
     q = lists.lifted(sample[asked], True)
-    far = np.maximum(0, ((q[:, None] - lists.centroids[None]) ** 2).sum(2)) if len(lists.centroids) <= 512 else np.stack([((v - lists.centroids) ** 2).sum(1) for v in q])
-    times = np.sqrt(far / np.maximum(far.min(1, keepdims=True), 1e-12))
-    need = np.where(member[nearest], times[:, None], np.inf).min(2).ravel()
+    far = np.stack([((v - lists.centroids) ** 2).sum(1) for v in q])
+    times = np.column_stack([np.sqrt(far / np.maximum(far.min(1, keepdims=True), 1e-12)), np.full(len(q), np.inf)])
+    need = times[np.arange(len(q))[:, None, None], lists.held[nearest]].min(2).ravel()
     return float(np.ceil(np.quantile(need, lists.plan.recall) * 100) / 100)
 
 
@@ -220,6 +235,7 @@ def _dealt(rows: DataFrame, lists: Lists, dim: int, parts: np.ndarray, chunks: n
                 batch = whole.slice(at, 2048)
                 x = _vectors(batch.column("vector"), dim)
                 row, node = lists.probed(x) if query else lists.placed(x)
+                floor = pa.array(lists.floor(x, row, node, k + 1)) if query else None
                 key = batch.column("key").to_numpy(zero_copy_only=False)
                 mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 mine, other = (chunks, parts) if query else (parts, chunks)
@@ -229,7 +245,7 @@ def _dealt(rows: DataFrame, lists: Lists, dim: int, parts: np.ndarray, chunks: n
                 with_ = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 part, chunk = (with_, own) if query else (own, with_)
                 columns = {"list": pa.array(node, pa.int32()), "part": pa.array(part, pa.int32()), "chunk": pa.array(chunk, pa.int32())}
-                more = pa.array(lists.floor(x, k + 1)) if query else batch.column("least")
+                more = floor if query else batch.column("least")
                 columns |= {"key": batch.column("key").take(pa.array(row)), "more": more.take(pa.array(row)), "vector": batch.column("vector").take(pa.array(row))}
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -261,8 +277,21 @@ def _best(rows: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) -> pd.Dat
     return pd.concat(out) if out else pd.DataFrame({"asked": [], "key": [], "least": [], "score": []}).astype({"asked": "int64", "key": "int64", "least": "int64"})
 
 
+def _looked_up(classes: DataFrame, queries: DataFrame, lists: Lists, dim: int, k: int) -> DataFrame:
+    """(asked, key, least, score): the k + 1 best classes in the lists that each query looks into."""
+    asked, held = _counts(queries, lists, dim, True), _counts(classes, lists, dim, False)
+    parts, chunks = -(-held // lists.plan.part), -(-asked // lists.plan.chunk)
+    rows, probes = _dealt(classes, lists, dim, parts, chunks, k, False), _dealt(queries, lists, dim, parts, chunks, k, True)
+    group = ["list", "part", "chunk"]
+    met = rows.groupBy(*group).cogroup(probes.groupBy(*group)).applyInPandas(lambda r, q: _best(r, q, dim, k + 1), "asked long, key long, least long, score double")
+    once = met.repartition(F.col("asked")).groupBy("asked", "key", "least").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "least"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
+
+
 def _searched(classes: DataFrame, dim: int, k: int, plan: Plan) -> DataFrame:
-    """(asked, key, least, score): for each class of equal vectors that is asked for, the k + 1 best classes found."""
+    """(asked, key, least, score): for each class of equal vectors that is asked for, the k + 1 best classes found. A
+    query whose lists hold fewer, while there are more, looks into all lists."""
     vector = F.col("vector")
     largest = classes.agg(F.max(F.array_max(F.transform(vector, lambda v: F.abs(v.cast("double")))))).first()[0]
     unit = F.aggregate(vector, F.lit(0.0), lambda s, v: s + (v.cast("double") / largest) * (v.cast("double") / largest))
@@ -272,15 +301,13 @@ def _searched(classes: DataFrame, dim: int, k: int, plan: Plan) -> DataFrame:
     drawn = classes.where(F.pmod(place, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(place, "key").limit(plan.sample).select("vector").toPandas()
     lists = fit_lists(np.stack(drawn["vector"].to_numpy()).astype(np.float64), n, norm, plan, k)
     queries = classes.where("asked")
-    asked = _counts(queries, lists, dim, True)
-    held = _counts(classes, lists, dim, False)
-    parts, chunks = -(-held // plan.part), -(-asked // plan.chunk)
-    rows, probes = _dealt(classes, lists, dim, parts, chunks, k, False), _dealt(queries, lists, dim, parts, chunks, k, True)
-    group = ["list", "part", "chunk"]
-    met = rows.groupBy(*group).cogroup(probes.groupBy(*group)).applyInPandas(lambda r, q: _best(r, q, dim, k + 1), "asked long, key long, least long, score double")
-    once = met.repartition(F.col("asked")).groupBy("asked", "key", "least").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "least"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
+    found = materialize(_looked_up(classes, queries, lists, dim, k), "found")
+    enough = found.groupBy("asked").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k + 1, n)).select(F.col("asked").alias("key"))
+    short = materialize(queries.join(enough, "key", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    again = _looked_up(classes, short, replace(lists, ratio=np.inf), dim, k)
+    return found.join(short.select(F.col("key").alias("asked")), "asked", "left_anti").unionByName(again)
 
 
 def nearest_vectors(vectors: DataFrame, asked: Column, k: int = 20, plan: Plan | None = None) -> DataFrame:

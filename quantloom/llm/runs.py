@@ -140,6 +140,7 @@ def find_runs(a: np.ndarray, bounds: np.ndarray, least_words: int = 24, least_pe
     """
     if least_periods < 3:
         raise ValueError("runs of fewer than three periods are not looked for")
+    least_words = max(least_words, least_periods)
     n = len(a)
     forward, backward = _Stretches(a, least_words, least_periods), _Stretches(a[::-1], least_words, least_periods)
     low, high = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
