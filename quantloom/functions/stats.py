@@ -48,3 +48,17 @@ def normal_quantile(p: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is zero."""
     return a / F.nullif(b, F.lit(0.0))
+
+
+def pareto_cdf(excess: Column, shape: Column, scale: Column) -> Column:
+    """Generalised Pareto distribution of an excess: 0 below zero, 1 beyond the end that a negative shape has."""
+    inside = 1 + shape * excess / scale
+    tail = F.when(F.abs(shape) < 1e-9, F.exp(-excess / scale)).when(inside > 0, F.pow(inside, -1 / F.nullif(shape, F.lit(0.0)))).otherwise(0.0)
+    return F.when(excess <= 0, 0.0).otherwise(1 - tail)
+
+
+def joined_exceedance(z: Column, threshold: Column, shape: Column, scale: Column) -> Column:
+    """Chance to exceed z under a normal body up to a threshold and a generalised Pareto tail above it, which has the
+    normal's mass there, so that the two meet; null where the tail is not known."""
+    tail = (1 - normal_cdf(threshold)) * (1 - pareto_cdf(z - threshold, shape, scale))
+    return F.when(shape.isNotNull() & scale.isNotNull(), F.when(z < threshold, 1 - normal_cdf(z)).otherwise(tail))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.storage import dealt
 
 
 def fold_covariances(split: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def rolling_probabilities(returns: DataFrame, key: str = "factor", window: int =
     each date from the last ``window`` returns up to it; null where there are fewer than ``least``. Each date is
     a row with its own returns, so fits are spread over tasks and none sees a later return."""
     back = Window.partitionBy(key).orderBy("dt").rowsBetween(1 - window, 0)
-    rows = returns.select(key, "dt", F.collect_list("r").over(back).alias("past")).repartition(F.col(key), F.col("dt"))
+    rows = dealt(returns.select(key, "dt", F.collect_list("r").over(back).alias("past")), key, "dt")
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -133,6 +134,15 @@ def tail_fit(losses: DataFrame, level: float = 0.9, points: int = 65, rounds: in
     return over.sparkSession.createDataFrame([(r["key"], r["u"], r["n"], r["shape"], r["scale"]) for r in found], "key string, u double, n long, shape double, scale double")
 
 
+def tail_moments(losses: DataFrame, level: float = 0.9) -> DataFrame:
+    """(key, u, shape, scale): the same law from the mean and variance of the excesses; null where they do not vary."""
+    cut = losses.groupBy("key").agg(F.percentile("x", F.lit(level)).alias("u"))
+    excess = F.col("x") - F.col("u")
+    known = losses.join(cut, "key").where("x > u").groupBy("key", "u").agg(F.avg(excess).alias("m"), F.var_samp(excess).alias("v"))
+    share = F.col("m") * F.col("m") / F.nullif("v", F.lit(0.0))
+    return known.select("key", "u", (0.5 * (1 - share)).alias("shape"), (0.5 * F.col("m") * (1 + share)).alias("scale"))
+
+
 def return_matrix(returns: DataFrame, most: int = 4_000_000) -> tuple[list[str], np.ndarray]:
     """Assets and the matrix of their returns by date, NaN where missing: for tests that resample whole dates. Its
     size is counted first, and beyond ``most`` numbers it is refused."""
@@ -196,7 +206,7 @@ def monte_carlo(returns: DataFrame, simulations: int = 250, rows: int = 240, blo
                     out.append((int(sim), name, held.std(ddof=1), held.mean() / held.std(ddof=1), -q, -held[held <= q].mean(), np.log1p(np.maximum(held, -0.999999)).sum(), (w**2).sum()))
             yield pd.DataFrame(out, columns=["sim", "strategy", "vol", "sharpe", "var", "es", "growth", "sspw"])
 
-    return spark.range(simulations).repartition(F.col("id")).mapInPandas(run, "sim long, strategy string, vol double, sharpe double, var double, es double, growth double, sspw double")
+    return dealt(spark.range(simulations), "id").mapInPandas(run, "sim long, strategy string, vol double, sharpe double, var double, es double, growth double, sspw double")
 
 
 def permuted_blocks(returns: DataFrame, length: int = 6, seed: int = 42) -> DataFrame:
@@ -255,7 +265,7 @@ def cluster_selection(returns: DataFrame, ks: range = range(2, 16), replicates:
                 d = np.linalg.norm(x.T[:, None] - x.T[None], axis=2)
                 yield pd.DataFrame({"id": [i], "k": [k], "score": [K.silhouette_score(d, labels)]})
 
-    scored = cases.repartition(F.col("id"), F.col("k")).mapInPandas(curve, "id long, k int, score double")
+    scored = dealt(cases, "id", "k").mapInPandas(curve, "id long, k int, score double")
     return scored.groupBy("k").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(0.05)).alias("low"), F.percentile("score", F.lit(0.95)).alias("high"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, shape, spread
+from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, shape, spread, volatility
 from ..functions import stats
 from ..operators import returns as ret
 from ..sources import panel
@@ -790,3 +790,54 @@ def external_backtest(spark: SparkSession, d: str) -> DataFrame:
     folds = panel.folds(spark, d)
     held = folds.select("cv").join(F.broadcast(budgets(spark, d))).select("cv", "asset", F.col("budget").alias("w"))
     return rounded(backtest.vol_target_backtest(kept_prices(spark, d), folds, panel.risk_free(spark, d), weights=held, before_first=1.0))
+
+
+# Models of the next date's return, and tails beyond a threshold
+
+
+@query("arma_garch_models")
+def arma_garch_models(spark: SparkSession, d: str) -> DataFrame:
+    r = materialize(panel.class_returns(spark, d), "class-returns")
+    before = volatility.past_returns(r, "factor", 60).join(F.broadcast(panel.folds(spark, d).select("cv", "test_start")), F.col("dt") == F.col("test_start"))
+    grid = volatility.model_grid(before.where(F.size("past") >= 20).select("cv", "factor", "past"))
+    return rounded(volatility.chosen_models(grid, ["cv", "factor"]))
+
+
+@query("arma_garch_proba")
+def arma_garch_proba(spark: SparkSession, d: str) -> DataFrame:
+    r = materialize(panel.class_returns(spark, d), "class-returns")
+    return rounded(volatility.model_chances(r, panel.folds(spark, d)))
+
+
+def scaled_events(spark: SparkSession, d: str) -> DataFrame:
+    """(key, day, z): each event's value, less the mean of its type and in units of its deviation."""
+    rows = panel.table(spark, d, "events").select(F.col("event_type").alias("key"), F.to_date("ts").alias("day"), F.col("value").alias("x"))
+    known = rows.groupBy("key").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    return rows.join(known, "key").select("key", "day", ((F.col("x") - F.col("m")) / F.nullif("s", F.lit(0.0))).alias("z"))
+
+
+def largest_by_day(rows: DataFrame, tails: DataFrame) -> DataFrame:
+    """(key, day, z, p): the largest value of each day and the chance to exceed it."""
+    top = rows.groupBy("key", "day").agg(F.max("z").alias("z"))
+    p = stats.joined_exceedance(F.col("z"), F.col("u"), F.col("shape"), F.col("scale"))
+    return rounded(top.join(tails, "key").select("key", "day", "z", p.alias("p")))
+
+
+@query("joined_tail")
+def joined_tail(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(scaled_events(spark, d), "scaled-events")
+    return largest_by_day(rows, grouped.tail_fit(rows.select("key", F.col("z").alias("x"))))
+
+
+MOMENT_TAIL = """, sc AS (SELECT event_type AS key, CAST(ts AS DATE) AS day, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM events WINDOW w AS (PARTITION BY event_type)),
+cut AS (SELECT key, quantile_cont(z, 0.9) AS u FROM sc GROUP BY key), ex AS (SELECT key, u, avg(z - u) AS m, var_samp(z - u) AS v FROM sc JOIN cut USING (key) WHERE z > u GROUP BY key, u),
+fit AS (SELECT key, u, 0.5 * (1 - m * m / v) AS shape, 0.5 * m * (1 + m * m / v) AS scale FROM ex), top AS (SELECT key, day, max(z) AS z FROM sc GROUP BY ALL)"""
+
+
+@query(
+    "joined_tail_moments",
+    MOMENT_TAIL + f""" SELECT key, day, {R('z', 'z')}, {R(f"CASE WHEN z < u THEN 1 - ({cdf_sql('z')}) ELSE (1 - ({cdf_sql('u')})) * CASE WHEN z <= u THEN 1 WHEN abs(shape) < 1e-9 THEN exp(-(z - u) / scale) WHEN 1 + shape * (z - u) / scale > 0 THEN (1 + shape * (z - u) / scale) ** (-1 / shape) ELSE 0 END END", 'p')} FROM top JOIN fit USING (key)""",
+)
+def joined_tail_moments(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(scaled_events(spark, d), "scaled-events")
+    return largest_by_day(rows, grouped.tail_moments(rows.select("key", F.col("z").alias("x"))))

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -42,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows dealt by keys to as many tasks as a shuffle has. For few rows with much work each: told only the keys,
+    Spark would put them together by their bytes, in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing that is still to be computed reads them."""
     for df in tables:
