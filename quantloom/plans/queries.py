@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, shape, spread, volatility
 from ..functions import stats
+from ..operators import budgets as budget_operators
 from ..operators import returns as ret
 from ..sources import panel
 from ..sources.storage import materialize
@@ -522,9 +523,9 @@ def sharpe_inference(spark: SparkSession, d: str) -> DataFrame:
 # Grouped numeric operators (no SQL form; tested on cases with known answers)
 
 
-def filled_split(spark: SparkSession, d: str) -> DataFrame:
+def filled_split(spark: SparkSession, d: str, grain: str = "month") -> DataFrame:
     """Returns by fold and split of prices without gaps, so that all pairs of assets have the same dates."""
-    filled = ret.fill_backward(ret.fill_forward(ret.on_calendar(kept_prices(spark, d))))
+    filled = ret.fill_backward(ret.fill_forward(ret.on_calendar(materialize(panel.prices(spark, d, grain), "prices"))))
     return materialize(backtest.split_returns(filled, panel.folds(spark, d)), "split-returns")
 
 
@@ -841,3 +842,19 @@ fit AS (SELECT key, u, 0.5 * (1 - m * m / v) AS shape, 0.5 * m * (1 + m * m / v)
 def joined_tail_moments(spark: SparkSession, d: str) -> DataFrame:
     rows = materialize(scaled_events(spark, d), "scaled-events")
     return largest_by_day(rows, grouped.tail_moments(rows.select("key", F.col("z").alias("x"))))
+
+
+# Risk budgets on scenarios, corner portfolios
+
+
+@query("w_scenario_budget")
+def w_scenario_budget(spark: SparkSession, d: str) -> DataFrame:
+    labels = allocate.best_factor(panel.loadings(spark, d).where("loading * loading >= 0.01"))
+    return rounded(budget_operators.scenario_weights(filled_split(spark, d, "week"), labels))
+
+
+@query("critical_line")
+def critical_line(spark: SparkSession, d: str) -> DataFrame:
+    rows = filled_split(spark, d)
+    means = rows.where("split = 'train'").groupBy("cv", "asset").agg(F.avg("r").alias("m"))
+    return rounded(budget_operators.corner_portfolios(grouped.fold_covariances(rows), means))

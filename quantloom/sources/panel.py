@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def month(column: str) -> F.Column:
-    return F.to_date(F.trunc(F.col(column), "month")).alias("dt")
+def month(column: str, grain: str = "month") -> F.Column:
+    return F.to_date(F.trunc(F.col(column), grain)).alias("dt")
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,10 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(owners.select("o_orderkey", "asset"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(asset, dt, price): monthly volume-weighted price of each nation."""
+def prices(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
+    """(asset, dt, price): volume-weighted price of each nation, by month or another ``grain`` of dates."""
     price = F.sum("l_extendedprice") / F.sum("l_quantity")
-    return sales(spark, sf_dir).groupBy("asset", month("l_shipdate")).agg(price.alias("price"))
+    return sales(spark, sf_dir).groupBy("asset", month("l_shipdate", grain)).agg(price.alias("price"))
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
