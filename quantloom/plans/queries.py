@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, shape, spread, volatility
+from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, selection, shape, spread, volatility
 from ..functions import stats
 from ..operators import budgets as budget_operators
 from ..operators import returns as ret
@@ -858,3 +858,57 @@ def critical_line(spark: SparkSession, d: str) -> DataFrame:
     rows = filled_split(spark, d)
     means = rows.where("split = 'train'").groupBy("cv", "asset").agg(F.avg("r").alias("m"))
     return rounded(budget_operators.corner_portfolios(grouped.fold_covariances(rows), means))
+
+
+# How many factors
+
+
+def train_returns(spark: SparkSession, d: str) -> DataFrame:
+    rows = filled_split(spark, d).where("split = 'train'").select("cv", "asset", "dt", "r")
+    return materialize(rows, "train-returns")
+
+
+@query("factor_count_aic")
+def factor_count_aic(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(selection.standardised(train_returns(spark, d), ["cv"]), "standardised")
+    fits = materialize(selection.factor_fits(rows, ["cv"], range(1, 13)), "factor-fits")
+    return rounded(selection.density_aic(materialize(selection.mean_residuals(rows, fits, ["cv"]), "residuals"), ["cv"]))
+
+
+GIVEN = SCORES + """, sc2 AS (SELECT dt, factor, sum(r * loading) AS score FROM returns JOIN loadings USING (asset) GROUP BY ALL), ml AS (SELECT factor, sum(loading) AS load FROM loadings GROUP BY factor),
+tot AS (SELECT dt, sum(r) AS r, count(*) AS n FROM returns GROUP BY dt), kk AS (SELECT CAST(unnest(generate_series(1, 6)) AS INT) AS k),
+res AS (SELECT k, dt, (tot.r - sum(score * load)) / n AS e FROM sc2 JOIN ml USING (factor) JOIN tot USING (dt) JOIN kk ON factor < k GROUP BY k, dt, tot.r, n),
+nn AS (SELECT count(*) AS n, (count(*) * 0.75) ** (-0.2) AS h FROM res WHERE k = 1),
+den AS (SELECT a.k, a.dt, ln(sum(exp(-abs(a.e - b.e) / h)) / (2 * max(n) * max(h))) AS f FROM res a, (SELECT e FROM res WHERE k = 1) b, nn GROUP BY a.k, a.dt),
+cur AS (SELECT k, sum(f) AS ll, 2 * ((k - 1) - sum(f)) AS aic FROM den GROUP BY k)"""
+
+
+@query("given_factor_aic", GIVEN + f" SELECT k, {R('ll', 'log_likelihood')}, {R('aic', 'aic')}, (SELECT k FROM cur ORDER BY round(aic, 9), k LIMIT 1) AS best FROM cur")
+def given_factor_aic(spark: SparkSession, d: str) -> DataFrame:
+    loads = panel.loadings(spark, d)
+    fits = loads.crossJoin(F.broadcast(spark.range(1, 7).select(F.col("id").cast("int").alias("k")))).where("factor < k")
+    fits = materialize(fits.select(F.lit(0).alias("cv"), "k", "asset", "factor", F.col("loading").alias("mix"), "loading"), "given-fits")
+    rows = kept_returns(spark, d).select(F.lit(0).alias("cv"), "asset", "dt", "r")
+    residuals = materialize(selection.mean_residuals(rows, fits, ["cv"]), "residuals")
+    return rounded(selection.density_aic(residuals, ["cv"]).drop("cv"))
+
+
+@query("gap_curve")
+def gap_curve(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(selection.gap_statistic(train_returns(spark, d)))
+
+
+@query("gap_choice")
+def gap_choice(spark: SparkSession, d: str) -> DataFrame:
+    return selection.chosen_by_gap(materialize(selection.gap_statistic(train_returns(spark, d)), "gap-curve"))
+
+
+CLUSTERS = DIST + """, lab AS (SELECT asset, arg_max(factor, (loading, -factor)) AS label FROM loadings GROUP BY asset), size AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+ins AS (SELECT x.label, 2 * sum(d) AS s FROM dist JOIN lab x ON x.asset = a JOIN lab y ON y.asset = b AND x.label = y.label GROUP BY x.label)"""
+
+
+@query("given_inertia", CLUSTERS + f" SELECT {R('ln(sum(coalesce(s, 0) / (n * n)))', 'inertia')} FROM size LEFT JOIN ins USING (label)")
+def given_inertia(spark: SparkSession, d: str) -> DataFrame:
+    one = F.lit(0).alias("k")
+    labels = cluster.labels_from_loadings(panel.loadings(spark, d)).select(one, "asset", "label")
+    return rounded(selection.cluster_inertias(cluster.distances(kept_returns(spark, d)), labels, ["k"]).drop("k"))
