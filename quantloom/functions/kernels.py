@@ -403,14 +403,3 @@ def next_loss_probability(r: np.ndarray) -> float:
     aic = 2 * 4 + (np.log(fitted[:-1]) + e**2 / fitted[:-1]).sum()
     sd = np.sqrt(fitted[-1] if aic < plain else e.var())
     return NormalDist().cdf(-mean / sd)
-
-
-def stationary_variance(d: np.ndarray, block: float) -> np.ndarray:
-    """Variance of sqrt(n) times the mean of each column under the stationary bootstrap with blocks of mean length
-    ``block`` (Politis and Romano 1994)."""
-    n, e, keep = len(d), d - d.mean(0), 1 - 1 / block
-    out = (e * e).mean(0)
-    for i in range(1, n):
-        weight = (n - i) / n * keep**i + i / n * keep ** (n - i)
-        out = out + 2 * weight * (e[:-i] * e[i:]).sum(0) / n
-    return np.maximum(out, 1e-18)

@@ -154,34 +154,6 @@ def return_matrix(returns: DataFrame, most: int = 4_000_000) -> tuple[list[str],
     return list(wide.columns), wide.to_numpy(float)
 
 
-def superiority(returns: DataFrame, replicates: int = 1000, block: float = 10, seed: int = 5, statistic: str = "sharpe") -> DataFrame:
-    """(strategy, statistic, p_value, p_spa): the best series by its Sharpe ratio, or with ``statistic`` "mean" by
-    its mean; the chance over stationary bootstraps of the dates that the best of series without any edge would
-    do as well (White's reality check), and the same with each series in units of its deviation and without those
-    far below zero (Hansen's test). Each replicate is a row dealt to some task; the matrix goes to each task once."""
-    names, m = return_matrix(returns)
-    spark, n = returns.sparkSession, len(m)
-    scale = np.nanstd(m, 0, ddof=1) if statistic == "sharpe" else np.ones(len(names))
-    d = np.nan_to_num(m) / scale
-    mean, dev = d.mean(0), np.sqrt(K.stationary_variance(d, block))
-    centre = np.where(np.sqrt(n) * mean >= -dev * np.sqrt(2 * np.log(np.log(max(n, 3)))), mean, 0.0)
-    observed, studentised = np.sqrt(n) * mean.max(), max(0.0, (np.sqrt(n) * mean / dev).max())
-    sent = spark.sparkContext.broadcast((d, mean, centre, dev))
-
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, mean, centre, dev = sent.value
-        for rows in parts:
-            out = []
-            for i in rows["id"]:
-                again = d[K.stationary_indices(n, block, np.random.default_rng([seed, int(i)]))].mean(0)
-                out.append((np.sqrt(n) * (again - mean).max(), max(0.0, (np.sqrt(n) * (again - centre) / dev).max())))
-            yield pd.DataFrame(out, columns=["top", "top_spa"])
-
-    drawn = spark.range(replicates).mapInPandas(draw, "top double, top_spa double")
-    share = lambda c, x: F.avg((F.col(c) > float(x)).cast("double"))
-    return drawn.agg(F.lit(names[int(mean.argmax())]).alias("strategy"), F.lit(float(observed)).alias("statistic"), share("top", observed).alias("p_value"), share("top_spa", studentised).alias("p_spa"))
-
-
 def monte_carlo(returns: DataFrame, simulations: int = 250, rows: int = 240, block: float = 10, seed: int = 1) -> DataFrame:
     """(sim, strategy, vol, sharpe, var, es, growth, sspw): weights fitted on the first half of resampled returns, held
     on the second. Whole dates are drawn in blocks from the returns there are, so that what moves together stays

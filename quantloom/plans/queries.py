@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, factors, grouped, hedge, risk, selection, shape, spread, volatility
+from ..operators import allocate, backtest, cluster, factors, grouped, hedge, inference, risk, selection, shape, spread, volatility
 from ..functions import stats
 from ..operators import budgets as budget_operators
 from ..operators import returns as ret
@@ -564,14 +564,73 @@ def evt_tail(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grouped.tail_fit(panel.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("value").alias("x"))))
 
 
-@query("reality_check")
+#: Returns of all nations on the same dates, and of the market as their benchmark, numbered by date.
+SAME_DATES = CALENDAR + """, fl AS (SELECT asset, dt, last_value(price IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING) AS f FROM cal),
+fb AS (SELECT asset, dt, coalesce(f, first_value(f IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM fl UNION ALL SELECT 'market', dt, price FROM market),
+fr AS (SELECT asset, dt, price / lag(price) OVER (PARTITION BY asset ORDER BY dt) - 1 AS r FROM fb), nb AS (SELECT asset, r, row_number() OVER (PARTITION BY asset ORDER BY dt) - 1 AS rn FROM fr WHERE r IS NOT NULL),
+cnt AS (SELECT count(*) AS n FROM nb WHERE asset = 'market'), par AS (SELECT n, greatest(5, ceil(sqrt(log10(n)))) AS run, least(n - 1, ceil(sqrt(n)) + greatest(5, ceil(sqrt(log10(n))))) AS lags, ceil(least(3 * sqrt(n), n / 3)) AS most, 2 * sqrt(log10(n) / n) AS noise FROM cnt),
+ce AS (SELECT asset, rn, r - avg(r) OVER (PARTITION BY asset) AS e FROM nb), ac AS (SELECT x.asset, y.rn - x.rn AS k, sum(x.e * y.e) / max(n) AS cov FROM ce x JOIN ce y ON x.asset = y.asset AND y.rn >= x.rn JOIN par ON y.rn - x.rn <= lags GROUP BY ALL),
+ld AS (SELECT asset, k, cov, k > 0 AND abs(cov / nullif(first_value(cov) OVER (PARTITION BY asset ORDER BY k), 0)) >= noise AS loud FROM ac, par),
+qt AS (SELECT asset, k, loud, sum(CASE WHEN loud THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS quiet FROM ld),
+ct AS (SELECT asset, greatest(1, coalesce(min(k) FILTER (quiet = run), max(k) FILTER (loud), 1)) AS cut FROM qt, par GROUP BY asset),
+ws AS (SELECT asset, cut, CASE WHEN k > 0 THEN 2 ELSE 1 END * greatest(0, least(1, 2 * (1 - k / least(2 * cut, lags)))) * cov AS v, k FROM ac JOIN ct USING (asset), par),
+bl AS (SELECT asset, cut, greatest(1, least(max(most), coalesce(cbrt((sum(v * k) / nullif(sum(v), 0)) ** 2 * max(n)), 1))) AS block FROM ws, par GROUP BY asset, cut)"""
+
+
+def same_dates(spark: SparkSession, d: str) -> DataFrame:
+    """(asset, dt, r) of all nations and of the market, on the dates that any nation has."""
+    filled = ret.fill_backward(ret.fill_forward(ret.on_calendar(kept_prices(spark, d))))
+    market = panel.market_price(spark, d).select(F.lit("market").alias("asset"), "dt", "price")
+    return ret.simple_returns(filled.select("asset", "dt", "price").unionByName(market))
+
+
+@query("block_lengths", SAME_DATES + f" SELECT asset, CAST(cut AS INT) AS cut, {R('block', 'block')} FROM bl")
+def block_lengths(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(inference.numbered(same_dates(spark, d)), "numbered-returns")
+    return rounded(inference.block_lengths(rows, rows.where("asset = 'market'").count()))
+
+
+def draws_sql(replicates: int, seed: int = 5) -> str:
+    """The dates that each replicate draws, in SQL."""
+    u = lambda kind: f"(CAST('0x' || substr(md5('{seed},{kind},' || b || ',' || t), 1, 8) AS BIGINT) / 4294967296.0)"
+    return f""", avgb AS (SELECT avg(block) AS block FROM bl), plc AS (SELECT b, t FROM (SELECT CAST(unnest(generate_series(0, {replicates - 1})) AS INT) AS b), (SELECT DISTINCT CAST(rn AS INT) AS t FROM nb)),
+flg AS (SELECT b, t, CASE WHEN t = 0 OR {u('new')} < 1 / block THEN floor({u('start')} * n) - t END AS shift FROM plc, avgb, cnt),
+idx AS (SELECT b, t, (last_value(shift IGNORE NULLS) OVER (PARTITION BY b ORDER BY t ROWS UNBOUNDED PRECEDING) + t) % n AS rn FROM flg, cnt), drawn AS (SELECT b, t, asset, r FROM idx JOIN nb USING (rn))"""
+
+
+#: Statistics of a series by the rows that ``by`` tells apart, as in ``inference.statistics``.
+VALUE_SQL = {
+    "mean": "SELECT {by}, avg(r) AS v FROM {rows} GROUP BY {by}",
+    "sharpe": "SELECT {by}, avg(r) / nullif(stddev_samp(r), 0) AS v FROM {rows} GROUP BY {by}",
+    "drawdown": "SELECT {by}, min(exp(l - p) - 1) AS v FROM (SELECT *, max(l) OVER (PARTITION BY {by} ORDER BY t ROWS UNBOUNDED PRECEDING) AS p FROM (SELECT *, sum(ln(greatest(1 + r, 1e-300))) OVER (PARTITION BY {by} ORDER BY t ROWS UNBOUNDED PRECEDING) AS l FROM {rows})) GROUP BY {by}",
+}
+
+
+def test_sql(statistic: str, replicates: int = 1000) -> str:
+    """The reality check against the market and Hansen's test in SQL."""
+    value = VALUE_SQL[statistic]
+    return SAME_DATES + draws_sql(replicates) + f""", one AS (SELECT asset, rn AS t, r FROM nb), v0 AS ({value.format(by='asset', rows='one')}), v1 AS ({value.format(by='b, asset', rows='drawn')}),
+f0 AS (SELECT asset, coalesce(v, 0) - (SELECT coalesce(v, 0) FROM v0 WHERE asset = 'market') AS f FROM v0 WHERE asset <> 'market'),
+f1 AS (SELECT x.b, x.asset, coalesce(x.v, 0) - coalesce(y.v, 0) AS g FROM v1 x JOIN v1 y ON x.b = y.b AND y.asset = 'market' AND x.asset <> 'market'),
+dv AS (SELECT asset, sqrt(max(n)) * stddev_pop(g) AS dev FROM f1, cnt GROUP BY asset), kn AS (SELECT asset, f, dev, CASE WHEN sqrt(n) * f >= -dev * sqrt(2 * ln(ln(n))) THEN f ELSE 0 END AS c FROM f0 JOIN dv USING (asset), cnt),
+bs AS (SELECT arg_max(asset, (f, asset)) AS strategy, sqrt(max(n)) * max(f) AS t, greatest(0, max(coalesce(sqrt(n) * f / nullif(dev, 0), 0))) AS ts FROM kn, cnt),
+tp AS (SELECT b, sqrt(max(n)) * max(g - f) AS t1, greatest(0, max(coalesce(sqrt(n) * (g - c) / nullif(dev, 0), 0))) AS t2 FROM f1 JOIN kn USING (asset), cnt GROUP BY b)
+SELECT strategy, {R('max(t)', 'statistic')}, {R('(SELECT block FROM avgb)', 'block')}, {R('avg(CAST(t1 > t AS DOUBLE))', 'p_value')}, {R('avg(CAST(t2 > ts AS DOUBLE))', 'p_spa')} FROM tp, bs GROUP BY strategy"""
+
+
+@query("reality_check", test_sql("sharpe"))
 def reality_check(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.superiority(panel.returns(spark, d)))
+    return rounded(inference.superiority(same_dates(spark, d), benchmark="market"))
 
 
-@query("reality_check_mean")
+@query("reality_check_mean", test_sql("mean"))
 def reality_check_mean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.superiority(panel.returns(spark, d), statistic="mean"))
+    return rounded(inference.superiority(same_dates(spark, d), benchmark="market", statistic="mean"))
+
+
+@query("reality_check_drawdown", test_sql("drawdown"))
+def reality_check_drawdown(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(inference.superiority(same_dates(spark, d), benchmark="market", statistic="drawdown"))
 
 
 @query("mc_study")

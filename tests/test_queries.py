@@ -65,18 +65,6 @@ def test_tail_law_is_found_again(spark):
         assert got["n"] == len(over) and abs(got["shape"] - s) < 1e-2 and abs(got["scale"] / c - 1) < 1e-2 and abs(got["shape"] - shape) < 0.1
 
 
-def test_an_edge_is_told_from_noise(spark):
-    import numpy as np
-
-    from quantloom.operators.grouped import superiority
-
-    rng = np.random.default_rng(1)
-    rows = lambda edge: spark.createDataFrame([(f"s{j}", t, float(rng.normal() + (edge if j == 2 else 0))) for j in range(5) for t in range(200)], "asset string, dt int, r double")
-    for statistic in ("sharpe", "mean"):
-        found, noise = superiority(rows(0.6), 200, statistic=statistic).collect()[0], superiority(rows(0.0), 200, statistic=statistic).collect()[0]
-        assert found["strategy"] == "s2" and found["p_value"] < 0.02 and found["p_spa"] < 0.02 and noise["p_value"] > 0.02 and noise["p_spa"] > 0.02
-
-
 def test_shuffled_signals_keep_their_number(spark):
     from quantloom.plans.queries import fold_signals
 
