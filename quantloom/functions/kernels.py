@@ -269,17 +269,40 @@ def semi_factors(gram: np.ndarray, labels: np.ndarray, k: int, rounds: int = 200
     return g, losses
 
 
+def _bent(knots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, values) of the three quadratic B-splines that are not zero at each place: the first one's number, and
+    their values there. ``knots`` begin and end with three equal ones."""
+    i = np.clip(np.searchsorted(knots, at, "right") - 1, 2, len(knots) - 4)
+    a, b, c, d = knots[i - 1], knots[i], knots[i + 1], knots[i + 2]
+    first, last = (c - at) ** 2 / ((c - a) * (c - b)), (at - b) ** 2 / ((d - b) * (c - b))
+    return i - 2, np.column_stack([first, 1 - first - last, last])
+
+
 def quadratic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Quadratic spline through known points, joints at the midpoints of inner intervals (the first and last
-    joint left out); NaN outside the known range. Fewer than three points: a line or a constant."""
+    """Quadratic spline through known points (x ascending), joints at the midpoints of inner intervals (the first and
+    last joint left out); NaN outside the known range. Fewer than three points: a line or a constant.
+
+    At a known point only the B-splines of its own number and the two beside it are not zero, so the coefficients
+    solve a system with three diagonals: time and memory grow with the points."""
+    inside = (at >= x[0]) & (at <= x[-1]) if len(x) else np.zeros(len(at), bool)
     if len(x) < 3:
-        return np.where((at >= x.min()) & (at <= x.max()), np.interp(at, x, y), np.nan) if len(x) else np.full(len(at), np.nan)
+        return np.where(inside, np.interp(at, x, y), np.nan) if len(x) else np.full(len(at), np.nan)
+    n = len(x)
     middle = (x[1:] + x[:-1]) / 2
-    knots = middle[1:-1]
-    scale = x[-1] - x[0]
-    design = lambda z: np.column_stack([np.ones(len(z)), (z - x[0]) / scale, ((z - x[0]) / scale) ** 2, *[np.maximum(0, (z - k) / scale) ** 2 for k in knots]])
-    c = np.linalg.lstsq(design(x), y, rcond=None)[0]
-    return np.where((at >= x[0]) & (at <= x[-1]), design(at) @ c, np.nan)
+    knots = np.concatenate([np.full(3, x[0]), middle[1:-1], np.full(3, x[-1])])
+    first, values = _bent(knots, x)
+    rows = np.zeros((n, 5))  # of each point: the splines numbered from two below its own to two above
+    rows[np.arange(n)[:, None], first[:, None] + np.arange(3) - np.arange(n)[:, None] + 2] = values
+    low, own, up, right = rows[:, 1].tolist(), rows[:, 2].tolist(), rows[:, 3].tolist(), y.astype(float).tolist()
+    for i in range(1, n):
+        ratio = low[i] / own[i - 1]
+        own[i] -= ratio * up[i - 1]
+        right[i] -= ratio * right[i - 1]
+    for i in range(n - 1, -1, -1):
+        right[i] = (right[i] - (up[i] * right[i + 1] if i + 1 < n else 0.0)) / own[i]
+    first, values = _bent(knots, np.clip(at, x[0], x[-1]))
+    fitted = (np.array(right)[first[:, None] + np.arange(3)] * values).sum(1)
+    return np.where(inside, fitted, np.nan)
 
 
 def nelder_mead(f, start: np.ndarray, step: float = 0.1, rounds: int = 600, tol: float = 1e-9) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Risk budgets on scenarios and the critical line, a fold and strategy at a time."""
+"""Risk budgets on scenarios, corner portfolios, diversified and tracking portfolios, a fold and strategy at a time."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.budgets import scenario_budget
 from ..functions.critical_line import critical_line, largest_sharpe
+from ..functions.programs import diversified_weights, nonnegative_ridge
+from ..functions.stats import ratio
 from ..sources.storage import dealt
 from .grouped import square
 
@@ -87,3 +89,49 @@ def corner_portfolios(covariances: DataFrame, means: DataFrame, high: float = 1.
         return out.astype({"slope": "Float64"})
 
     return both.groupBy("cv").applyInPandas(solve, "cv int, corner int, slope double, asset string, w double")
+
+
+def diversified(covariances: DataFrame, loadings: DataFrame) -> DataFrame:
+    """(cv, strategy, asset, w, bets): long-only weights of each fold with the most even risk, by entropy, over principal
+    portfolios (``drp``) and over the factors of ``loadings`` (asset, factor, loading) and what lies outside them
+    (``drp_factor``), with the number of bets they make."""
+    factors = loadings.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("factor", "loading"))).alias("ls"))
+    both = covariances.join(factors.select(F.col("asset").alias("a"), F.col("ls.loading").alias("ls")), "a")
+    rows = both.withColumn("strategy", F.explode(F.array(F.lit("drp"), F.lit("drp_factor"))))
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names, cov = square(rows)
+        own = np.stack(rows.drop_duplicates("a").set_index("a")["ls"].loc[names].to_numpy())
+        w, bets = diversified_weights(K.positive(cov), own if key[1] == "drp_factor" else None)
+        return pd.DataFrame({"cv": key[0], "strategy": key[1], "asset": names, "w": w, "bets": bets})
+
+    return dealt(rows, "cv", "strategy").groupBy("cv", "strategy").applyInPandas(solve, "cv int, strategy string, asset string, w double, bets double")
+
+
+def tracking(split: DataFrame, target: DataFrame, penalty: float = 0.05, high: float | None = None) -> DataFrame:
+    """(cv, asset, coef): non-negative ridge coefficients, up to ``high``, that make the returns of a ``target`` (dt, y) out of
+    those of the assets in the train split of ``split`` (cv, split, asset, dt, r), both less their means. The fit gets
+    sums of products of pairs only; dates without a target are left out, and pairs are taken over the dates they share."""
+    train = split.where("split = 'train'").join(target, "dt").select("cv", "dt", "asset", "r", "y")
+    x, y = (train.select("cv", "dt", F.col("asset").alias(n), F.col("r").alias(v)) for n, v in (("a", "x"), ("b", "z")))
+    pairs = x.join(y, ["cv", "dt"]).where("a <= b").groupBy("cv", "a", "b").agg((F.covar_pop("x", "z") * F.count(F.lit(1))).alias("cov"))
+    products = train.groupBy("cv", F.col("asset").alias("a")).agg((F.covar_pop("r", "y") * F.count(F.lit(1))).alias("with_target"))
+    gram = pairs.unionByName(pairs.where("a < b").select("cv", F.col("b").alias("a"), F.col("a").alias("b"), "cov")).join(products, ["cv", "a"])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        names, m = square(rows)
+        c = rows.drop_duplicates("a").set_index("a")["with_target"].loc[names].to_numpy(float)
+        coef = nonnegative_ridge(np.nan_to_num(m), c, penalty, 0.0, np.inf if high is None else high)
+        return pd.DataFrame({"cv": rows["cv"].iat[0], "asset": names, "coef": coef})
+
+    return gram.groupBy("cv").applyInPandas(solve, "cv int, asset string, coef double")
+
+
+def tracking_quality(split: DataFrame, target: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """(cv, split, n, r2): share of the target's variance that the tracking portfolio's returns explain in each split, with
+    the best constant added; dates on which an asset of the fold is missing are left out."""
+    size = coefficients.groupBy("cv").agg(F.count(F.lit(1)).alias("size"))
+    held = split.join(coefficients, ["cv", "asset"]).groupBy("cv", "split", "dt").agg(F.sum(F.col("coef") * F.col("r")).alias("fit"), F.count(F.lit(1)).alias("m"))
+    both = held.join(size, "cv").where("m = size").join(target, "dt")
+    left = F.var_pop(F.col("y") - F.col("fit"))
+    return both.groupBy("cv", "split").agg(F.count(F.lit(1)).alias("n"), (1 - ratio(left, F.var_pop("y"))).alias("r2"))

@@ -971,3 +971,25 @@ def given_inertia(spark: SparkSession, d: str) -> DataFrame:
     one = F.lit(0).alias("k")
     labels = cluster.labels_from_loadings(panel.loadings(spark, d)).select(one, "asset", "label")
     return rounded(selection.cluster_inertias(cluster.distances(kept_returns(spark, d)), labels, ["k"]).drop("k"))
+
+
+@query("w_diversified")
+def w_diversified(spark: SparkSession, d: str) -> DataFrame:
+    covariances = materialize(grouped.fold_covariances(filled_split(spark, d)), "covariances")
+    return rounded(budget_operators.diversified(covariances, panel.loadings(spark, d)))
+
+
+def market_returns(spark: SparkSession, d: str) -> DataFrame:
+    market = panel.market_price(spark, d).withColumn("asset", F.lit("market"))
+    return ret.simple_returns(market).select("dt", F.col("r").alias("y"))
+
+
+@query("ridge_tracking")
+def ridge_tracking(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(budget_operators.tracking(filled_split(spark, d), market_returns(spark, d)))
+
+
+@query("ridge_quality")
+def ridge_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows, target = filled_split(spark, d), materialize(market_returns(spark, d), "market-returns")
+    return rounded(budget_operators.tracking_quality(rows, target, materialize(budget_operators.tracking(rows, target), "coefficients")))

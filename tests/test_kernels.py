@@ -141,6 +141,27 @@ def test_block_permutation_is_distinct_rows():
         assert sum(int(b) != int(a) + 1 for a, b in zip(ids, ids[1:], strict=False)) <= 4
 
 
-def test_bootstrap_variance_of_white_noise():
-    d = np.random.default_rng(7).normal(size=(4000, 2))
-    assert np.allclose(K.stationary_variance(d, 10), 1, atol=0.2)
+def test_spline_is_smooth_and_exact_on_many_points():
+    import time
+
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.choice([1.0, 1.0, 1.0, 3.0, 4.0], size=10_000))
+    y = np.cumsum(rng.normal(size=10_000))
+    began = time.time()
+    fitted = K.quadratic_spline(x, y, x)
+    assert time.time() - began < 1 and np.abs(fitted - y).max() < 1e-9
+    joints = ((x[1:] + x[:-1]) / 2)[1:-1]
+    h = 1e-4
+    left, mid, right = (K.quadratic_spline(x, y, joints + s) for s in (-h, 0, h))
+    assert np.abs((right - mid) - (mid - left)).max() < 1e-4  # no corner at a joint
+    third = np.diff(K.quadratic_spline(x, y, np.linspace(joints[5] + 1e-6, joints[6] - 1e-6, 8)), 3)
+    assert np.abs(third).max() < 1e-9  # a parabola between joints
+
+
+def test_spline_equals_a_dense_solve():
+    rng = np.random.default_rng(9)
+    x, y = np.sort(rng.choice(60, 15, replace=False)).astype(float), rng.normal(size=15)
+    at = np.linspace(x[0], x[-1], 200)
+    knots = ((x[1:] + x[:-1]) / 2)[1:-1]
+    design = lambda z: np.column_stack([np.ones(len(z)), z, z**2, *[np.maximum(0, z - k) ** 2 for k in knots]])
+    assert np.allclose(K.quadratic_spline(x, y, at), design(at) @ np.linalg.solve(design(x), y), atol=1e-6)
