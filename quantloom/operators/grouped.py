@@ -143,42 +143,14 @@ def tail_moments(losses: DataFrame, level: float = 0.9) -> DataFrame:
     return known.select("key", "u", (0.5 * (1 - share)).alias("shape"), (0.5 * F.col("m") * (1 + share)).alias("scale"))
 
 
-def return_matrix(returns: DataFrame, most: int = 4_000_000) -> tuple[list[str], np.ndarray]:
-    """Assets and the matrix of their returns by date, NaN where missing: for tests that resample whole dates. Its
-    size is counted first, and beyond ``most`` numbers it is refused."""
-    n = returns.count()
-    if n > most:
-        raise ValueError(f"{n} returns are more than the {most} that go to every task")
-    rows = returns.select("asset", "dt", "r").toPandas()
-    wide = rows.pivot(index="dt", columns="asset", values="r").sort_index().sort_index(axis=1)
-    return list(wide.columns), wide.to_numpy(float)
-
-
-def monte_carlo(returns: DataFrame, simulations: int = 250, rows: int = 240, block: float = 10, seed: int = 1) -> DataFrame:
-    """(sim, strategy, vol, sharpe, var, es, growth, sspw): weights fitted on the first half of resampled returns, held
-    on the second. Whole dates are drawn in blocks from the returns there are, so that what moves together stays
-    together; each simulation is a row dealt to some task, and the matrix goes to each task once."""
-    names, m = return_matrix(returns)
-    spark = returns.sparkSession
-    sent = spark.sparkContext.broadcast(np.nan_to_num(m))
-    rules = (("hrp", K.hierarchical_parity), ("herc", K.hierarchical_equal_risk), ("erc", K.risk_budget), ("min_variance", K.long_only_minimum_variance), ("equal", lambda c: np.full(len(c), 1 / len(c))))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for sim in part["id"]:
-                rng, known = np.random.default_rng([seed, int(sim)]), sent.value
-                at = np.concatenate([K.stationary_indices(len(known), block, rng) for _ in range(-(-rows // len(known)))])[:rows]
-                r, half = known[at], rows // 2
-                cov = K.positive(np.cov(r[:half].T))
-                for name, f in rules:
-                    w = f(cov)
-                    held = r[half:] @ w
-                    q = np.quantile(held, 0.05)
-                    out.append((int(sim), name, held.std(ddof=1), held.mean() / held.std(ddof=1), -q, -held[held <= q].mean(), np.log1p(np.maximum(held, -0.999999)).sum(), (w**2).sum()))
-            yield pd.DataFrame(out, columns=["sim", "strategy", "vol", "sharpe", "var", "es", "growth", "sspw"])
-
-    return dealt(spark.range(simulations), "id").mapInPandas(run, "sim long, strategy string, vol double, sharpe double, var double, es double, growth double, sspw double")
+#: Weights from a covariance matrix, by name.
+RULES = {
+    "hrp": K.hierarchical_parity,
+    "herc": K.hierarchical_equal_risk,
+    "erc": K.risk_budget,
+    "min_variance": K.long_only_minimum_variance,
+    "equal": lambda cov: np.full(len(cov), 1 / len(cov)),
+}
 
 
 def permuted_blocks(returns: DataFrame, length: int = 6, seed: int = 42) -> DataFrame:
@@ -220,27 +192,6 @@ def frontier(covariances: DataFrame, means: DataFrame, points: int = 10) -> Data
     return both.groupBy("cv").applyInPandas(solve, "cv int, point int, mean double, sd double")
 
 
-def cluster_selection(returns: DataFrame, ks: range = range(2, 16), replicates: int = 20, block: int = 12, seed: int = 9) -> DataFrame:
-    """(k, mean, low, high): silhouette of convex-factor labels over block-permuted replicates, by number of
-    clusters. Each replicate with each k is a row for some task; the matrix goes to each task once."""
-    _, m = return_matrix(returns)
-    spark = returns.sparkSession
-    sent = spark.sparkContext.broadcast(np.nan_to_num(m))
-    cases = spark.range(replicates).select("id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-
-    def curve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            for i, k in zip(rows["id"], rows["k"], strict=True):
-                x = sent.value[K.block_permutation(len(sent.value), block, np.random.default_rng([seed, int(i)]))]
-                x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-                labels = K.convex_factors(x.T @ x, K.nearest_groups(x.T, int(k), int(i), starts=2), int(k), rounds=50)[1].argmax(1)
-                d = np.linalg.norm(x.T[:, None] - x.T[None], axis=2)
-                yield pd.DataFrame({"id": [i], "k": [k], "score": [K.silhouette_score(d, labels)]})
-
-    scored = dealt(cases, "id", "k").mapInPandas(curve, "id long, k int, score double")
-    return scored.groupBy("k").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(0.05)).alias("low"), F.percentile("score", F.lit(0.95)).alias("high"))
-
-
 def chosen_clusters(curve: DataFrame) -> DataFrame:
     """(rule, k) of a selection curve: the k of the best mean; the least k whose upper band reaches the best lower
     band; and the last k before the mean falls most."""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, log, log10, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import positive
 from ..functions.stats import ratio
-from ..sources.storage import materialize
+from ..sources.storage import dealt, materialize
 
 STATISTICS = ("mean", "sharpe", "drawdown")
 
@@ -19,6 +23,14 @@ def numbered(returns: DataFrame) -> DataFrame:
     return returns.where("r is not null").select("asset", (F.row_number().over(order) - 1).alias("rn"), "r")
 
 
+def dates_of_all(rows: DataFrame) -> int:
+    """Number of dates of ``rows`` (asset, rn, r); raises unless all assets have the same ones."""
+    sizes = [r[0] for r in rows.groupBy("asset").count().select("count").distinct().limit(2).collect()]
+    if len(sizes) != 1 or sizes[0] < 3:
+        raise ValueError("series need the same dates, and three of them at least")
+    return sizes[0]
+
+
 def autocovariances(rows: DataFrame, lags: int) -> DataFrame:
     """(asset, k, n, cov) of the returns of ``rows`` (asset, rn, r) for each lag k up to ``lags``, divided by the number n of
     returns. Products with all lags are made in one pass over a series in order and added up before they move."""
@@ -56,13 +68,15 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(",", *parts).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def resampled_dates(spark: SparkSession, n: int, replicates: int, block: float, seed: int) -> DataFrame:
-    """(replicate, t, rn): for each place t of each replicate the number of the date drawn there. Blocks begin anew with
+def resampled_dates(spark: SparkSession, n: int, replicates: int, block: float, seed: int, places: int | None = None) -> DataFrame:
+    """(replicate, t, rn): for each of ``places`` (as many as dates if None) t of each replicate the number of the date, of
+    n, that is drawn there. Blocks begin anew with
     probability 1 / ``block`` at a date drawn evenly, and go on with the next date, the first one after the last."""
-    places = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).cast("int").alias("t"))
+    m = n if places is None else places
+    rows = spark.range(replicates * m).select(F.floor(F.col("id") / m).cast("int").alias("replicate"), (F.col("id") % m).cast("int").alias("t"))
     draw = lambda kind: uniform(F.lit(f"{seed}"), F.lit(kind), F.col("replicate").cast("string"), F.col("t").cast("string"))
     begins = (F.col("t") == 0) | (draw("new") < 1 / block)
-    flagged = places.withColumn("from", F.when(begins, F.struct(F.col("t").alias("t"), F.floor(draw("start") * n).cast("int").alias("rn"))))
+    flagged = rows.withColumn("from", F.when(begins, F.struct(F.col("t").alias("t"), F.floor(draw("start") * n).cast("int").alias("rn"))))
     known = F.last("from", ignorenulls=True).over(Window.partitionBy("replicate").orderBy("t"))
     return flagged.withColumn("from", known).select("replicate", "t", ((F.col("from.rn") + F.col("t") - F.col("from.t")) % n).alias("rn"))
 
@@ -94,10 +108,7 @@ def superiority(returns: DataFrame, replicates: int = 1000, block: float | None
     if statistic not in STATISTICS:
         raise ValueError(f"{statistic} is not one of {', '.join(STATISTICS)}")
     spark, rows = returns.sparkSession, materialize(numbered(returns), "numbered-returns")
-    sizes = [r[0] for r in rows.groupBy("asset").count().select("count").distinct().limit(2).collect()]
-    if len(sizes) != 1 or sizes[0] < 3:
-        raise ValueError("series need the same dates, and three of them at least")
-    n = sizes[0]
+    n = dates_of_all(rows)
     if block is None:
         block = block_lengths(rows, n).agg(F.avg("block")).first()[0]
     drawn = resampled_dates(spark, n, replicates, block, seed).join(rows, "rn").select("replicate", "t", "asset", "r")
@@ -121,3 +132,32 @@ def superiority(returns: DataFrame, replicates: int = 1000, block: float | None
     tops = again.withColumnRenamed("f", "g").join(known, "asset").groupBy("replicate").agg((root * F.max(F.col("g") - F.col("f"))).alias("top"), F.greatest(F.lit(0.0), F.max(unit(F.col("g") - F.col("centre")))).alias("top_spa"))
     share = lambda a, b: F.avg((F.col(a) > F.col(b)).cast("double"))
     return tops.join(F.broadcast(best)).groupBy("strategy", "statistic").agg(F.lit(float(block)).alias("block"), share("top", "statistic").alias("p_value"), share("top_spa", "studentised").alias("p_spa"))
+
+
+def monte_carlo(returns: DataFrame, rules: dict[str, Callable[[np.ndarray], np.ndarray]], simulations: int = 250, places: int = 240, block: float = 10, seed: int = 1) -> DataFrame:
+    """(sim, strategy, vol, sharpe, var, es, growth, sspw): weights by ``rules`` (from a covariance matrix) fitted on the first
+    half of resampled returns (asset, dt, r) and held on the second. Whole dates are drawn in blocks, so that what
+    moves together stays together. A simulation's first half is a group of ``places`` / 2 rows an asset; what its weights
+    earn is joined and aggregated by Spark."""
+    spark, rows = returns.sparkSession, materialize(numbered(returns), "numbered-returns")
+    dates = resampled_dates(spark, dates_of_all(rows), simulations, block, seed, places)
+    drawn = materialize(dates.join(rows, "rn").select(F.col("replicate").alias("sim"), "t", "asset", "r"), "simulations")
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="t", columns="asset", values="r").sort_index()
+        cov = positive(np.cov(wide.to_numpy().T))
+        return pd.DataFrame({"sim": key[0], "asset": wide.columns, "ws": list(np.column_stack([rule(cov) for rule in rules.values()]))})
+
+    half = places // 2
+    first = dealt(drawn.where(F.col("t") < half), "sim")
+    weights = materialize(first.groupBy("sim").applyInPandas(fit, "sim int, asset string, ws array<double>"), "simulated-weights")
+    w = {name: F.element_at("ws", i + 1) for i, name in enumerate(rules)}
+    by_strategy = lambda column: F.explode(F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(name).alias(column)) for name in rules]))
+    earned = drawn.where(F.col("t") >= half).join(weights, ["sim", "asset"]).groupBy("sim", "t").agg(*[F.sum(w[name] * F.col("r")).alias(name) for name in rules])
+    held = materialize(earned.select("sim", "t", by_strategy("r").alias("s")).select("sim", "t", "s.*"), "held")
+    squares = weights.groupBy("sim").agg(*[F.sum(w[name] * w[name]).alias(name) for name in rules]).select("sim", by_strategy("sspw").alias("s")).select("sim", "s.*")
+    keys = ["sim", "strategy"]
+    known = held.groupBy(*keys).agg(F.stddev_samp("r").alias("vol"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.05)).alias("q"), F.sum(F.log1p(F.greatest(F.col("r"), F.lit(-0.999999)))).alias("growth"))
+    tail = held.join(known.select(*keys, "q"), keys).where("r <= q").groupBy(*keys).agg((-F.avg("r")).alias("es"))
+    out = known.join(tail, keys).join(squares, keys)
+    return out.select(F.col("sim").cast("long").alias("sim"), "strategy", "vol", ratio(F.col("mean"), F.col("vol")).alias("sharpe"), (-F.col("q")).alias("var"), "es", "growth", "sspw")

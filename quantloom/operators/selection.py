@@ -1,4 +1,4 @@
-"""How many factors: kernel density of the residuals with AIC, and the gap statistic; a fold, draw and number at a time."""
+"""How many factors: kernel density of the residuals with AIC, the gap statistic, and silhouettes over replicates."""
 
 from __future__ import annotations
 
@@ -127,10 +127,7 @@ def gap_statistic(returns: DataFrame, ks: range = range(1, 9), draws: int = 10,
     rows = materialize(with_null_draws(standardised(returns, ["cv"]), draws, seed), "null-draws")
     fits = factor_fits(rows, ["cv", "draw"], ks)
     labels = fits.groupBy("cv", "draw", "k", "asset").agg(F.max_by("factor", F.struct("loading", -F.col("factor"))).alias("label"))
-    x, y = (rows.select("cv", "draw", "dt", F.col("asset").alias(n), F.col("r").alias(v)) for n, v in (("a", "x"), ("b", "y")))
-    gap = F.col("x") - F.col("y")
-    distances = x.join(y, ["cv", "draw", "dt"]).where("a < b").groupBy("cv", "draw", "a", "b").agg(F.sqrt(F.sum(gap * gap)).alias("d"))
-    inertia = cluster_inertias(distances, materialize(labels, "labels"), ["cv", "draw", "k"])
+    inertia = cluster_inertias(pair_distances(rows, ["cv", "draw"]), materialize(labels, "labels"), ["cv", "draw", "k"])
     own, null = F.when(F.col("draw") == 0, F.col("inertia")), F.when(F.col("draw") > 0, F.col("inertia"))
     curve = inertia.groupBy("cv", "k").agg(F.max(own).alias("inertia"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("sd"))
     found = curve.where("inertia is not null and mean is not null")
@@ -146,3 +143,73 @@ def chosen_by_gap(curve: DataFrame) -> DataFrame:
     first_gap = F.min(F.when(F.col("gap") > F.col("next") - F.col("error"), F.col("k")))
     peak = F.min(F.when((F.col("gap") > F.col("up")) & (F.col("gap") > F.col("down")), F.col("k")))
     return beside.groupBy("cv").agg(first_gap.alias("first_gap"), peak.alias("first_peak"))
+
+
+def permuted_rows(returns: DataFrame, replicates: int, length: int, seed: int = 9) -> DataFrame:
+    """(cv, replicate, asset, dt, r): the dates of each replicate that are left when blocks of ``length`` dates are put in a
+    random order without replacement and the list is cut where all blocks would have to be whole: unless the last,
+    shorter block comes last, some dates are lost. Their order does not matter to what is computed from them. The
+    order of the blocks is that of a hash."""
+    dates = returns.select("cv", "dt").distinct()
+    order, whole = Window.partitionBy("cv").orderBy("dt"), Window.partitionBy("cv")
+    numbered = dates.select("cv", "dt", (F.row_number().over(order) - 1).alias("rn"), F.count(F.lit(1)).over(whole).alias("n"))
+    placed = numbered.withColumn("block", F.floor(F.col("rn") / length)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    turn = F.dense_rank().over(Window.partitionBy("cv", "replicate").orderBy(F.xxhash64(F.lit(seed), "cv", "replicate", "block"), "block")) - 1
+    room = F.least(F.lit(length), F.col("n") - turn * length)
+    kept = placed.withColumn("room", room).where(F.col("rn") - F.col("block") * length < F.col("room"))
+    return returns.join(kept.select("cv", "replicate", "dt"), ["cv", "dt"]).select("cv", "replicate", "asset", "dt", "r")
+
+
+def silhouettes(distances: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score): mean silhouette of the assets. ``distances`` (some of the keys, a, b, d) has a < b, ``labels`` are (keys,
+    asset, label). An asset alone in its cluster counts zero, and so do all where there is one cluster."""
+    shared = [c for c in keys if c in distances.columns]
+    ways = distances.unionByName(distances.select(*shared, F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    mine = labels.select(*keys, F.col("asset").alias("a"), F.col("label").alias("own"))
+    near = ways.join(labels.withColumnRenamed("asset", "b"), [*shared, "b"]).groupBy(*keys, "a", "label").agg(F.avg("d").alias("d"))
+    sides = mine.join(near, [*keys, "a"], "left").groupBy(*keys, "a").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("d"))).alias("x"), F.min(F.when(F.col("label") != F.col("own"), F.col("d"))).alias("y"))
+    score = F.coalesce((F.col("y") - F.col("x")) / F.nullif(F.greatest("x", "y"), F.lit(0.0)), F.lit(0.0))
+    both = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), score).otherwise(0.0)
+    return sides.groupBy(*keys).agg(F.avg(both).alias("score"))
+
+
+def pair_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, d): Euclidean distance of each two assets' returns, a < b."""
+    x, y = (rows.select(*keys, "dt", F.col("asset").alias(n), F.col("r").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    gap = F.col("x") - F.col("y")
+    return x.join(y, [*keys, "dt"]).where("a < b").groupBy(*keys, "a", "b").agg(F.sqrt(F.sum(gap * gap)).alias("d"))
+
+
+def silhouette_curve(returns: DataFrame, ks: range = range(2, 16), replicates: int = 20, length: int = 12, alpha: float = 0.05, seed: int = 9) -> DataFrame:
+    """(cv, k, mean, low, high): silhouette of the clusters of k convex factors by number k over block-permuted
+    replicates of ``returns`` (cv, asset, dt, r), standardised anew in each, with the quantiles ``alpha`` and 1 - ``alpha``."""
+    keys = ["cv", "replicate"]
+    rows = materialize(standardised(permuted_rows(returns, replicates, length, seed), keys), "replicates")
+    labels = factor_fits(rows, keys, ks).groupBy(*keys, "k", "asset").agg(F.max_by("factor", F.struct("loading", -F.col("factor"))).alias("label"))
+    scores = silhouettes(pair_distances(rows, keys), materialize(labels, "labels"), [*keys, "k"])
+    return scores.groupBy("cv", "k").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(alpha)).alias("low"), F.percentile("score", F.lit(1 - alpha)).alias("high"))
+
+
+def chosen_by_band(curve: DataFrame, gain: float = 0.025) -> DataFrame:
+    """(cv, rule, k) of a silhouette curve (cv, k, mean, low, high):
+
+    ``max``: the best mean; ``first_max``: the least k whose mean reaches the lower band of the best; ``gap``: the least k whose
+    mean reaches the lower band of the next; ``extrema``: of the k whose mean is above both neighbours (the ends being
+    neighbours) and, but for the first, above the one of those before it by ``gain``, that with the largest mean to
+    band width. A rule that nothing meets gives the least k. Equal values: the lower k."""
+    order, whole = Window.partitionBy("cv").orderBy("k"), Window.partitionBy("cv")
+    rows = curve.select("cv", "k", "mean", "low", "high", F.max_by("low", F.struct("mean", -F.col("k"))).over(whole).alias("best_low"), F.lead("low").over(order).alias("next_low"), F.coalesce(F.lead("mean").over(order), F.min_by("mean", "k").over(whole)).alias("up"), F.coalesce(F.lag("mean").over(order), F.max_by("mean", "k").over(whole)).alias("down"))
+    peak = (F.col("mean") > F.col("up")) & (F.col("mean") > F.col("down"))
+    marked = rows.withColumn("peak", peak).withColumn("before", F.last(F.when(F.col("peak"), F.col("mean")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    candidate = F.col("peak") & (F.col("before").isNull() | (F.col("mean") - F.col("before") > gain))
+    weight = F.col("mean") / (F.col("high") - F.col("low") + 1e-12)
+    least = F.min("k")
+    first = lambda met: F.coalesce(F.min(F.when(met, F.col("k"))), least)
+    rules = {
+        "max": F.max_by("k", F.struct("mean", -F.col("k"))),
+        "first_max": first(F.col("mean") >= F.col("best_low")),
+        "gap": first(F.col("mean") >= F.col("next_low")),
+        "extrema": F.coalesce(F.max_by(F.when(candidate, F.col("k")), F.when(candidate, F.struct(weight, -F.col("k")))), least),
+    }
+    picked = marked.groupBy("cv").agg(*[r.alias(n) for n, r in rules.items()])
+    return picked.select("cv", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("k")) for n in rules])).alias("r")).select("cv", "r.rule", "r.k")

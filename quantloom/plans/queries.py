@@ -635,7 +635,7 @@ def reality_check_drawdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mc_study")
 def mc_study(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.monte_carlo(panel.returns(spark, d)))
+    return rounded(inference.monte_carlo(same_dates(spark, d).where("asset <> 'market'"), grouped.RULES))
 
 
 @query("block_permutation")
@@ -687,14 +687,19 @@ def efficient_frontier(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grouped.frontier(grouped.fold_covariances(rows), means))
 
 
+def whole_curve(spark: SparkSession, d: str) -> DataFrame:
+    rows = same_dates(spark, d).where("asset <> 'market'").select(F.lit(0).alias("cv"), "asset", "dt", "r")
+    return selection.silhouette_curve(rows).drop("cv")
+
+
 @query("cluster_selection")
 def cluster_selection(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grouped.cluster_selection(panel.returns(spark, d)))
+    return rounded(whole_curve(spark, d))
 
 
 @query("cluster_choice")
 def cluster_choice(spark: SparkSession, d: str) -> DataFrame:
-    return grouped.chosen_clusters(grouped.cluster_selection(panel.returns(spark, d)))
+    return grouped.chosen_clusters(materialize(whole_curve(spark, d), "silhouette-curve"))
 
 
 # Filters, alignments and small transforms
@@ -993,3 +998,8 @@ def ridge_tracking(spark: SparkSession, d: str) -> DataFrame:
 def ridge_quality(spark: SparkSession, d: str) -> DataFrame:
     rows, target = filled_split(spark, d), materialize(market_returns(spark, d), "market-returns")
     return rounded(budget_operators.tracking_quality(rows, target, materialize(budget_operators.tracking(rows, target), "coefficients")))
+
+
+@query("silhouette_choice")
+def silhouette_choice(spark: SparkSession, d: str) -> DataFrame:
+    return selection.chosen_by_band(materialize(selection.silhouette_curve(train_returns(spark, d), range(2, 13)), "silhouette-curve"))

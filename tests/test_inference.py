@@ -118,3 +118,27 @@ def test_dates_that_differ_are_refused(spark):
 def test_a_total_loss_is_a_fall_of_one(spark):
     rows = spark.createDataFrame([("a", t, r) for t, r in enumerate([0.1, -1.0, 0.5])], "asset string, t int, r double")
     assert math.isclose(statistics(rows, ["asset"], "drawdown").first()["value"], -1.0, abs_tol=1e-12)
+
+
+def test_simulated_weights_and_what_they_earn(spark):
+    from quantloom.operators.inference import monte_carlo
+
+    x = np.random.default_rng(2).normal(0.01, 0.05, size=(40, 3))
+    rules = {"equal": lambda c: np.full(len(c), 1 / len(c)), "inverse": lambda c: (1 / np.diag(c)) / (1 / np.diag(c)).sum()}
+    got = {(r["sim"], r["strategy"]): r for r in monte_carlo(series(spark, x), rules, simulations=6, places=50, block=4.0, seed=2).collect()}
+    assert len(got) == 12
+    n, u = 40, lambda kind, b, t: int(hashlib.md5(f"2,{kind},{b},{t}".encode()).hexdigest()[:8], 16) / 2**32
+    for b in range(6):
+        drawn, at = [], 0
+        for t in range(50):
+            if t == 0 or u("new", b, t) < 1 / 4:
+                at = int(u("start", b, t) * n)
+            drawn.append(at % n)
+            at += 1
+        r = x[drawn]
+        for name, rule in rules.items():
+            w = rule(np.cov(r[:25].T))
+            held = r[25:] @ w
+            q = np.quantile(held, 0.05)
+            want = {"vol": held.std(ddof=1), "sharpe": held.mean() / held.std(ddof=1), "var": -q, "es": -held[held <= q].mean(), "growth": np.log1p(held).sum(), "sspw": (w**2).sum()}
+            assert all(math.isclose(got[b, name][k], v, rel_tol=1e-9) for k, v in want.items())

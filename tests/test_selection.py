@@ -91,3 +91,39 @@ def test_null_draws_do_not_depend_on_the_partitions(spark):
     ends = {r["asset"]: (r["low"], r["high"]) for r in rows.groupBy("asset").agg(F.min("r").alias("low"), F.max("r").alias("high")).collect()}
     assert all(ends[a][0] <= v <= ends[a][1] for (_, a, _), v in one.items())
     assert len(set(one.values())) > 0.95 * len(one)
+
+
+def test_permuted_rows_are_those_of_the_plain_permutation(spark):
+    from quantloom.functions.kernels import block_permutation
+
+    rows = frame(spark, planted(1, dates=25, each=2))
+    got = {}
+    for r in selection.permuted_rows(rows, 12, 6).collect():
+        got.setdefault(r["replicate"], {}).setdefault(r["asset"], []).append(r["dt"])
+    possible = {tuple(sorted(block_permutation(25, 6, np.random.default_rng(i)))) for i in range(200)}
+    assert len(got) == 12 and len({len(v) for r in got.values() for v in r.values()}) > 1
+    assert all(tuple(sorted(v)) in possible for r in got.values() for v in r.values())
+
+
+def test_silhouettes_equal_the_plain_ones(spark):
+    from quantloom.functions.kernels import silhouette_score
+
+    x, label = np.random.default_rng(5).normal(size=(30, 7)), [0, 0, 1, 1, 1, 2, 0]
+    rows = frame(spark, x)
+    labels = spark.createDataFrame([(0, k, f"a{i:02d}", c if k == 3 else 0) for k in (1, 3) for i, c in enumerate(label)], "cv int, k int, asset string, label int")
+    got = {r["k"]: r["score"] for r in selection.silhouettes(selection.pair_distances(rows, ["cv"]), labels, ["cv", "k"]).collect()}
+    d = np.linalg.norm(x.T[:, None] - x.T[None], axis=2)
+    assert math.isclose(got[3], silhouette_score(d, np.array(label)), rel_tol=1e-9) and got[1] == 0
+
+
+def test_silhouette_curve_finds_planted_groups(spark):
+    curve = selection.silhouette_curve(frame(spark, planted(3)), range(2, 6), replicates=4, length=30)
+    best = max(curve.collect(), key=lambda r: r["mean"])
+    assert best["k"] == 3 and best["low"] <= best["mean"] <= best["high"]
+    assert {r["rule"]: r["k"] for r in selection.chosen_by_band(curve).collect()}["max"] == 3
+
+
+def test_band_rules_on_a_given_curve(spark):
+    rows = [(0, k, m, m - w, m + w) for k, m, w in ((2, 0.30, 0.05), (3, 0.40, 0.02), (4, 0.35, 0.05), (5, 0.43, 0.2), (6, 0.41, 0.05), (7, 0.44, 0.06), (8, 0.2, 0.05))]
+    got = {r["rule"]: r["k"] for r in selection.chosen_by_band(spark.createDataFrame(rows, "cv int, k int, mean double, low double, high double")).collect()}
+    assert got == {"max": 7, "first_max": 3, "gap": 3, "extrema": 3}
