@@ -100,3 +100,26 @@ def mean_excess(losses: DataFrame, points: int = 100, low: float = 0.9, high: fl
     joined = losses.join(F.broadcast(grid), "key")
     over = F.col("x") >= F.col("u")
     return joined.groupBy("key", "k", "u").agg(F.avg(F.when(over, F.col("x") - F.col("u"))).alias("excess"), F.avg(over.cast("double")).alias("share"))
+
+
+def best_thresholds(rows: DataFrame, keys: tuple[str, ...] = ("cv", "factor"), points: int = 50) -> DataFrame:
+    """(method, keys, t): the threshold of each of four methods for rows (keys, r, weighted, p, y): ``weighted`` and ``equal`` add
+    most to the cumulative return, of the weighted or the mean return ``r`` of a factor's assets, by standing aside where
+    p is not below the threshold (ties: the largest); ``calibrated`` has the exceedance rate nearest the event rate (ties:
+    the smallest); ``roc`` is the probability nearest the perfect corner of the ROC curve (ties: the largest). Rows
+    without a probability are hedged, and have no part in the curve."""
+    by = list(keys)
+    joined = rows.join(threshold_grid(rows, points, keys), by)
+    stay = F.coalesce(F.col("p") < F.col("t"), F.lit(False)).cast("double")
+    gain = lambda c: F.round(F.sum((stay - 1) * F.col(c)), 9)
+    gains = joined.groupBy(*by, "t").agg(gain("weighted").alias("weighted"), gain("r").alias("equal"))
+    best = lambda c: F.max_by("t", F.struct(c, "t")).alias(c)
+    excess = gains.groupBy(*by).agg(best("weighted"), best("equal")).select(*by, F.explode(F.create_map(F.lit("weighted"), F.col("weighted"), F.lit("equal"), F.col("equal"))).alias("method", "t"))
+    fixed = calibrated(rows, points, keys).select(*by, F.lit("calibrated").alias("method"), "t")
+    counts = rows.where("p is not null").groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    down, whole = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    share = lambda c: F.sum(c).over(down) / F.nullif(F.sum(c).over(whole), F.lit(0))
+    curve = counts.select(*by, "p", share("pos").alias("tpr"), share("neg").alias("fpr"))
+    d = F.round(F.col("fpr") * F.col("fpr") + (F.col("tpr") - 1) * (F.col("tpr") - 1), 9)
+    corner = curve.groupBy(*by).agg(F.min_by("p", F.when(d.isNotNull(), F.struct(d, -F.col("p")))).alias("t")).select(*by, F.lit("roc").alias("method"), "t")
+    return excess.unionByName(fixed).unionByName(corner)

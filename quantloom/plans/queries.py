@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -1003,3 +1004,39 @@ def ridge_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("silhouette_choice")
 def silhouette_choice(spark: SparkSession, d: str) -> DataFrame:
     return selection.chosen_by_band(materialize(selection.silhouette_curve(train_returns(spark, d), range(2, 13)), "silhouette-curve"))
+
+
+# Thresholds by method, and the spread of forecasts by fold and level
+
+METHODS = FOLD_PROBS + IVOL + """, wr AS (SELECT market AS factor, dt, sum(w * r) AS wret FROM returns JOIN wts USING (asset) JOIN classes USING (asset) GROUP BY ALL), tr0 AS (SELECT fp.*, wret FROM fp JOIN wr USING (factor, dt) WHERE split = 'train'),
+gn AS (SELECT cv, factor, t, round(sum((CAST(coalesce(p < t, false) AS INT) - 1) * wret), 9) AS gw, round(sum((CAST(coalesce(p < t, false) AS INT) - 1) * r), 9) AS ge FROM tr0 JOIN fgrid USING (cv, factor) GROUP BY ALL),
+rc AS (SELECT cv, factor, p, sum(y) AS pos, sum(1 - y) AS neg FROM tr0 WHERE p IS NOT NULL GROUP BY ALL), rp AS (SELECT cv, factor, p, sum(pos) OVER w / nullif(sum(pos) OVER (PARTITION BY cv, factor), 0) AS tpr, sum(neg) OVER w / nullif(sum(neg) OVER (PARTITION BY cv, factor), 0) AS fpr FROM rc WINDOW w AS (PARTITION BY cv, factor ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+rd AS (SELECT cv, factor, p, round(fpr * fpr + (tpr - 1) * (tpr - 1), 9) AS d FROM rp),
+th AS (SELECT 'weighted' AS method, cv, factor, arg_max(t, (gw, t)) AS t FROM gn GROUP BY ALL UNION ALL SELECT 'equal', cv, factor, arg_max(t, (ge, t)) FROM gn GROUP BY ALL UNION ALL SELECT 'calibrated', cv, factor, t FROM fcal UNION ALL SELECT 'roc', cv, factor, arg_min(p, (d, -p)) FROM rd WHERE d IS NOT NULL GROUP BY ALL)"""
+
+
+@query("fold_thresholds", METHODS + f" SELECT method, cv, factor, {R('t', 't')} FROM th")
+def fold_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    r = kept_returns(spark, d)
+    probs, weights = kept_probabilities(spark, d, r), allocate.inverse_risk(r, 1)
+    weighted = r.join(weights, "asset").join(panel.classes(spark, d), "asset").groupBy(F.col("market").alias("factor"), "dt").agg(F.sum(F.col("w") * F.col("r")).alias("weighted"))
+    rows = backtest.fold_rows(probs.join(weighted, ["factor", "dt"]), panel.folds(spark, d)).where("split = 'train'")
+    return rounded(hedge.best_thresholds(materialize(rows, "train-probabilities")))
+
+
+LEVELS = {a: NormalDist().inv_cdf(a) for a in (0.01, 0.025, 0.05)}
+LAGS = list(range(3, 48))
+FOLD_SPREADS = ", fcs AS (" + " UNION ALL ".join(f"SELECT CAST({a} AS DOUBLE) AS alpha, factor, dt, r, CASE WHEN count(r) OVER w = 12 THEN abs(quantile_cont(r, {a}) OVER w) - abs(avg(r) OVER w + {z!r} * stddev_samp(r) OVER w) END AS spread FROM class_returns WINDOW w AS (PARTITION BY factor ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)" for a, z in LEVELS.items()) + """),
+srn AS (SELECT *, row_number() OVER (PARTITION BY alpha, factor ORDER BY dt) AS rn FROM fcs WHERE spread IS NOT NULL), lgs AS (SELECT CAST(unnest(generate_series(3, 47)) AS INT) AS p),
+bt AS (SELECT a.alpha, a.factor, a.dt, a.rn, a.r, p AS "window", regr_slope(b.spread, b.rn) AS beta FROM srn a JOIN lgs ON a.rn > p JOIN srn b ON b.alpha = a.alpha AND b.factor = a.factor AND b.rn < a.rn AND b.rn >= a.rn - p GROUP BY ALL),
+ft AS (SELECT cv, alpha, factor, min(rn) AS first FROM (SELECT cv, alpha, factor, rn, row_number() OVER (PARTITION BY cv, alpha, factor ORDER BY dt DESC) AS turn FROM srn JOIN folds ON dt >= s AND dt < ts) WHERE turn <= 250 GROUP BY ALL),
+tb AS (SELECT cv, bt.*, avg(greatest(beta, 0)) OVER (PARTITION BY cv, alpha, factor, "window" ORDER BY dt ROWS UNBOUNDED PRECEDING) AS level FROM bt JOIN folds ON dt >= s AND dt < ts JOIN ft USING (cv, alpha, factor) WHERE rn - first >= "window"),
+gq AS (SELECT cv, alpha, factor, "window", k, round(sum(CASE WHEN round(beta, 12) >= round(k * 0.025 * level, 12) THEN -r ELSE 0 END), 9) AS gain FROM tb, (SELECT unnest(generate_series(0, 800)) AS k) GROUP BY ALL),
+bq AS (SELECT cv, alpha, factor, "window", k * 0.025 AS q FROM gq QUALIFY row_number() OVER (PARTITION BY cv, alpha, factor ORDER BY gain DESC, "window", k) = 1),
+ts0 AS (SELECT cv, alpha, factor, dt, "window", q, beta, avg(greatest(beta, 0)) OVER (PARTITION BY cv, alpha, factor ORDER BY dt ROWS UNBOUNDED PRECEDING) AS level FROM bt JOIN folds ON dt >= ts AND dt < e JOIN bq USING (cv, alpha, factor, "window"))"""
+
+
+@query("spread_by_fold", FOLD_SPREADS + f' SELECT alpha, cv, factor, dt, "window", {R("q", "q")}, {R("beta", "beta")}, {R("level", "level")}, CAST(round(beta, 12) >= round(q * level, 12) AS INT) AS label FROM ts0')
+def spread_by_fold(spark: SparkSession, d: str) -> DataFrame:
+    series = spread.forecast_spreads(materialize(panel.class_returns(spark, d), "class-returns"), LEVELS)
+    return rounded(spread.fold_spread_signals(series, panel.folds(spark, d), LAGS))
