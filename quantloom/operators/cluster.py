@@ -23,6 +23,18 @@ def consensus(runs: DataFrame) -> DataFrame:
     return met.join(F.broadcast(n)).select("a", "b", (F.col("n") / F.col("n_runs")).alias("share"))
 
 
+def assigned(shares: DataFrame, names: DataFrame, least: float = 0.5) -> DataFrame:
+    """(asset, cluster, share): the asset of ``names`` (cluster) with which each asset shares most runs, by ``shares`` (a, b, share)
+    for a <= b, if its shares with all of them come to more than ``least``, else none; ties: the first name."""
+    ways = shares.unionByName(shares.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
+    assets = shares.select(F.col("a").alias("asset")).union(shares.select("b")).distinct()
+    order = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("share", 12)), "b"))
+    total = F.sum("share").over(Window.partitionBy("a"))
+    met = ways.join(names.select(F.col("cluster").alias("b")), "b").select(F.col("a"), "b", "share", order.alias("turn"), total.alias("total"))
+    best = met.where((F.col("turn") == 1) & (F.round("total", 12) > least)).select(F.col("a").alias("asset"), F.col("b").alias("cluster"), "share")
+    return assets.join(best, "asset", "left")
+
+
 def adjusted_rand(runs: DataFrame) -> DataFrame:
     """(i, j, ari) of every two runs i < j, from their contingency table."""
     a = runs.select(F.col("run").alias("i"), "asset", F.col("label").alias("li"))

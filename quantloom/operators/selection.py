@@ -213,3 +213,40 @@ def chosen_by_band(curve: DataFrame, gain: float = 0.025) -> DataFrame:
     }
     picked = marked.groupBy("cv").agg(*[r.alias(n) for n, r in rules.items()])
     return picked.select("cv", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("k")) for n in rules])).alias("r")).select("cv", "r.rule", "r.k")
+
+
+def run_loadings(returns: DataFrame, k: int, runs: int) -> DataFrame:
+    """(cv, run, asset, factor, loading): ``runs`` fits of k convex factors to ``returns`` (cv, asset, dt, r), each from clusters of
+    its own random start; the loadings of a factor have length one. A fold and run is a group, of a Gram matrix."""
+    rows = grams(returns, ["cv"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names, m = square(rows)
+        scale, n = np.sqrt(np.maximum(np.diag(m), 1e-300)), min(k, len(names))
+        g = K.convex_factors(m, K.nearest_groups(m / np.outer(scale, scale), n, int(key[1]), starts=1), n)[1]
+        g = g / np.maximum(np.linalg.norm(g, axis=0), 1e-300)
+        return pd.DataFrame({"cv": key[0], "run": key[1], "asset": np.repeat(names, n), "factor": np.tile(np.arange(n), len(names)), "loading": g.ravel()})
+
+    types = f"cv {dict(returns.dtypes)['cv']}, run int, asset string, factor int, loading double"
+    return dealt(rows, "cv", "run").groupBy("cv", "run").applyInPandas(solve, types)
+
+
+def matched_factors(loadings: DataFrame) -> DataFrame:
+    """(cv, run, factor, group): factors of all runs of a fold put in the order of the leaves of their single-linkage tree, by
+    the distances of their loadings (cv, run, asset, factor, loading), and cut into groups of as many as there are
+    runs. A group of the fold's factor rows goes to one task: runs times factors of them."""
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index=["run", "factor"], columns="asset", values="loading").sort_index().fillna(0.0)
+        leaves = K.leaf_order(K.single_linkage(wide.to_numpy())) if len(wide) > 1 else [0]
+        each = rows["run"].nunique()
+        at = wide.index[leaves]
+        return pd.DataFrame({"cv": rows["cv"].iat[0], "run": at.get_level_values("run"), "factor": at.get_level_values("factor"), "group": np.arange(len(leaves)) // each})
+
+    return loadings.groupBy("cv").applyInPandas(order, f"cv {dict(loadings.dtypes)['cv']}, run int, factor int, group int")
+
+
+def averaged_loadings(loadings: DataFrame, matched: DataFrame) -> DataFrame:
+    """(cv, asset, factor, loading, spread): mean and deviation of each asset's loadings over the runs' matched factors."""
+    rows = loadings.join(matched, ["cv", "run", "factor"]).groupBy("cv", "asset", F.col("group").alias("factor"))
+    return rows.agg(F.avg("loading").alias("loading"), F.stddev_pop("loading").alias("spread"))

@@ -1040,3 +1040,21 @@ ts0 AS (SELECT cv, alpha, factor, dt, "window", q, beta, avg(greatest(beta, 0))
 def spread_by_fold(spark: SparkSession, d: str) -> DataFrame:
     series = spread.forecast_spreads(materialize(panel.class_returns(spark, d), "class-returns"), LEVELS)
     return rounded(spread.fold_spread_signals(series, panel.folds(spark, d), LAGS))
+
+
+# Agreement of runs
+
+
+@query("consensus_assignment", f""", nr AS (SELECT count(DISTINCT run) AS n FROM runs), sh AS (SELECT x.asset AS a, y.asset AS b, count(*) * 1.0 / max(n) AS share FROM runs x JOIN runs y ON x.run = y.run AND x.label = y.label, nr GROUP BY ALL),
+nm AS (SELECT min(asset) AS b FROM classes GROUP BY market), mt AS (SELECT a, b, share, row_number() OVER (PARTITION BY a ORDER BY round(share, 12) DESC, b) AS k, sum(share) OVER (PARTITION BY a) AS total FROM sh JOIN nm USING (b)),
+al AS (SELECT DISTINCT asset FROM runs) SELECT asset, b AS cluster, {R('share', 'share')} FROM al LEFT JOIN (SELECT * FROM mt WHERE k = 1 AND round(total, 12) > 0.9) ON a = asset""")
+def consensus_assignment(spark: SparkSession, d: str) -> DataFrame:
+    names = panel.classes(spark, d).groupBy("market").agg(F.min("asset").alias("cluster"))
+    shares = materialize(cluster.consensus(panel.run_labels(spark, d)), "shares")
+    return rounded(cluster.assigned(shares, names, 0.9))
+
+
+@query("averaged_loadings")
+def averaged_loadings(spark: SparkSession, d: str) -> DataFrame:
+    loads = materialize(selection.run_loadings(train_returns(spark, d), 4, 10), "run-loadings")
+    return rounded(selection.averaged_loadings(loads, selection.matched_factors(loads)))

@@ -127,3 +127,33 @@ def test_band_rules_on_a_given_curve(spark):
     rows = [(0, k, m, m - w, m + w) for k, m, w in ((2, 0.30, 0.05), (3, 0.40, 0.02), (4, 0.35, 0.05), (5, 0.43, 0.2), (6, 0.41, 0.05), (7, 0.44, 0.06), (8, 0.2, 0.05))]
     got = {r["rule"]: r["k"] for r in selection.chosen_by_band(spark.createDataFrame(rows, "cv int, k int, mean double, low double, high double")).collect()}
     assert got == {"max": 7, "first_max": 3, "gap": 3, "extrema": 3}
+
+
+def test_factors_of_shuffled_runs_are_matched(spark):
+    rng = np.random.default_rng(8)
+    own = np.abs(rng.normal(size=(6, 3))) * np.kron(np.eye(3), np.ones((2, 1)))
+    rows = []
+    for run in range(5):
+        turn = rng.permutation(3)
+        noisy = own + rng.normal(size=own.shape) * 1e-3
+        rows += [(0, run, f"a{i}", int(k), float(noisy[i, turn[k]])) for i in range(6) for k in range(3)]
+    loads = spark.createDataFrame(rows, "cv int, run int, asset string, factor int, loading double")
+    matched = selection.matched_factors(loads)
+    assert {(r["group"], r["n"]) for r in matched.groupBy("group").agg(F.countDistinct("run").alias("n")).collect()} == {(0, 5), (1, 5), (2, 5)}
+    got = selection.averaged_loadings(loads, matched).toPandas().pivot(index="asset", columns="factor", values="loading").to_numpy()
+    assert all(min(np.abs(got[:, k] - own[:, j]).max() for k in range(3)) < 5e-3 for j in range(3))
+
+
+def test_runs_from_other_starts(spark):
+    loads = selection.run_loadings(frame(spark, planted(3)), 3, 4).toPandas()
+    assert loads.groupby(["run", "factor"]).size().eq(12).all() and loads["run"].nunique() == 4
+    assert np.allclose((loads["loading"] ** 2).groupby([loads["run"], loads["factor"]]).sum(), 1)
+
+
+def test_assignment_from_consensus(spark):
+    from quantloom.operators.cluster import assigned
+
+    shares = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.6), ("a", "d", 0.2), ("b", "b", 1.0), ("b", "d", 0.6), ("c", "c", 1.0), ("c", "d", 0.3), ("d", "d", 1.0)], "a string, b string, share double")
+    names = spark.createDataFrame([("a",), ("d",)], "cluster string")
+    got = {r["asset"]: (r["cluster"], r["share"]) for r in assigned(shares, names, 0.5).collect()}
+    assert got == {"a": ("a", 1.0), "b": ("a", 0.6), "c": (None, None), "d": ("d", 1.0)}
