@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, factors, grouped, hedge, inference, risk, selection, shape, spread, volatility
+from ..operators import allocate, backtest, cluster, encoder, factors, grouped, hedge, inference, risk, selection, shape, spread, volatility
 from ..functions import stats
 from ..operators import budgets as budget_operators
 from ..operators import returns as ret
@@ -1058,3 +1058,38 @@ def consensus_assignment(spark: SparkSession, d: str) -> DataFrame:
 def averaged_loadings(spark: SparkSession, d: str) -> DataFrame:
     loads = materialize(selection.run_loadings(train_returns(spark, d), 4, 10), "run-loadings")
     return rounded(selection.averaged_loadings(loads, selection.matched_factors(loads)))
+
+
+# The encoder
+
+
+def encoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Weekly returns by fold, standardised ones, what they were standardised with, and the encoders of three runs."""
+    rows = filled_split(spark, d, "week")
+    scaled, scaler = materialize(backtest.standardised(rows), "standardised"), materialize(backtest.fitted_scaler(rows), "scaler")
+    return rows, scaled, scaler, materialize(encoder.fold_encoders(scaled, scaler, runs=3), "encoders")
+
+
+@query("encoder_loadings")
+def encoder_loadings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(encoded(spark, d)[3])
+
+
+@query("linear_activation")
+def linear_activation(spark: SparkSession, d: str) -> DataFrame:
+    _, scaled, _, fitted = encoded(spark, d)
+    return rounded(encoder.linear_activations(scaled, fitted))
+
+
+@query("encoder_predictions")
+def encoder_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows, scaled, scaler, fitted = encoded(spark, d)
+    fits = encoder.predictions(encoder.linear_activations(scaled, fitted), fitted, scaler)
+    return rounded(encoder.averaged_predictions(fits, rows))
+
+
+@query("encoder_quality")
+def encoder_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows, scaled, scaler, fitted = encoded(spark, d)
+    fits = encoder.predictions(encoder.linear_activations(scaled, fitted), fitted, scaler)
+    return rounded(encoder.prediction_quality(encoder.averaged_predictions(fits, rows)))
