@@ -68,18 +68,44 @@ def resolved(target: Column, base: Column) -> Column:
     )
 
 
+#: Elements whose content is text up to their end tag, whatever it looks like.
+RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
+
+
+def head_tags(html: Column) -> Column:
+    """What follows the ``<`` of each ``link`` and ``meta`` tag up to the next ``<``, but for those in comments and in the
+    content of ``RAW`` elements. Comments and those elements are taken out from left to right, to the page's end if they
+    are not closed, so no part of a page is read again for another one."""
+    unseen = rf"(?is)<!--(?:-?>|.*?(?:-->|\z))|<({RAW})(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+    pieces = F.split(F.regexp_replace(html, unseen, " "), "<", -1)
+    return F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda piece: piece.rlike(r"^(?i:link|meta)[\s/]"))
+
+
+def attribute(name: str) -> Column:
+    """The value of the first attribute of that name, of a tag's ``pairs`` of a word and what follows it; null without one.
+    Quotes around it go."""
+    value = F.get(F.filter("pairs", lambda p: (F.lower(p["word"]) == name) & p["next"].startswith("=")), F.lit(0))["next"]
+    bare = F.regexp_replace(value, r"(?s)^=\s*+", "")
+    quoted = F.regexp_extract(bare, r"""(?s)^(["'])(.*)\1$""", 2)
+    return F.when(F.substring(bare, 1, 1).isin('"', "'") & (F.length(bare) > 1) & bare.endswith(F.substring(bare, 1, 1)), quoted).otherwise(bare)
+
+
 def links_in_pages(pages: DataFrame) -> DataFrame:
     """(source, target) of all canonical links and redirects by meta refresh of each page, decoded and resolved
-    against the page's url."""
-    value = r"""(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))"""
-    tag = lambda name, needs: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b(?=[^>]*\b{needs})[^>]*>"), F.lit(0))
-    links, metas = tag("link", r"rel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), tag("meta", r"http-equiv\s*=\s*[\"']?refresh\b")
-    put = lambda x, pattern: F.coalesce(*[F.nullif(F.regexp_extract(x, pattern, i), F.lit("")) for i in (1, 2, 3)])
-    hrefs = F.transform(links, lambda x: put(x, rf"(?is)\bhref\s*=\s*{value}"))
-    contents = F.transform(metas, lambda x: put(x, rf"(?is)\bcontent\s*=\s*{value}"))
-    jumps = F.transform(contents, lambda x: F.regexp_extract(decoded(x), r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1))
+    against the page's url. What looks like a tag in a comment or a script is none. A quote counts only behind an
+    equals sign, and a ``>`` between quotes does not end a tag; a ``<`` there does."""
     likely = F.lower("html").contains("canonical") | F.lower("html").contains("http-equiv")
-    found = pages.where(likely).select(F.col("url").alias("source"), F.explode(F.concat(F.transform(hrefs, decoded), jumps)).alias("target"))
+    tags = pages.where(likely).select(F.col("url").alias("source"), F.explode(head_tags(F.col("html"))).alias("tag"))
+    words = F.regexp_extract_all("tag", F.lit(r"""(?s)=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|>|[^\s=>]++"""), F.lit(0))
+    cut = tags.select("source", words.alias("words")).withColumn("end", F.array_position("words", ">").cast("int"))
+    cut = cut.withColumn("words", F.when(F.col("end") > 0, F.slice("words", F.lit(1), F.col("end") - 1)).otherwise(F.col("words"))).where("size(words) > 0")
+    follow = F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit("")))
+    paired = cut.select("source", F.lower(F.col("words")[0]).alias("name"), F.zip_with("words", follow, lambda w, n: F.struct(w.alias("word"), n.alias("next"))).alias("pairs"))
+    read = paired.select("source", "name", *[attribute(n).alias(n.replace("-", "_")) for n in ("rel", "href", "http-equiv", "content")])
+    canonical = (F.col("name") == "link") & F.array_contains(F.split(F.lower(decoded(F.col("rel"))), r"\s+"), "canonical")
+    refresh = (F.col("name") == "meta") & (F.lower(F.trim("http_equiv")) == "refresh")
+    jump = F.regexp_extract(decoded(F.col("content")), r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1)
+    found = read.select("source", F.when(canonical, decoded(F.col("href"))).when(refresh, jump).alias("target"))
     trimmed = found.select("source", F.btrim("target", F.lit(" \t\n\x0c\r")).alias("target")).where("target <> ''")
     return trimmed.select("source", resolved(F.col("target"), F.col("source")).alias("target"))
 

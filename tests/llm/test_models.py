@@ -184,3 +184,29 @@ def test_links_are_all_taken_decoded_and_resolved(spark):
     ]
     got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
     assert {i for i, v in got.items() if v == "block"} == {1, 2, 5, 6, 7, 8, 9, 10, 11, 13, 14} and len(got) == 14
+
+
+def links_of(spark, html):
+    from quantloom.llm.url_filter import links_in_pages
+
+    rows = html if isinstance(html, list) else [html]
+    frame = spark.createDataFrame([(i, "http://a.org/x/y", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    return sorted(r["target"] for r in links_in_pages(frame).collect())
+
+
+def test_links_are_read_as_a_page_is(spark):
+    assert links_of(spark, '<!-- <link rel=canonical href="https://b.net/es/"> --><link rel="canonical" href="/z">') == ["http://a.org/z"]
+    assert links_of(spark, "<script>var s = '<link rel=canonical href=https://b.net/es/>'; </script><LINK HREF=b REL='nofollow Canonical'/>") == ["http://a.org/x/b"]
+    assert links_of(spark, '<style><link rel=canonical href=1></style><title><link rel=canonical href=2></title><link rel=canonical href=3>') == ["http://a.org/x/3"]
+    assert links_of(spark, '<link title="a>b" rel=canonical href="http://c.net/?a=1&amp;b=2">') == ["http://c.net/?a=1&b=2"]
+    assert links_of(spark, "<link title=it's rel=canonical href=q data-x='>'>") == ["http://a.org/x/q"]
+    assert links_of(spark, '<meta content="0; URL=\'http://d.net/\'" http-equiv=Refresh><meta name=x content="url=http://e.net/">') == ["http://d.net/"]
+    assert links_of(spark, ["<link rel=stylesheet href=s.css canonical>", "<link rel=canonical>", "<linkage rel=canonical href=x>", "canonical <!-- <link rel=canonical href=x>", "<script>canonical <link rel=canonical href=x>", "</link rel=canonical href=x>"]) == []
+    assert links_of(spark, "<!-- a --><!--> <link rel=canonical href=1><scripts><link rel=canonical href=2></scripts><SCRIPT></x></script ><link rel=canonical href=3>") == ["http://a.org/x/1", "http://a.org/x/2", "http://a.org/x/3"]
+
+
+@pytest.mark.parametrize("stretch", ["<link ", "<link rel=canonical ", '<link x="', "<link x='a\" ", "<", "<!--", "<script", "a=", "=\"' "])
+def test_long_broken_pages_are_read_in_linear_time(spark, stretch):
+    began = time.time()
+    links_of(spark, "canonical <link " + stretch * (1_000_000 // len(stretch)))
+    assert time.time() - began < 20
