@@ -14,7 +14,8 @@ _OWN: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset and all runs in one
-    process (local tests). Elsewhere executors would write to disks of their own, so this raises."""
+    process (local tests). Elsewhere executors would write to disks of their own, so this raises. A folder without a
+    scheme is named with that of the default file system, so that all who read the name mean the same one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -26,7 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             _OWN[app] = "file://" + own
         folder = _OWN[app]
-    return folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
