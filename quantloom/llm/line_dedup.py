@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -14,8 +15,8 @@ from .storage import discard, free_name, materialize, text_or_empty
 BUCKETS = 1 << 16
 #: Up to this many ids are sent to every task; beyond it, both sides are shuffled.
 SENT_IDS = 1_000_000
-#: Parity parts that more lines than this have get a leader first.
-CROWD = 2
+#: Prefix tokens whose bucket counts more words than this in the corpus get leaders first.
+CROWD = 256
 
 
 @dataclass(frozen=True, slots=True)
@@ -104,7 +105,8 @@ def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     """(sid, k1, k2, n, b1, b2, prefix) of every line: a key of its token set, its size, the parities of its
     tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here
     is its rarity and 57 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and
-    tokens that then coincide cost a candidate, no result. Sets that can only equal their partners have no prefix."""
+    tokens that then coincide cost a candidate, no result. A token of a bucket beyond ``CROWD`` is below zero
+    there. Sets that can only equal their partners have no prefix."""
     rank = lambda h: F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
     packed = lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))  # noqa: E731  rarest first, then by hash
     ordered = lines.select("sid", F.sort_array(F.transform(token_set(F.col("line")), packed)).alias("ordered")).select("sid", "ordered", F.size("ordered").alias("n"))
@@ -113,7 +115,9 @@ def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     half = lambda k: F.aggregate("ordered", zero, lambda acc, h: F.when(h.bitwiseAND(64) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
     n = F.col("n")
     some = n * (t.denominator - t.numerator) >= t.numerator
-    prefix = F.when(some, F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")))
+    crowded = math.floor(2 * math.log2(CROWD + 1)) << 57
+    short = lambda h: (h.bitwiseAND(0x7FFFFFFF) - F.when(h >= crowded, F.lit(1 << 31)).otherwise(zero)).cast("int")
+    prefix = F.when(some, F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), short))
     b1, b2 = (F.when(some, half(part)).otherwise(zero) for part in (0, 64))
     return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), "n", b1.alias("b1"), b2.alias("b2"), prefix.alias("prefix"))
 
@@ -137,28 +141,33 @@ def verified(pairs: DataFrame, some: Numbered, t: Fraction) -> DataFrame:
     return found
 
 
+def differing(a: str, b: str) -> Column:
+    """In how many parities rows ``a`` and ``b`` differ."""
+    return F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
+
+
 def may_match(na: Column, nb: Column, a: str, b: str, t: Fraction) -> Column:
     """Length filter and parity filter for rows ``a`` and ``b`` of na and nb tokens: the tokens in which two sets
     differ are at least as many as the parities that differ."""
     lengths = (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
-    differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
-    return lengths & (differ <= na + nb - 2 * least_overlap(na, nb, t))
+    return lengths & (differing(a, b) <= na + nb - 2 * least_overlap(na, nb, t))
 
 
 def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(late, early): each line with the earliest of the lines that are the first with one of its four parity
-    parts, if over ``CROWD`` lines have that part and the filters do not rule it out; parts without a bit are left
-    aside. Lines of a large group of near copies are nearly all settled by their first one, without pairs among
-    the group; a line that its one leader does not settle is left to the prefix join."""
-    part = [F.struct(F.lit(2 * i + low).alias("which"), (F.col(b).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(b, 32)).alias("part")) for i, b in enumerate(("b1", "b2")) for low in (0, 1)]
-    parts = sets.where("prefix is not null").select("sid", "n", "b1", "b2", F.explode(F.array(*part)).alias("p")).select("sid", "n", "b1", "b2", "p.which", "p.part").where("part <> 0")
-    first = parts.groupBy("which", "part").agg(F.min("sid").alias("early"), F.count(F.lit(1)).alias("lines")).where(F.col("lines") > CROWD)
-    first = materialize(first.select("which", "part", "early"), "leaders")
+    """(late, early): each line with the nearest by parities (then the earliest) of the lines that are the first
+    with one of its crowded prefix tokens, if the filters do not rule it out. Near copies share most of their prefix
+    tokens, so a line of a large group meets several of the group's first lines here and is nearly always settled by
+    the nearest, without pairs among the group; a line that its leader does not settle is left to the prefix join.
+    Tokens that are not crowded have short lists and need no leader."""
+    tokens = sets.where("prefix is not null").select("sid", "n", "b1", "b2", F.explode(F.filter("prefix", lambda x: x < 0)).alias("token"))
+    first = tokens.groupBy("token").agg(F.min("sid").alias("early"), F.count(F.lit(1)).alias("lines")).where("lines > 2")
+    first = materialize(first.select("token", "early"), "leaders")
     heads = only_with(sets.select(F.col("sid").alias("early"), "n", "b1", "b2"), first.select("early").distinct(), "early")
     led = materialize(first.join(heads, "early"), "leader-lines")
-    a, b = parts.alias("a"), (F.broadcast(led) if led.count() <= SENT_IDS else led).alias("b")
-    near = a.join(b, (F.col("a.which") == F.col("b.which")) & (F.col("a.part") == F.col("b.part")) & (F.col("b.early") < F.col("a.sid")) & may_match(F.col("a.n"), F.col("b.n"), "a", "b", t))
-    return near.groupBy(F.col("a.sid").alias("late")).agg(F.min("b.early").alias("early"))
+    a, b = tokens.alias("a"), (F.broadcast(led) if led.count() <= SENT_IDS else led).alias("b")
+    near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.early") < F.col("a.sid")) & may_match(F.col("a.n"), F.col("b.n"), "a", "b", t))
+    found = near.groupBy(F.col("a.sid").alias("late")).agg(F.min(F.struct(differing("a", "b").alias("differ"), "b.early")).alias("best"))
+    return found.select("late", "best.early")
 
 
 def prefix_pairs(sets: DataFrame, settled: DataFrame, t: Fraction) -> DataFrame:
