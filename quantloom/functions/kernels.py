@@ -71,6 +71,52 @@ def hierarchical_parity(cov: np.ndarray) -> np.ndarray:
     return w
 
 
+def tree_cut(cov: np.ndarray, merges: list[tuple[int, int]], members: list[list[int]]) -> int:
+    """Number of clusters where the cohesion of the tree's cuts bends most."""
+    n = len(cov)
+    d = correlation_distance(cov)
+    cohesion, top = [], [2 * n - 2]
+    for _ in range(min(n, 10)):
+        cohesion.append(sum(d[np.ix_(members[c], members[c])].sum() / (2 * len(members[c])) for c in top))
+        big = max((c for c in top if c >= n), default=None)
+        if big is None:
+            break
+        top = [c for c in top if c != big] + list(merges[big - n])
+    second = [cohesion[i - 1] - 2 * cohesion[i] + cohesion[i + 1] for i in range(1, len(cohesion) - 1)]
+    return int(np.argmax(second)) + 2 if second else 1
+
+
+def tree_sides(cov: np.ndarray, k: int | None = None) -> tuple[dict[int, tuple[int | None, list[int]]], set[int]]:
+    """({node: (sibling, members)} of the splits of the tree down to ``k`` clusters, the clusters' nodes)."""
+    n = len(cov)
+    merges = single_linkage(correlation_distance(cov)) if n > 1 else []
+    members = [[i] for i in range(n)]
+    for a, b in merges:
+        members.append(members[a] + members[b])
+    k = tree_cut(cov, merges, members) if k is None else k
+    top, sides = {2 * n - 2}, {}
+    while len(top) < min(k, n):
+        big = max(top)
+        a, b = merges[big - n]
+        sides[a], sides[b] = (b, members[a]), (a, members[b])
+        top = top - {big} | {a, b}
+    return sides or {2 * n - 2: (None, members[-1])}, top
+
+
+def scaled_within(w: np.ndarray, lower: float, upper: float) -> np.ndarray:
+    """w times one factor, clipped, with the sum of w; all NaN where there is none. The sum grows with the factor, in
+    straight lines between the factors at which some entry meets a bound."""
+    total = w.sum()
+    if not (w >= 0).all() or not lower * len(w) - 1e-12 <= total <= upper * len(w) + 1e-12:
+        return np.full(len(w), np.nan)
+    some = w[w > 0]
+    knots = np.unique(np.concatenate([[0.0], lower / some, upper / some]))
+    sums = np.array([np.clip(f * w, lower, upper).sum() for f in knots])
+    if not sums[0] - 1e-12 <= total <= sums[-1] + 1e-12:
+        return np.full(len(w), np.nan)
+    return np.clip(np.interp(total, sums, knots) * w, lower, upper)
+
+
 def hierarchical_equal_risk(cov: np.ndarray, k: int | None = None) -> np.ndarray:
     """Clusters of a tree cut at the largest second difference of cohesion share risk by inverse variance down
     the tree; inside a cluster weights are inverse to variance."""
@@ -80,16 +126,7 @@ def hierarchical_equal_risk(cov: np.ndarray, k: int | None = None) -> np.ndarray
     for a, b in merges:
         members.append(members[a] + members[b])
     if k is None:
-        d = correlation_distance(cov)
-        cohesion, top = [], [2 * n - 2]
-        for _ in range(min(n, 10)):
-            cohesion.append(sum(d[np.ix_(members[c], members[c])].sum() / (2 * len(members[c])) for c in top))
-            big = max((c for c in top if c >= n), default=None)
-            if big is None:
-                break
-            top = [c for c in top if c != big] + list(merges[big - n])
-        second = [cohesion[i - 1] - 2 * cohesion[i] + cohesion[i + 1] for i in range(1, len(cohesion) - 1)]
-        k = int(np.argmax(second)) + 2 if second else 1
+        k = tree_cut(cov, merges, members)
     share, top = {2 * n - 2: 1.0}, [2 * n - 2]
     while len(top) < min(k, n):
         big = max(c for c in top if c >= n)

@@ -39,6 +39,25 @@ def standardised(split: DataFrame) -> DataFrame:
     return split.join(fitted_scaler(split), ["cv", "asset"]).select("cv", "split", "asset", "dt", ((F.col("r") - F.col("m")) / F.col("s")).alias("z"))
 
 
+def prediction_tables(split: DataFrame, predicted: DataFrame, scaler: DataFrame | None = None) -> DataFrame:
+    """(cv, asset, dt, truth, prediction, scaled_truth, scaled_prediction) of the test rows of ``split`` that any run of
+    ``predicted`` (run, cv, asset, dt, p) predicts: the mean over the runs, plain and in units of each fold's scaler
+    (``fitted_scaler`` of the train rows unless given). A missing prediction of a run does not count in the mean."""
+    mean = predicted.groupBy("cv", "asset", "dt").agg(F.avg("p").alias("prediction"))
+    truth = split.where("split = 'test'").select("cv", "asset", "dt", F.col("r").alias("truth"))
+    joined = truth.join(mean, ["cv", "asset", "dt"]).join(fitted_scaler(split) if scaler is None else scaler, ["cv", "asset"])
+    scaled = [((F.col(c) - F.col("m")) / F.col("s")).alias(f"scaled_{c}") for c in ("truth", "prediction")]
+    return joined.select("cv", "asset", "dt", "truth", "prediction", *scaled)
+
+
+def prediction_errors(tables: DataFrame) -> DataFrame:
+    """(cv, asset, n, mse, scaled_mse, r2): squared errors of ``prediction_tables`` and one minus their sum over that of the
+    squared true returns, which are not centred; null where all of these are zero."""
+    e, s = F.col("truth") - F.col("prediction"), F.col("scaled_truth") - F.col("scaled_prediction")
+    r2 = 1 - ratio(F.sum(e * e), F.sum(F.col("truth") * F.col("truth")))
+    return tables.groupBy("cv", "asset").agg(F.count(e).alias("n"), F.avg(e * e).alias("mse"), F.avg(s * s).alias("scaled_mse"), r2.alias("r2"))
+
+
 def min_max(split: DataFrame) -> DataFrame:
     """Scaled to -1..1 by each fold's train range."""
     fitted = split.where("split = 'train'").groupBy("cv", "asset").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))

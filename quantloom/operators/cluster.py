@@ -88,3 +88,11 @@ def match_factors(loadings: DataFrame, reference: DataFrame) -> DataFrame:
     d = mine.join(its, "asset").groupBy("factor", "match").agg(F.round(F.sqrt(square), 12).alias("d"))
     best = Window.partitionBy("factor").orderBy("d", "match")
     return d.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("factor", "match", "d")
+
+
+def cluster_predictions(split: DataFrame, labels: DataFrame) -> DataFrame:
+    """(run, cv, asset, dt, p): by each run's labels (run, asset, label), an asset's test return as the mean of its cluster's
+    on that date."""
+    held = split.where("split = 'test'").select("cv", "asset", "dt", "r").join(labels.select("run", "asset", "label"), "asset")
+    means = held.groupBy("run", "cv", "label", "dt").agg(F.avg("r").alias("p"))
+    return held.select("run", "cv", "asset", "label", "dt").join(means, ["run", "cv", "label", "dt"]).select("run", "cv", "asset", "dt", "p")

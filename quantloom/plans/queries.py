@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import allocate, backtest, cluster, encoder, factors, grouped, hedge, inference, risk, selection, shape, spread, volatility
+from ..operators import allocate, backtest, cluster, encoder, factors, grouped, hedge, hierarchy, inference, risk, selection, shape, spread, volatility
 from ..functions import stats
 from ..operators import budgets as budget_operators
 from ..operators import returns as ret
@@ -1093,3 +1093,34 @@ def encoder_quality(spark: SparkSession, d: str) -> DataFrame:
     rows, scaled, scaler, fitted = encoded(spark, d)
     fits = encoder.predictions(encoder.linear_activations(scaled, fitted), fitted, scaler)
     return rounded(encoder.prediction_quality(encoder.averaged_predictions(fits, rows)))
+
+
+# Predictions over runs, and weights down a tree
+
+PREDICTED = """, scaler AS (SELECT cv, asset, avg(r) AS m, coalesce(nullif(stddev_pop(r), 0), 1) AS s FROM split_returns WHERE split = 'train' GROUP BY ALL),
+held AS (SELECT cv, run, asset, label, dt, r FROM split_returns JOIN runs USING (asset) WHERE split = 'test'),
+guess AS (SELECT cv, asset, dt, avg(p) AS p FROM (SELECT cv, asset, dt, avg(r) OVER (PARTITION BY cv, run, label, dt) AS p FROM held) GROUP BY ALL),
+tables AS (SELECT cv, asset, dt, r AS truth, p AS prediction, (r - m) / s AS scaled_truth, (p - m) / s AS scaled_prediction FROM split_returns JOIN guess USING (cv, asset, dt) JOIN scaler USING (cv, asset) WHERE split = 'test')
+"""
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    rows = split(spark, d)
+    return backtest.prediction_tables(rows, cluster.cluster_predictions(rows, panel.run_labels(spark, d)))
+
+
+@query("prediction_tables", PREDICTED + f" SELECT cv, asset, dt, {R('truth', 'truth')}, {R('prediction', 'prediction')}, {R('scaled_truth', 'scaled_truth')}, {R('scaled_prediction', 'scaled_prediction')} FROM tables")
+def prediction_tables(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(predicted(spark, d))
+
+
+@query("prediction_errors", PREDICTED + f" SELECT cv, asset, count(*) AS n, round(avg((truth - prediction) ** 2), 9) + 0.0 AS mse, round(avg((scaled_truth - scaled_prediction) ** 2), 9) + 0.0 AS scaled_mse, round(1 - sum((truth - prediction) ** 2) / nullif(sum(truth * truth), 0), 9) + 0.0 AS r2 FROM tables GROUP BY cv, asset")
+def prediction_errors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(backtest.prediction_errors(predicted(spark, d)), 9)
+
+
+@query("w_hierarchical")
+def w_hierarchical(spark: SparkSession, d: str) -> DataFrame:
+    rows = filled_split(spark, d)
+    nodes = materialize(hierarchy.cluster_nodes(grouped.fold_covariances(rows)), "tree-nodes")
+    return rounded(hierarchy.within_bounds(hierarchy.hierarchical_weights(rows, nodes), 0.01, 0.15))

@@ -119,3 +119,10 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hierarchical_weights_are_portfolios(spark):
+    rows = QUERIES["w_hierarchical"](spark, SF).toPandas()
+    totals = rows.groupby(["cv", "strategy"])[["w", "bounded"]].sum()
+    assert len(totals) and len(totals) % 4 == 0 and (abs(totals - 1) < 1e-4).all().all()
+    assert rows["w"].min() >= 0 and rows["bounded"].between(0.01, 0.15).all()
