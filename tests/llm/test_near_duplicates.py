@@ -106,6 +106,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == plain_line_dedup(rows, Fraction(4, 5))
 
 
+def test_line_dedup_of_a_large_group_of_near_copies(spark):
+    """Words that are counted more often than ``CROWD`` get leaders; edits are few, many and too many."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for doc in range(500):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 9])):
+            line[rng.randrange(40)] = f"v{rng.randrange(400)}"
+        rows.append((doc, " ".join(line) + f"\nown{doc} w1 w2 w{doc % 7}"))
+    got = {r["doc_id"]: r["removed_lines"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["removed_lines"]}
+    assert got == plain_line_dedup(rows, Fraction(4, 5))
+
+
 @pytest.mark.parametrize("ids", [[2**62, -(2**62), 7, 2**40], [3, 3, 3, 9]])
 def test_line_dedup_takes_any_ids(spark, ids):
     texts = ["alpha beta gamma delta epsilon\nzeta eta", "alpha beta gamma delta epsilon\nown words", "kappa\nalpha beta gamma delta epsilon", "zeta eta\nkappa"]
