@@ -115,3 +115,17 @@ def vol_target_backtest(prices: DataFrame, folds: DataFrame, rates: DataFrame, t
     cost = F.when(F.col("first"), fee * F.col("turnover") * F.col("leverage")).otherwise(0.0)
     financing = F.coalesce("rf", F.lit(0.0)) * (F.col("leverage") - 1)
     return joined.select("cv", "dt", "leverage", "gross", (F.col("leverage") * F.col("gross") - cost - financing).alias("r"))
+
+
+def fold_strategies(split: DataFrame) -> DataFrame:
+    """(cv, strategy, asset, w): even weights (``equal``), and weights inverse to the deviations (``ivol``) and the variances
+    (``ivp``) of each fold's train returns. Assets without a deviation get none."""
+    sd = split.where("split = 'train'").groupBy("cv", "asset").agg(F.stddev_samp("r").alias("sd")).where("sd > 0")
+    raw = sd.select("cv", "asset", F.explode(F.create_map(F.lit("equal"), F.lit(1.0), F.lit("ivol"), 1 / F.col("sd"), F.lit("ivp"), 1 / F.col("sd") / F.col("sd"))).alias("strategy", "v"))
+    return raw.select("cv", "strategy", "asset", (F.col("v") / F.sum("v").over(Window.partitionBy("cv", "strategy"))).alias("w"))
+
+
+def fold_returns(split: DataFrame, weights: DataFrame, part: str = "test") -> DataFrame:
+    """(cv, strategy, dt, r) of each fold's weights on one split of its own; missing returns are skipped."""
+    joined = split.where(F.col("split") == part).join(weights, ["cv", "asset"])
+    return joined.groupBy("cv", "strategy", "dt").agg(F.sum(F.col("w") * F.col("r")).alias("r"))

@@ -12,8 +12,8 @@ from ..operators import allocate, backtest, cluster, encoder, factors, grouped,
 from ..functions import stats
 from ..operators import budgets as budget_operators
 from ..operators import returns as ret
-from ..sources import panel
-from ..sources.storage import materialize
+from ..sources import panel, results
+from ..sources.storage import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1124,3 +1124,39 @@ def w_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     rows = filled_split(spark, d)
     nodes = materialize(hierarchy.cluster_nodes(grouped.fold_covariances(rows)), "tree-nodes")
     return rounded(hierarchy.within_bounds(hierarchy.hierarchical_weights(rows, nodes), 0.01, 0.15))
+
+
+# Saved results of strategies by fold
+
+SAVED = """, deviations AS (SELECT cv, asset, stddev_samp(r) AS sd FROM split_returns WHERE split = 'train' GROUP BY ALL),
+raw AS (SELECT cv, 'equal' AS strategy, asset, 1.0 AS v FROM deviations WHERE sd > 0 UNION ALL SELECT cv, 'ivol', asset, 1 / sd FROM deviations WHERE sd > 0 UNION ALL SELECT cv, 'inverse_variance', asset, 1 / sd / sd FROM deviations WHERE sd > 0),
+saved AS (SELECT cv, strategy, dt, sum(w * r) AS r FROM split_returns JOIN (SELECT cv, strategy, asset, v / sum(v) OVER (PARTITION BY cv, strategy) AS w FROM raw) USING (cv, asset) WHERE split = 'test' GROUP BY ALL),
+market_returns AS (SELECT dt, price / lag(price) OVER (ORDER BY dt) - 1 AS r FROM market),
+together AS (SELECT cv, strategy, dt, r FROM saved UNION ALL SELECT cv, 'market', dt, r FROM market_returns JOIN (SELECT dt, min(cv) AS cv FROM saved GROUP BY dt) USING (dt) WHERE r IS NOT NULL)
+"""
+
+
+def saved(spark: SparkSession, d: str) -> DataFrame:
+    """Three strategies' test returns, written and loaded again with one renamed, and the market's beside them."""
+    rows, path = split(spark, d), fresh_path(spark, "results")
+    weights = materialize(backtest.fold_strategies(rows), "strategies")
+    results.save_results(backtest.fold_returns(rows, weights), weights, path)
+    returns, _ = results.load_results(spark, path, {"ivp": "inverse_variance"})
+    market = ret.simple_returns(panel.market_price(spark, d).withColumn("asset", F.lit("market"))).select(F.col("asset").alias("strategy"), "dt", "r")
+    return results.with_external(returns, market)
+
+
+@query("saved_results", SAVED + f" SELECT cv, strategy, dt, {R('r', 'r')} FROM together")
+def saved_results(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(saved(spark, d).select("cv", "strategy", "dt", "r"))
+
+
+@query("saved_statistics", SAVED + f""", grown AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS value FROM together),
+falls AS (SELECT strategy, max(1 - value / peak) AS mdd FROM (SELECT *, max(value) OVER (PARTITION BY strategy ORDER BY dt ROWS UNBOUNDED PRECEDING) AS peak FROM grown) GROUP BY strategy),
+cuts AS (SELECT strategy, quantile_cont(r, 0.05) AS q FROM together GROUP BY strategy),
+tails AS (SELECT strategy, -max(q) AS hist_var, -avg(CASE WHEN r <= q THEN r END) AS hist_es FROM together JOIN cuts USING (strategy) GROUP BY strategy)
+SELECT strategy, count(*) AS n, {R('avg(r) * 12', 'annual_return')}, {R('stddev_samp(r) * sqrt(12)', 'annual_vol')}, {R('avg(r) / stddev_samp(r) * sqrt(12)', 'sharpe')}, {R('any_value(hist_var)', 'hist_var')}, {R('any_value(hist_es)', 'hist_es')}, {R('any_value(mdd)', 'mdd')}
+FROM together JOIN tails USING (strategy) JOIN falls USING (strategy) GROUP BY strategy""")
+def saved_statistics(spark: SparkSession, d: str) -> DataFrame:
+    stats_ = risk.performance(materialize(saved(spark, d), "saved-returns"), panel.risk_free(spark, d), key="strategy")
+    return rounded(stats_.select("strategy", "n", "annual_return", "annual_vol", "sharpe", "hist_var", "hist_es", "mdd"))
