@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -15,8 +14,8 @@ from .storage import discard, free_name, materialize, text_or_empty
 BUCKETS = 1 << 16
 #: Up to this many ids are sent to every task; beyond it, both sides are shuffled.
 SENT_IDS = 1_000_000
-#: Prefix tokens whose bucket counts more words than this in the corpus get leaders first.
-CROWD = 256
+#: A line looks for leaders by this many of its prefix tokens, the most frequent ones.
+LED_BY = 8
 
 
 @dataclass(frozen=True, slots=True)
@@ -105,8 +104,7 @@ def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     """(sid, k1, k2, n, b1, b2, prefix) of every line: a key of its token set, its size, the parities of its
     tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here
     is its rarity and 57 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and
-    tokens that then coincide cost a candidate, no result. A token of a bucket beyond ``CROWD`` is below zero
-    there. Sets that can only equal their partners have no prefix."""
+    tokens that then coincide cost a candidate, no result. Sets that can only equal their partners have no prefix."""
     rank = lambda h: F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
     packed = lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))  # noqa: E731  rarest first, then by hash
     ordered = lines.select("sid", F.sort_array(F.transform(token_set(F.col("line")), packed)).alias("ordered")).select("sid", "ordered", F.size("ordered").alias("n"))
@@ -115,9 +113,7 @@ def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     half = lambda k: F.aggregate("ordered", zero, lambda acc, h: F.when(h.bitwiseAND(64) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
     n = F.col("n")
     some = n * (t.denominator - t.numerator) >= t.numerator
-    crowded = math.floor(2 * math.log2(CROWD + 1)) << 57
-    short = lambda h: (h.bitwiseAND(0x7FFFFFFF) - F.when(h >= crowded, F.lit(1 << 31)).otherwise(zero)).cast("int")
-    prefix = F.when(some, F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), short))
+    prefix = F.when(some, F.transform(F.slice("ordered", 1, n - _ceil(n * t.numerator, t.denominator) + 1), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")))
     b1, b2 = (F.when(some, half(part)).otherwise(zero) for part in (0, 64))
     return ordered.select("sid", F.xxhash64("ordered").alias("k1"), F.hash("ordered").alias("k2"), "n", b1.alias("b1"), b2.alias("b2"), prefix.alias("prefix"))
 
@@ -154,12 +150,13 @@ def may_match(na: Column, nb: Column, a: str, b: str, t: Fraction) -> Column:
 
 
 def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(late, early): each line with the nearest by parities (then the earliest) of the lines that are the first
-    with one of its crowded prefix tokens, if the filters do not rule it out. Near copies share most of their prefix
-    tokens, so a line of a large group meets several of the group's first lines here and is nearly always settled by
-    the nearest, without pairs among the group; a line that its leader does not settle is left to the prefix join.
-    Tokens that are not crowded have short lists and need no leader."""
-    tokens = sets.where("prefix is not null").select("sid", "n", "b1", "b2", F.explode(F.filter("prefix", lambda x: x < 0)).alias("token"))
+    """(late, early): each line with the nearest by parities (then the earliest) of the lines that are the first of
+    over two with one of its ``LED_BY`` last prefix tokens, if the filters do not rule it out. Near copies share most of
+    their prefix tokens, above all the frequent ones, so a line of a large group meets several of the group's first lines
+    here and is nearly always settled by the nearest, without pairs among the group; a line that its leader does not
+    settle is left to the prefix join."""
+    last = F.slice("prefix", F.greatest(F.size("prefix") - (LED_BY - 1), F.lit(1)), F.lit(LED_BY))
+    tokens = sets.where("prefix is not null").select("sid", "n", "b1", "b2", F.explode(last).alias("token"))
     first = tokens.groupBy("token").agg(F.min("sid").alias("early"), F.count(F.lit(1)).alias("lines")).where("lines > 2")
     first = materialize(first.select("token", "early"), "leaders")
     heads = only_with(sets.select(F.col("sid").alias("early"), "n", "b1", "b2"), first.select("early").distinct(), "early")

@@ -107,7 +107,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_of_a_large_group_of_near_copies(spark):
-    """Words that are counted more often than ``CROWD`` get leaders; edits are few, many and too many."""
+    """Leaders settle most lines; edits are few, many and too many."""
     rng = random.Random(8)
     base = [f"w{i}" for i in range(40)]
     rows = []
