@@ -53,6 +53,27 @@ def rank_statistics(returns: DataFrame) -> DataFrame:
     return pair_statistics(returns.select("asset", "dt", rank.cast("double").alias("r")))
 
 
+def codependence(returns: DataFrame, threshold: float = 0.5, percent: int = 5) -> DataFrame:
+    """(a, b, gerber, gerber_any, tail) for a <= b over common dates.
+
+    A move counts if it is at least ``threshold`` sample deviations of its asset, up or down. ``gerber`` is the number of dates
+    on which both move the same way less those on which they move apart, over the number on which both move;
+    ``gerber_any`` is over those on which either moves. ``tail`` is the number of dates on which both are among their lowest
+    ``percent`` per cent of returns (rounded up, ties at the edge all in), over the smaller of the two numbers of such
+    places. Null where there is nothing to divide by; null returns are left out."""
+    own, low = Window.partitionBy("asset"), Window.partitionBy("asset").orderBy("r")
+    edge = threshold * F.stddev_samp("r").over(own)
+    places = F.floor((F.count("r").over(own) * percent + 99) / 100)
+    known = returns.where("r is not null").select("asset", "dt", "r", edge.alias("edge"), places.alias("places"), F.rank().over(low).alias("rank"))
+    move = F.when(F.col("r") >= F.col("edge"), 1).when(F.col("r") <= -F.col("edge"), -1).otherwise(0)
+    marked = known.select("asset", "dt", move.alias("move"), (F.col("rank") <= F.col("places")).alias("low"), "places")
+    x, y = (marked.select("dt", F.col("asset").alias(n), *[F.col(c).alias(c + n) for c in ("move", "low", "places")]) for n in ("a", "b"))
+    product = F.col("movea") * F.col("moveb")
+    pairs = x.join(y, "dt").where("a <= b").groupBy("a", "b")
+    sums = pairs.agg(F.sum(product).alias("net"), F.sum(F.abs(product)).alias("both"), F.count_if((F.col("movea") != 0) | (F.col("moveb") != 0)).alias("any"), F.count_if(F.col("lowa") & F.col("lowb")).alias("low"), F.min(F.least("placesa", "placesb")).alias("places"))
+    return sums.select("a", "b", ratio(F.col("net"), F.col("both")).alias("gerber"), ratio(F.col("net"), F.col("any")).alias("gerber_any"), ratio(F.col("low"), F.col("places")).alias("tail"))
+
+
 def sharpe_inference(returns: DataFrame, benchmark: float = 0.0, key: str = "asset") -> DataFrame:
     """(key, sr, sr_sd, psr, min_trl): standard error of the Sharpe ratio under skew and fat tails, probability
     that it exceeds ``benchmark``, and the length of track record that would show it at 95 %."""

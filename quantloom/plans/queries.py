@@ -1160,3 +1160,17 @@ FROM together JOIN tails USING (strategy) JOIN falls USING (strategy) GROUP BY s
 def saved_statistics(spark: SparkSession, d: str) -> DataFrame:
     stats_ = risk.performance(materialize(saved(spark, d), "saved-returns"), panel.risk_free(spark, d), key="strategy")
     return rounded(stats_.select("strategy", "n", "annual_return", "annual_vol", "sharpe", "hist_var", "hist_es", "mdd"))
+
+
+# Other measures of codependence
+
+MOVES = """, marks AS (SELECT asset, dt, CASE WHEN r >= 0.5 * sd THEN 1 WHEN r <= -0.5 * sd THEN -1 ELSE 0 END AS move, rk <= places AS low, places
+  FROM (SELECT asset, dt, r, stddev_samp(r) OVER (PARTITION BY asset) AS sd, rank() OVER (PARTITION BY asset ORDER BY r) AS rk, (count(*) OVER (PARTITION BY asset) * 5 + 99) // 100 AS places FROM returns)),
+meetings AS (SELECT x.asset AS a, y.asset AS b, sum(x.move * y.move) AS net, sum(abs(x.move * y.move)) AS pairs, count(*) FILTER (x.move <> 0 OR y.move <> 0) AS moved, count(*) FILTER (x.low AND y.low) AS low, min(least(x.places, y.places)) AS places
+  FROM marks x JOIN marks y ON x.dt = y.dt AND x.asset <= y.asset GROUP BY ALL)
+"""
+
+
+@query("codependence", MOVES + f" SELECT a, b, {R('net / nullif(pairs, 0)', 'gerber')}, {R('net / nullif(moved, 0)', 'gerber_any')}, {R('low / nullif(places, 0)', 'tail')} FROM meetings")
+def codependence(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(risk.codependence(kept_returns(spark, d)))
