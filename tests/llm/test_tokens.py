@@ -23,6 +23,28 @@ def test_encoder_equals_library_on_whole_texts(text):
     assert TOOL.encode([text], 1)[0][:-4] == want
 
 
+def test_encoder_joins_new_runs_and_keeps_what_it_needs():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéz") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(rng.choice([word(), word().title() + ".", "it's", "ﬁn", "12%", "<|endoftext|>", "x|>", "<|", "\n"]) for _ in range(300)) for _ in range(40)]
+    small, calls = PieceEncoder(PATH, limit=1500), []
+    library = small.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+        def encode_batch(self, texts, **more):
+            calls.extend(texts)
+            return library.encode_batch(texts, **more)
+
+    small.tokenizer = Counted()
+    for i in range(0, 40, 4):
+        assert small.encode(texts[i : i + 4], 1) == [array("I", [*library.encode(t, add_special_tokens=False).ids, 1]).tobytes() for t in texts[i : i + 4]]
+    assert len(small.known) <= 1500 and len(calls) < 200  # one by one, over 3000 runs went to the library
+
+
 def ids_of(text):
     return [*TOOL.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
