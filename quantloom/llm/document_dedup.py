@@ -1,4 +1,5 @@
-"""Near-duplicate documents by an exact set-similarity join of their word shingles."""
+"""Near-duplicate documents: SimHash fingerprints within two bits, an exact check of their word shingles, and an exact
+set-similarity join for the pairs that are alike but further apart in bits."""
 
 from __future__ import annotations
 
@@ -13,13 +14,15 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .line_dedup import least_overlap
-from .simhash import shingle_hashes
-from .storage import discard, materialize, text_or_empty
+from .simhash import fingerprint_links, majority_bits, shingle_hashes
+from .storage import discard, materialize, small_batches, text_or_empty
 
 #: Shingle hashes are counted in this many buckets.
 BUCKETS = 1 << 16
 #: Up to this many set ids are sent to every task; beyond it, both sides are shuffled.
 SENT_SETS = 500_000
+#: Bits of a shingle's hash by which sets meet; hashes that coincide in them cost a candidate, no result.
+MET_BITS = 40
 #: Texts whose sets a Python worker holds at once.
 SLICE = 256
 
@@ -53,20 +56,20 @@ def shingle_set(text: str, shingle: int) -> tuple[int, np.ndarray]:
 
 
 def _with_sets(texts: DataFrame, shingle: int, kind: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, text_hash, sig, n, ``kind``) of every row of ``texts`` (doc_id, text_hash, text), ``of`` taken of the
-    hashes."""
+    """(doc_id, text_hash, sig, n, fp, ``kind``) of every row of ``texts`` (doc_id, text_hash, text): the set's name,
+    size and SimHash, and ``of`` taken of the hashes."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (p.iloc[i : i + SLICE] for p in parts for i in range(0, len(p), SLICE)):
             sets = [shingle_set(t, shingle) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "sig": [s for s, _ in sets], "n": [len(x) for _, x in sets], kind: [of(x) for _, x in sets]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "sig": [s for s, _ in sets], "n": [len(x) for _, x in sets], "fp": [majority_bits(x.view(np.uint64)) for _, x in sets], kind: [of(x) for _, x in sets]})
 
-    return texts.mapInPandas(each, f"doc_id long, text_hash long, sig long, n int, {kind} array<long>")
+    return texts.mapInPandas(each, f"doc_id long, text_hash long, sig long, n int, fp long, {kind} array<long>")
 
 
 def shingle_prefixes(texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """(doc_id, sig, n, prefix) of every row: one long that names the text's set of shingles, its size, and its
-    rarest hashes in order, as many as a similar set must share one of. A text without words has the empty set."""
+    """(doc_id, text_hash, sig, n, fp, prefix) of every row: one long that names the text's set of shingles, its size,
+    its SimHash, and its rarest hashes in order, as many as a similar set must share one of. A text without words has the empty set."""
     levels = rarity(texts, shingle)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -85,18 +88,18 @@ def _can_match(n: Column, pos: Column, m: Column, at: Column, least: Fraction) -
 
 def _similar(pairs: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """Those of ``pairs`` (u, v) whose sets have a similarity of ``least`` or more. Sets are made again from the
-    texts of their ``owners`` (sig, least), and only of those in pairs."""
+    texts of their ``owners`` (id, sig, least), and only of those in pairs."""
     pairs = materialize(pairs.distinct(), "set-pairs")
-    ids = pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct()
-    ids = materialize(owners.join(ids, "sig").select("sig", F.col("least").alias("owner")), "set-ids")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    ids = materialize(owners.join(ids, "id").select("id", "sig", F.col("least").alias("owner")), "set-ids")
     few = ids.count() <= SENT_SETS
     docs = ids.select("owner").distinct()
     some = texts.join(F.broadcast(docs) if few else docs, texts["doc_id"].eqNullSafe(docs["owner"]), "left_semi")
     sets = _with_sets(some, shingle, "hashes", lambda x: x).select("sig", "n", "hashes")
-    sigs = ids.select("sig")
-    sets = materialize(sets.join(F.broadcast(sigs) if few else sigs, "sig", "left_semi").dropDuplicates(["sig"]), "candidate-sets")
-    a = sets.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("x"))
-    b = sets.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("y"))
+    sigs = ids.select("id", "sig")
+    sets = materialize(sets.join(F.broadcast(sigs) if few else sigs, "sig").dropDuplicates(["id"]), "candidate-sets")
+    a = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("x"))
+    b = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("y"))
     both = pairs.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("x", "y"))
     links = materialize(both.where(shared >= least_overlap(F.col("nu"), F.col("nv"), least)).select("u", "v"), "set-links")
@@ -104,36 +107,60 @@ def _similar(pairs: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int
     return links
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """(u, v): pairs of ``sets`` (id, n, fp) whose fingerprints differ in at most two bits, by the grid join of
+    fingerprints. Sets of one fingerprint are paired with their least, and fingerprints by their least sets."""
+    prints = materialize(sets.where("n > 0").select("id", "fp"), "set-fingerprints")
+    first = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    equal = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    near = fingerprint_links(first.select("fp"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in ("u", "v"))
+    near = near.join(a, "u").join(b, "v").select(F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v"))
+    return equal.unionByName(near)
+
+
+def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) that ``group`` (node, component) does not have in one component."""
+    a, b = (group.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of")) for x in ("u", "v"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").where("u_of is null or v_of is null or u_of <> v_of").select("u", "v")
+
+
 def set_links(sets: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Links (u, v) that connect all of the distinct ``sets`` (sig, n, prefix) that a chain of pairs with a
-    similarity of ``least`` or more connects. ``owners`` (sig, least) names a doc_id of each set, and ``texts``
+    """Links (u, v) that connect all of the distinct ``sets`` (id, n, fp, prefix) that a chain of pairs with a
+    similarity of ``least`` or more connects. ``owners`` (id, sig, least) names a doc_id of each set, and ``texts``
     (doc_id, text) has its text.
 
-    Two such sets share a hash of their prefixes. Of each shared hash, the sets are first
-    compared with its least and its greatest set, in rows that grow with the group. What this connects needs
-    no more comparing inside: all other pairs are made, but those within one component, and a group's pairs
-    start from the sets outside its least component.
+    Pairs within two bits by SimHash are checked first and make the first components. A similarity of ``least``
+    can go with ten bits and more, where fingerprints tell little, so the rest is found in an exact way: two
+    similar sets share a hash of their prefixes. Of each shared hash, the sets are compared with its least and
+    its greatest set, but for those that SimHash has connected, in rows that grow with the group. What this
+    connects needs no more comparing inside: all other pairs are made, but those within one component, and a
+    group's pairs start from the sets outside its least component.
     """
     t = least
-    entries = sets.where("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "h"))
+    near = _similar(simhash_pairs(sets), owners, texts, shingle, t)
+    known = materialize(components(near), "simhash-groups")
+    met = F.col("h").bitwiseAND((1 << MET_BITS) - 1).alias("h")
+    entries = sets.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "h")).select("id", "n", "pos", met)
     # Most hashes occur once; they are left out by counts, in the smallest rows, before sets meet by hash.
     shared = materialize(entries.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"), "shared-shingles")
     cells = materialize(entries.join(shared, "h"), "shingle-cells")
-    own = F.struct("sig", "n", "pos")
+    own = F.struct("id", "n", "pos")
     outer = materialize(cells.groupBy("h").agg(F.min(own).alias("lo"), F.max(own).alias("hi")), "cell-ends")
-    ends = cells.join(outer, "h").select("sig", "n", "pos", F.explode(F.array("lo", "hi")).alias("to"))
-    stars = ends.where((F.col("sig") != F.col("to.sig")) & _can_match(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), t))
-    links = _similar(stars.select(F.least("sig", "to.sig").alias("u"), F.greatest("sig", "to.sig").alias("v")), owners, texts, shingle, t)
+    ends = cells.join(outer, "h").select("id", "n", "pos", F.explode(F.array("lo", "hi")).alias("to"))
+    stars = ends.where((F.col("id") != F.col("to.id")) & _can_match(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), t))
+    stars = stars.select(F.least("id", "to.id").alias("u"), F.greatest("id", "to.id").alias("v")).distinct()
+    links = near.unionByName(_similar(_apart(stars, known), owners, texts, shingle, t))
     group = materialize(components(links), "set-groups")
-    named = cells.join(group, cells["sig"] == group["node"], "left").select("h", "sig", "n", "pos", F.coalesce("component", "sig").alias("g"))
+    named = cells.join(group, cells["id"] == group["node"], "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("g"))
     named = materialize(named, "named-cells")
     mixed = materialize(named.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("h", "g0"), "mixed-cells")
     rest = materialize(named.join(mixed, "h"), "mixed-members")
     a, b = rest.where("g <> g0").alias("a"), rest.alias("b")
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & ((F.col("b.g") == F.col("b.g0")) | (F.col("a.sig") < F.col("b.sig")))
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & ((F.col("b.g") == F.col("b.g0")) | (F.col("a.id") < F.col("b.id")))
     pairs = a.join(b, apart & _can_match(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), t))
-    more = _similar(pairs.select(F.least("a.sig", "b.sig").alias("u"), F.greatest("a.sig", "b.sig").alias("v")), owners, texts, shingle, t)
-    discard(shared, cells, outer, group, named, mixed, rest)
+    more = _similar(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), owners, texts, shingle, t)
+    discard(shared, cells, outer, known, group, named, mixed, rest)
     return links.unionByName(more)
 
 
@@ -147,15 +174,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: Fraction = Fract
     a null doc_id is never a component's name unless all its documents are null. No rows give no rows.
     """
     text = text_or_empty()
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     marked = materialize(shingle_prefixes(texts, shingle, least).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    names = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-sets")
-    copies = materialize(names.where("rows > 1").select("sig", "first"), "copied-sets")
+    # A set is named by the number of its first row: such numbers are packed better than hashes where sets meet.
+    names = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("id"), F.count(F.lit(1)).alias("rows")), "distinct-sets")
+    copies = materialize(names.where("rows > 1").select("sig", F.col("id").alias("first")), "copied-sets")
     few = F.broadcast(copies) if copies.count() <= SENT_SETS else copies
-    sets = marked.join(few, "sig", "left").where("first is null or row = first").select("sig", "n", "prefix")
-    group = components(set_links(sets, names.select("sig", "least"), texts, shingle, least))
-    named = names.join(group, names["sig"] == group["node"], "left")
-    named = materialize(named.select("sig", "least", F.coalesce("component", "sig").alias("component")), "set-classes")
+    sets = marked.join(few, "sig", "left").where("first is null or row = first").select(F.col("row").alias("id"), "n", "fp", "prefix")
+    group = components(set_links(sets, names.select("id", "sig", "least"), texts, shingle, least))
+    named = names.join(group, names["id"] == group["node"], "left")
+    named = materialize(named.select("sig", "least", F.coalesce("component", "id").alias("component")), "set-classes")
     ids = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "class-names")
     classes = materialize(named.join(ids, "component").select("sig", "component_id"), "class-ids")
     return marked.select("doc_id", "text_hash", "sig").join(classes, "sig").select("doc_id", "text_hash", "component_id")

@@ -33,8 +33,12 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash: a bit is set if it is set in over half of the hashes of the word shingles."""
-    hashes = shingle_hashes(text, shingle)
+    """Signed 64-bit SimHash of the word shingles, repeats included."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """Signed long whose bits are set where over half of the 64-bit hashes have them set."""
     total, step = np.zeros(64, np.int64), 1 << 16
     for i in range(0, len(hashes), step):
         part = hashes[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -1,10 +1,14 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quantloom.llm.document_dedup import shingle_prefixes, simhash_pairs
+from quantloom.llm.graph import components
 from quantloom.llm.queries import QUERIES
+from quantloom.llm.simhash import fingerprint
 
 
 def test_stages_and_names():
@@ -95,3 +99,21 @@ def test_near_duplicate_stage_equals_brute_force(spark):
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert left == {i for i in range(len(texts)) if find(i) == i}
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id < 0"), "").count() == 0
+
+
+def test_near_duplicate_stage_pairs_by_simhash(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(base[2:])]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_hash long, text string")
+    sets = shingle_prefixes(docs, 5, Fraction(4, 5)).selectExpr("doc_id AS id", "n", "fp")
+    want = {i: fingerprint(t, 5) for i, t in enumerate(texts)}
+    assert {r["id"]: r["fp"] for r in sets.collect()} == want
+    bits = lambda a, b: ((want[a] ^ want[b]) & (1 << 64) - 1).bit_count()
+    got = {tuple(r) for r in simhash_pairs(sets).collect()}
+    assert got and all(u < v and bits(u, v) <= 2 for u, v in got)
+    links = spark.createDataFrame(sorted(got), "u long, v long")
+    every = [(a, b) for b in want for a in want if a < b and bits(a, b) <= 2]
+    assert sorted(map(tuple, components(links).collect())) == sorted(map(tuple, components(spark.createDataFrame(every, "u long, v long")).collect()))
