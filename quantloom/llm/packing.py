@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, text_or_empty
+from .storage import materialize, small_batches, text_or_empty
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
@@ -99,6 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     A null text counts as empty and yields one piece with the end id alone. Rows with equal or null doc_id
     are packed each for itself. An empty table yields no rows.
     """
+    small_batches(docs.sparkSession)
     pieces = materialize(cut_pieces(docs, tokenizer, capacity, end_id), "pieces")
     groups = max(1, -(-pieces.count() // group_size))
 

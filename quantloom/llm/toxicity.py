@@ -6,13 +6,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import crc_bucket, materialize, text_or_empty
+from .storage import crc_bucket, materialize, small_batches, text_or_empty
 
 # Terms for groups of people, in rings of one kind and language; a swap takes the next in the ring.
 IDENTITY_RINGS = [
@@ -110,12 +111,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     sample = materialize(texts.join(F.broadcast(known), F.col("text_of") == F.col("label_of")).select("is_toxic", "body"), "labelled")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = {0: Counter(), 1: Counter()}
         for rows in parts:
-            each = {0: Counter(), 1: Counter()}
             for toxic, body in zip(rows["is_toxic"], rows["body"], strict=True):
                 each[int(toxic > 0)].update(features_of(words_of(body)))
-            for toxic, seen in each.items():
-                yield pd.DataFrame({"feature": list(seen), "pos": [x * toxic for x in seen.values()], "neg": [x * (1 - toxic) for x in seen.values()]})
+        for toxic, seen in each.items():
+            counts = iter(seen.items())
+            while some := list(islice(counts, 1 << 14)):
+                yield pd.DataFrame({"feature": [f for f, _ in some], "pos": [n * toxic for _, n in some], "neg": [n * (1 - toxic) for _, n in some]})
 
     totals = sample.agg(F.count(F.lit(1)), F.sum(F.col("is_toxic").cast("long"))).first()
     n, pos = totals[0], totals[1] or 0
@@ -146,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
 def score_documents(docs: DataFrame, labels: DataFrame, column: str = "toxicity", folds: int = 5, model: Model | None = None) -> DataFrame:
     """Every row of ``docs`` with its columns and ``column`` (0 to 1, higher: likelier toxic; a column of that
     name is replaced), from the whole text alone. Null and empty texts get the model's base score. An empty table yields no rows."""
+    small_batches(docs.sparkSession)
     fitted = model or train(docs, labels, folds=folds)
 
     @F.pandas_udf("double")

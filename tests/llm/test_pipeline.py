@@ -117,3 +117,13 @@ def test_near_duplicate_stage_pairs_by_simhash(spark):
     links = spark.createDataFrame(sorted(got), "u long, v long")
     every = [(a, b) for b in want for a in want if a < b and bits(a, b) <= 2]
     assert sorted(map(tuple, components(links).collect())) == sorted(map(tuple, components(spark.createDataFrame(every, "u long, v long")).collect()))
+
+
+def test_stages_send_whole_texts_in_small_batches(spark, odd, tables):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "simhash_dedup", "packing"):
+            spark.conf.set(key, 10_000)
+            stage(spark, odd.withColumn("n_chars", F.length("text")), tables)
+            assert int(spark.conf.get(key)) <= 1024
+    spark.conf.unset(key)
