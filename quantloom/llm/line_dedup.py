@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +55,13 @@ def numbered(docs: DataFrame) -> Numbered:
 
 
 def spaced(text: Column) -> Column:
-    """Lower-cased, and with plain spaces for the other white space inside lines."""
-    out = F.lower(text)
-    for c in "\t\x0b\f\r":
-        out = F.replace(out, F.lit(c), F.lit(" "))
-    return out
+    """Lower-cased, and with plain spaces for the other white space inside lines. Looking whether a text holds
+    any of it costs much less than replacing, which most texts need not."""
+    other = "\t\x0b\f\r"
+    plain = low = F.lower(text)
+    for c in other:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.when(reduce(or_, (text.contains(c) for c in other)), plain).otherwise(low)
 
 
 def lines_of(some: Numbered) -> DataFrame:
@@ -105,11 +109,14 @@ def sketch(lines: DataFrame, levels: Column, t: Fraction) -> DataFrame:
     tokens in 128 bits, and its rarest tokens in order, as many as a partner must share one of. A token here
     is its rarity and 57 bits of its hash in one long, which sorts fast; the prefix keeps 31 bits of each, and
     tokens that then coincide cost a candidate, no result. Sets that can only equal their partners have no prefix."""
-    rank = lambda h: F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
-    packed = lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))  # noqa: E731  rarest first, then by hash
-    ordered = lines.select("sid", F.sort_array(F.transform(token_set(F.col("line")), packed)).alias("ordered")).select("sid", "ordered", F.size("ordered").alias("n"))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
     zero = F.lit(0).cast("long")
+    rank = lambda h: F.get(levels, h.bitwiseAND(BUCKETS - 1)).cast("long")
+    packed = lambda h: F.coalesce(F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7)), zero)  # noqa: E731  rarest first, then by hash
+    # two readers of the set keep it a column of its own, which compiled code makes; inside the lambda's array it would be
+    # interpreted. Without nulls, which there are none of, the sort compares plain numbers
+    tokens = lines.select("sid", token_set(F.col("line")).alias("tokens"))
+    ordered = tokens.select("sid", F.sort_array(F.transform("tokens", packed)).alias("ordered"), F.size("tokens").alias("n"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
     half = lambda k: F.aggregate("ordered", zero, lambda acc, h: F.when(h.bitwiseAND(64) == k, acc.bitwiseXOR(bit(h))).otherwise(acc))
     n = F.col("n")
     some = n * (t.denominator - t.numerator) >= t.numerator
@@ -128,9 +135,11 @@ def verified(pairs: DataFrame, some: Numbered, t: Fraction) -> DataFrame:
     ids = materialize(pairs.select(F.explode(F.array("late", "early")).alias("sid")).distinct(), "line-ids")
     owners = materialize(ids.select(F.shiftright("sid", some.bits).alias("num")).distinct(), "line-owners")
     texts = only_with(some.docs.select("doc_id", "text", some.number.alias("num")), owners, "num")
-    lines = materialize(only_with(lines_of(Numbered(texts, F.col("num"), some.bits)), ids, "sid"), "candidate-lines")
-    a, b = lines.select(F.col("sid").alias("late"), F.col("line").alias("x")), lines.select(F.col("sid").alias("early"), F.col("line").alias("y"))
-    both = pairs.join(a, "late").join(b, "early").select("late", "early", token_set(F.col("x")).alias("x"), token_set(F.col("y")).alias("y"))
+    lines = only_with(lines_of(Numbered(texts, F.col("num"), some.bits)), ids, "sid")
+    # the sets are made once a line: in the condition on pairs they would be made anew wherever it names them
+    lines = materialize(lines.select("sid", token_set(F.col("line")).alias("words")), "candidate-lines")
+    a, b = lines.select(F.col("sid").alias("late"), F.col("words").alias("x")), lines.select(F.col("sid").alias("early"), F.col("words").alias("y"))
+    both = pairs.join(a, "late").join(b, "early")
     found = both.where(F.size(F.array_intersect("x", "y")) >= least_overlap(F.size("x"), F.size("y"), t)).select("late", "early")
     found = materialize(found.select("late").distinct(), "similar-lines")
     discard(ids, owners, lines)
@@ -143,10 +152,11 @@ def differing(a: str, b: str) -> Column:
 
 
 def may_match(na: Column, nb: Column, a: str, b: str, t: Fraction) -> Column:
-    """Length filter and parity filter for rows ``a`` and ``b`` of na and nb tokens: the tokens in which two sets
-    differ are at least as many as the parities that differ."""
-    lengths = (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
-    return lengths & (differing(a, b) <= na + nb - 2 * least_overlap(na, nb, t))
+    """Parity filter and length filter for rows ``a`` and ``b`` of na and nb tokens: the tokens in which two sets
+    differ are at least as many as the parities that differ, and na + nb less twice the least overlap at most. Joins look
+    at very many pairs, so this is whole numbers only, and the filter that nearly all pairs fail comes first."""
+    alike = differing(a, b) * (t.denominator + t.numerator) <= (na + nb) * (t.denominator - t.numerator)
+    return alike & (nb * t.denominator >= na * t.numerator) & (na * t.denominator >= nb * t.numerator)
 
 
 def leader_pairs(sets: DataFrame, t: Fraction) -> DataFrame:
@@ -174,18 +184,18 @@ def prefix_pairs(sets: DataFrame, settled: DataFrame, t: Fraction) -> DataFrame:
     the join is shorter."""
     few = F.broadcast(settled) if settled.count() <= SENT_IDS else settled
     marked = sets.where("prefix is not null").join(few, sets["sid"] == settled["late"], "left").select("sid", "n", F.col("late").isNotNull().alias("done"), "b1", "b2", "prefix")
-    # size and place in one number, below zero for settled lines: rows are many and should be short
-    packed = F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("pos").cast("long"))
-    sizes = F.when(F.col("done"), -packed).otherwise(packed).alias("m")
+    # size, place and a bit for settled lines in one number: rows are many and should be short
+    low = F.shiftleft(F.col("pos").cast("long"), 1).bitwiseOR(F.col("done").cast("long"))
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(low).alias("m")
     larger = marked.select("sid", "n", "done", "b1", "b2", F.posexplode_outer("prefix").alias("pos", "token")).select("sid", sizes, "b1", "b2", "token")
     first = F.slice("prefix", F.lit(1), F.col("n") - least_partner_overlap(F.col("n"), t) + 1)
     smaller = marked.select("sid", "n", "done", "b1", "b2", F.posexplode_outer(first).alias("pos", "token")).select("sid", sizes, "b1", "b2", "token")
     a, b = larger.alias("a"), smaller.alias("b")
-    (na, pa), (nb, pb) = ((F.shiftright(F.abs(f"{x}.m"), 24).cast("int"), F.abs(f"{x}.m").bitwiseAND((1 << 24) - 1).cast("int")) for x in ("a", "b"))
+    (na, pa), (nb, pb) = ((F.shiftright(f"{x}.m", 32), F.shiftright(F.col(f"{x}.m").bitwiseAND((1 << 32) - 1), 1)) for x in ("a", "b"))
     order = (na > nb) | ((na == nb) & (F.col("a.sid") > F.col("b.sid")))
-    open_ = F.when(F.col("a.sid") > F.col("b.sid"), F.col("a.m") > 0).otherwise(F.col("b.m") > 0)
-    enough = F.least(na - pa, nb - pb) >= least_overlap(na, nb, t)
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & order & open_ & may_match(na, nb, "a", "b", t) & enough)
+    open_ = F.when(F.col("a.sid") > F.col("b.sid"), F.col("a.m")).otherwise(F.col("b.m")).bitwiseAND(1) == 0
+    enough = F.least(na - pa, nb - pb) * (t.denominator + t.numerator) >= (na + nb) * t.numerator
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & may_match(na, nb, "a", "b", t) & order & open_ & enough)
     return joined.select(F.greatest("a.sid", "b.sid").alias("late"), F.least("a.sid", "b.sid").alias("early")).distinct()
 
 
@@ -194,8 +204,7 @@ def late_lines(some: Numbered, similarity: Fraction) -> DataFrame:
     marks = materialize(sketch(lines_of(some), rarity(some.docs), similarity), "line-marks")
     keys = marks.groupBy("k1", "k2", "n").agg(F.min("sid").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
     keys = materialize(keys.select("k1", "k2", "n", "first"), "line-sets")
-    repeated = materialize(marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("sid", "first"), "repeated-lines")
-    copies = materialize(repeated.where("sid <> first").select("sid"), "line-copies")
+    copies = materialize(marks.select("sid", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).where("sid <> first").select("sid"), "line-copies")
     sets = marks.join(F.broadcast(copies) if copies.count() <= SENT_IDS else copies, "sid", "left_anti").select("sid", "n", "b1", "b2", "prefix")
     sets = materialize(sets, "first-lines")
     discard(marks, keys)
@@ -203,7 +212,7 @@ def late_lines(some: Numbered, similarity: Fraction) -> DataFrame:
     found = verified(materialize(prefix_pairs(sets, led, similarity), "line-pairs"), some, similarity)
     firsts = materialize(led.unionByName(found), "matched-firsts")
     late = materialize(copies.unionByName(firsts.withColumnRenamed("late", "sid")), "late-lines")
-    discard(repeated, copies, sets, led, found, firsts)
+    discard(copies, sets, led, found, firsts)
     return late
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.decontaminate import find_leaks, leaked_documents
 from quantloom.llm.embedding_dedup import Hashing, near_vectors
 from quantloom.llm.graph import components
-from quantloom.llm.line_dedup import dedup_lines
+from quantloom.llm.line_dedup import dedup_lines, least_overlap, may_match, prefix_pairs, sketch, token_set
 from quantloom.llm.simhash import fingerprint, fingerprint_links, near_duplicates
 
 
@@ -133,6 +133,32 @@ def test_line_dedup_takes_any_ids(spark, ids):
     assert all(r["line_owner"] == 1 for r in got) and sum(len(r["gone"]) for r in got) == sum(map(len, want.values()))
 
 
+def test_line_pairs_are_filtered_by_whole_numbers(spark):
+    """The join's condition has no division, and rules out exactly what the least overlap does."""
+    t, none = Fraction(4, 5), F.lit(None).cast("array<int>")
+    sets = spark.range(2).select(F.col("id").alias("sid"), F.lit(5).alias("n"), F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), none.alias("prefix"))
+    plan = prefix_pairs(sets, spark.range(1).select(F.col("id").alias("late")), t)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any("FLOOR" in line or " / " in line for line in joins)
+    sizes = spark.range(4, 40).select(F.col("id").cast("int").alias("n"))
+    a = sizes.select("n", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2")).alias("a")
+    b = sizes.crossJoin(spark.range(63).select((F.expr("shiftleft(1L, cast(id as int))") - 1).alias("b1"), F.lit(0).cast("long").alias("b2"))).alias("b")
+    na, nb, differ = F.col("a.n"), F.col("b.n"), F.bit_count(F.col("b.b1"))
+    want = (nb * 5 >= na * 4) & (na * 5 >= nb * 4) & (differ <= na + nb - 2 * least_overlap(na, nb, t))
+    both = a.crossJoin(b).where((na + nb - differ) % 2 == 0)  # parities differ in an even number more or fewer than tokens do
+    assert both.where(want).count() > 0 and both.where(want != may_match(na, nb, "a", "b", t)).count() == 0
+
+
+def test_line_words_are_made_and_sorted_by_compiled_code(spark):
+    """The word set is a column of its own, and the sort's array has no nulls."""
+    lines = spark.createDataFrame([(0, "a b b c")], "sid long, line string")
+    levels = F.expr("array_repeat(1, 65536)")
+    done = sketch(lines, levels, Fraction(4, 5))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sort_array" in line and "array_distinct" in line for line in plan.splitlines())
+    assert "coalesce(" in plan and done.first()["n"] == lines.select(F.size(token_set(F.col("line")))).first()[0] == 3
+
+
 def test_line_dedup_repeated_row_keeps_one(spark):
     rows = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "one two three")], "doc_id long, text string")
     assert sorted(r["text"] for r in dedup_lines(rows).collect()) == ["", "one two three", "one two three"]
