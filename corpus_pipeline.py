@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.decontaminate import leaked_documents
-from quantloom.llm.document_dedup import similar_documents
+from quantloom.llm.document_dedup import SENT_SETS, similar_documents
 from quantloom.llm.line_dedup import dedup_lines
 from quantloom.llm.packing import pack_documents
 from quantloom.llm.queries import table
@@ -51,6 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = similar_documents(docs)
     others = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    others = materialize(others, "others")
+    # Sent to every task up to a bound: a shuffled join would move all texts, whatever the number of those that go.
+    others = F.broadcast(others) if others.count() <= SENT_SETS else others
     left = docs.join(others, docs["doc_id"].eqNullSafe(others["gone"]) & (F.xxhash64(text_or_empty()) == others["gone_hash"]), "left_anti")
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
     if repeated.isEmpty():

@@ -55,21 +55,30 @@ def shingle_set(text: str, shingle: int) -> tuple[int, np.ndarray]:
     return sig - (1 << 64 if sig >> 63 else 0), found
 
 
-def _with_sets(texts: DataFrame, shingle: int, kind: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, text_hash, sig, n, fp, ``kind``) of every row of ``texts`` (doc_id, text_hash, text): the set's name,
-    size and SimHash, and ``of`` taken of the hashes."""
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls into each of some buckets, 64 a long: as many buckets as hashes, rounded
+    up to a power of two, 64 at least. Longs that lie half the length apart give, xored, those of half the buckets."""
+    bits = 1 << max(6, (len(found) - 1).bit_length())
+    odd = np.bincount(found & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _with_sets(texts: DataFrame, shingle: int, **kinds: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, text_hash, sig, n, fp, names of ``kinds``) of every row of ``texts`` (doc_id, text_hash, text): the set's
+    name, size and SimHash, and each of ``kinds`` taken of the hashes."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (p.iloc[i : i + SLICE] for p in parts for i in range(0, len(p), SLICE)):
             sets = [shingle_set(t, shingle) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "sig": [s for s, _ in sets], "n": [len(x) for _, x in sets], "fp": [majority_bits(x.view(np.uint64)) for _, x in sets], kind: [of(x) for _, x in sets]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "sig": [s for s, _ in sets], "n": [len(x) for _, x in sets], "fp": [majority_bits(x.view(np.uint64)) for _, x in sets], **{kind: [of(x) for _, x in sets] for kind, of in kinds.items()}})
 
-    return texts.mapInPandas(each, f"doc_id long, text_hash long, sig long, n int, fp long, {kind} array<long>")
+    return texts.mapInPandas(each, ", ".join(["doc_id long, text_hash long, sig long, n int, fp long", *(f"{kind} array<long>" for kind in kinds)]))
 
 
 def shingle_prefixes(texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """(doc_id, text_hash, sig, n, fp, prefix) of every row: one long that names the text's set of shingles, its size,
-    its SimHash, and its rarest hashes in order, as many as a similar set must share one of. A text without words has the empty set."""
+    """(doc_id, text_hash, sig, n, fp, prefix, odd) of every row: one long that names the text's set of shingles, its size,
+    its SimHash, its rarest hashes in order, as many as a similar set must share one of, and its parities. A text without
+    words has the empty set."""
     levels = rarity(texts, shingle)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -77,7 +86,7 @@ def shingle_prefixes(texts: DataFrame, shingle: int, least: Fraction) -> DataFra
         order = np.lexsort((found, levels[found & (BUCKETS - 1)]))
         return found[order[: n + (-n * least.numerator // least.denominator) + 1 if n else 0]]
 
-    return _with_sets(texts, shingle, "prefix", prefix)
+    return _with_sets(texts, shingle, prefix=prefix, odd=parities)
 
 
 def _can_match(n: Column, pos: Column, m: Column, at: Column, least: Fraction) -> Column:
@@ -86,24 +95,39 @@ def _can_match(n: Column, pos: Column, m: Column, at: Column, least: Fraction) -
     return sizes & (F.least(n - pos, m - at) >= least_overlap(n, m, least))
 
 
-def _similar(pairs: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets have a similarity of ``least`` or more. Sets are made again from the
-    texts of their ``owners`` (id, sig, least), and only of those in pairs."""
-    pairs = materialize(pairs.distinct(), "set-pairs")
+def close_pairs(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Those of ``pairs`` (u, v) of ``sets`` (id, n, odd) that their sizes and parities do not rule out. A bucket's parities
+    differ only if a hash of one set alone falls there, so no more of them differ than hashes in a similar pair may: a
+    ninth of both at 0.8, where sets with nothing in common differ in half their buckets. No similar pair is lost."""
+    a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd_{x}")) for x in ("u", "v"))
+    nu, nv, fewer = F.col("nu"), F.col("nv"), F.least(F.size("odd_u"), F.size("odd_v"))
+    sizes = (F.least(nu, nv) * least.denominator) >= (F.greatest(nu, nv) * least.numerator)
+    # Sets that differ so little in size have as many longs or twice as many, for any ``least`` of a half or more.
+    halved = lambda x, i: F.when(F.size(x) == fewer, x[i]).otherwise(x[i].bitwiseXOR(x[i + fewer]))
+    differ = F.aggregate(F.sequence(F.lit(0), fewer - 1), F.lit(0), lambda total, i: total + F.bit_count(halved(F.col("odd_u"), i).bitwiseXOR(halved(F.col("odd_v"), i))))
+    both = pairs.join(a, "u").join(b, "v").where(sizes)
+    return both.where(differ <= nu + nv - 2 * least_overlap(nu, nv, least)).select("u", "v")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Those of ``pairs`` (u, v) of ``sets`` (id, n, odd) that have a similarity of ``least`` or more. Hashes are made again
+    from the texts of their ``owners`` (id, sig, least), and only of those in pairs that parities leave."""
+    met = materialize(pairs.distinct(), "met-pairs")
+    pairs = materialize(close_pairs(met, sets, least), "set-pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     ids = materialize(owners.join(ids, "id").select("id", "sig", F.col("least").alias("owner")), "set-ids")
     few = ids.count() <= SENT_SETS
     docs = ids.select("owner").distinct()
     some = texts.join(F.broadcast(docs) if few else docs, texts["doc_id"].eqNullSafe(docs["owner"]), "left_semi")
-    sets = _with_sets(some, shingle, "hashes", lambda x: x).select("sig", "n", "hashes")
+    full = _with_sets(some, shingle, hashes=lambda x: x).select("sig", "n", "hashes")
     sigs = ids.select("id", "sig")
-    sets = materialize(sets.join(F.broadcast(sigs) if few else sigs, "sig").dropDuplicates(["id"]), "candidate-sets")
-    a = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("x"))
-    b = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("y"))
+    full = materialize(full.join(F.broadcast(sigs) if few else sigs, "sig").dropDuplicates(["id"]), "candidate-sets")
+    a = full.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("x"))
+    b = full.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("y"))
     both = pairs.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("x", "y"))
     links = materialize(both.where(shared >= least_overlap(F.col("nu"), F.col("nv"), least)).select("u", "v"), "set-links")
-    discard(pairs, ids, sets)
+    discard(met, pairs, ids, full)
     return links
 
 
@@ -126,7 +150,7 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def set_links(sets: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Links (u, v) that connect all of the distinct ``sets`` (id, n, fp, prefix) that a chain of pairs with a
+    """Links (u, v) that connect all of the distinct ``sets`` (id, n, fp, prefix, odd) that a chain of pairs with a
     similarity of ``least`` or more connects. ``owners`` (id, sig, least) names a doc_id of each set, and ``texts``
     (doc_id, text) has its text.
 
@@ -138,7 +162,7 @@ def set_links(sets: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int
     group's pairs start from the sets outside its least component.
     """
     t = least
-    near = _similar(simhash_pairs(sets), owners, texts, shingle, t)
+    near = _similar(simhash_pairs(sets), sets, owners, texts, shingle, t)
     known = materialize(components(near), "simhash-groups")
     met = F.col("h").bitwiseAND((1 << MET_BITS) - 1).alias("h")
     entries = sets.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "h")).select("id", "n", "pos", met)
@@ -150,7 +174,7 @@ def set_links(sets: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int
     ends = cells.join(outer, "h").select("id", "n", "pos", F.explode(F.array("lo", "hi")).alias("to"))
     stars = ends.where((F.col("id") != F.col("to.id")) & _can_match(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), t))
     stars = stars.select(F.least("id", "to.id").alias("u"), F.greatest("id", "to.id").alias("v")).distinct()
-    links = near.unionByName(_similar(_apart(stars, known), owners, texts, shingle, t))
+    links = near.unionByName(_similar(_apart(stars, known), sets, owners, texts, shingle, t))
     group = materialize(components(links), "set-groups")
     named = cells.join(group, cells["id"] == group["node"], "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("g"))
     named = materialize(named, "named-cells")
@@ -159,7 +183,7 @@ def set_links(sets: DataFrame, owners: DataFrame, texts: DataFrame, shingle: int
     a, b = rest.where("g <> g0").alias("a"), rest.alias("b")
     apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & ((F.col("b.g") == F.col("b.g0")) | (F.col("a.id") < F.col("b.id")))
     pairs = a.join(b, apart & _can_match(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), t))
-    more = _similar(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), owners, texts, shingle, t)
+    more = _similar(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), sets, owners, texts, shingle, t)
     discard(shared, cells, outer, known, group, named, mixed, rest)
     return links.unionByName(more)
 
@@ -181,7 +205,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: Fraction = Fract
     names = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("id"), F.count(F.lit(1)).alias("rows")), "distinct-sets")
     copies = materialize(names.where("rows > 1").select("sig", F.col("id").alias("first")), "copied-sets")
     few = F.broadcast(copies) if copies.count() <= SENT_SETS else copies
-    sets = marked.join(few, "sig", "left").where("first is null or row = first").select(F.col("row").alias("id"), "n", "fp", "prefix")
+    sets = marked.join(few, "sig", "left").where("first is null or row = first").select(F.col("row").alias("id"), "n", "fp", "prefix", "odd")
     group = components(set_links(sets, names.select("id", "sig", "least"), texts, shingle, least))
     named = names.join(group, names["id"] == group["node"], "left")
     named = materialize(named.select("sig", "least", F.coalesce("component", "id").alias("component")), "set-classes")

@@ -1,11 +1,13 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm.document_dedup import shingle_prefixes, simhash_pairs
+from quantloom.llm import document_dedup
+from quantloom.llm.document_dedup import close_pairs, parities, shingle_prefixes, simhash_pairs
 from quantloom.llm.graph import components
 from quantloom.llm.queries import QUERIES
 from quantloom.llm.simhash import fingerprint
@@ -127,3 +129,52 @@ def test_stages_send_whole_texts_in_small_batches(spark, odd, tables):
             stage(spark, odd.withColumn("n_chars", F.length("text")), tables)
             assert int(spark.conf.get(key)) <= 1024
     spark.conf.unset(key)
+
+
+def test_parities_rule_out_unlike_sets_and_lose_no_similar_pair(spark):
+    rng, t = np.random.default_rng(3), Fraction(4, 5)
+    sets = [np.zeros(0, np.int64)]
+    for n in (1, 5, 9, 60, 64, 65, 70, 120, 128, 130, 500, 512, 520, 2000):
+        base = rng.integers(-(1 << 63), 1 << 63, n, np.int64)
+        for kept in (1, 0.97, 0.9, 0.88, 0.8, 0.5, 0):
+            own = rng.integers(-(1 << 63), 1 << 63, n, np.int64)
+            sets += [np.unique(np.concatenate([base[: round(n * kept)], own[round(n * kept) :]])), base[: max(1, round(n * kept))]]
+    assert all(len(parities(x)) * 64 >= len(x) for x in sets)
+    table = spark.createDataFrame([(i, len(x), parities(x).tolist()) for i, x in enumerate(sets)], "id long, n int, odd array<long>")
+    alike = lambda x, y: len(shared := np.intersect1d(x, y)) * 9 >= 4 * (len(x) + len(y)) and len(shared) > 0
+    pairs = [(u, v) for v in range(1, len(sets)) for u in range(1, v)]
+    got = {tuple(r) for r in close_pairs(spark.createDataFrame(pairs, "u long, v long"), table, t).collect()}
+    similar = {(u, v) for u, v in pairs if alike(sets[u], sets[v])}
+    far = {(u, v) for u, v in pairs if min(len(sets[u]), len(sets[v])) >= 60 and 2 * len(np.intersect1d(sets[u], sets[v])) < len(sets[u])}
+    assert similar <= got and len(similar) > 100
+    assert len(far) > 1000 and len(far & got) < len(far) / 100
+
+
+def test_near_duplicate_stage_makes_sets_only_of_pairs_that_parities_leave(spark, monkeypatch):
+    rng, made = random.Random(2), []
+    write = document_dedup.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        made.extend([out.count()] if name == "candidate-sets" else [])
+        return out
+
+    monkeypatch.setattr(document_dedup, "materialize", noted)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(60)), *passage[: 6 + i % 6]]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(range(40))
+    assert 0 < sum(made) <= 6
+
+
+def test_near_duplicate_stage_leaves_texts_where_they_are(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        docs = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, "other words")], "doc_id long, text string")
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert "BroadcastHashJoin" in left._jdf.queryExecution().sparkPlan().toString()
+        assert {r["doc_id"] for r in left.collect()} == {1, 3}
+    finally:
+        spark.conf.set(key, before)
